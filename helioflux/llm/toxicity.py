@@ -4,7 +4,7 @@
    rows, and patterns over the text's statistics.
 2. A generative label model takes the vote table of the whole corpus: each voter's rates of voting on toxic and
    on other texts are fitted by expectation maximisation from the labelled rows' rates, and correlations that the
-   class doesn't explain discount voters that repeat each other. A row's own label is one more vote.
+   class doesn't explain discount voters that repeat each other. A row's own label, where it may be used, decides for it.
 3. A linear classifier over hashed text features learns the posterior labels of a bounded sample of rows, and
    scores every text. Its inputs come from the text alone.
 
@@ -37,7 +37,8 @@ VOTERS = len(LEXICON) + MINED + 4
 #: Bounds of rows: labelled ones for mining and first rates, and ones for the classifier
 TRAIN_ROWS = 12000
 SAMPLE_ROWS = 24000
-LABEL_TRUST = (0.6, 0.98)
+#: Posterior of a row whose label is known
+LABEL_TRUST = 0.99
 
 
 def remainder() -> Column:
@@ -211,12 +212,8 @@ def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BIT
     rows = table.where("features is not null").join(one, "doc_id", "left").select("votes", "features", "toxic").limit(2 * SAMPLE_ROWS).collect()
     odds = model.log_odds(np.array([r["votes"] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
     label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in rows], dtype=np.int64)
-    own = sigmoid(odds)
     seen = label >= 0
-    agree = np.mean(np.where(label[seen] == 1, own[seen], 1 - own[seen])) if seen.any() else 0.5
-    trust = float(np.clip(agree, *LABEL_TRUST))
-    odds = odds + np.where(seen, np.where(label == 1, 1, -1) * 2 * np.log(trust / (1 - trust)), 0)
-    soft = sigmoid(odds)
+    soft = np.where(seen, np.where(label == 1, LABEL_TRUST, 1 - LABEL_TRUST), sigmoid(odds))
     # Rows on which every voter is silent teach nothing unless their label is known.
     weight = np.where(seen, 1.0, np.where(np.array([r["votes"] for r in rows], dtype=np.int64) != 0, 1.0, 0.0))
     on = np.flatnonzero(weight)
