@@ -89,9 +89,8 @@ class LabelModel:
     """Discount of each voter's evidence for correlation, in (0, 1]."""
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        on = self.trust * np.log(self.toxic / self.other)
-        off = self.trust * np.log((1 - self.toxic) / (1 - self.other))
-        return np.log(self.prior / (1 - self.prior)) + off.sum() + _spread(votes, len(on)) @ (on - off)
+        """Of toxic; a silent voter abstains, as its words may be of another language."""
+        return np.log(self.prior / (1 - self.prior)) + _spread(votes, len(self.trust)) @ (self.trust * np.log(self.toxic / self.other))
 
 
 def first_model(votes: np.ndarray, label: np.ndarray, n: int) -> LabelModel:
@@ -208,18 +207,19 @@ def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BIT
             total[r["cell"]] = r["part"]
         model = refined(model, total.reshape(2, n_voters + 1, n_voters + 1))
 
-    one = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = table.where("features is not null").join(one, "doc_id", "left").select("votes", "features", "toxic").limit(2 * SAMPLE_ROWS).collect()
+    # The classifier's rows: labelled ones, and unlabelled ones on which some voter spoke.
+    own = known.select("doc_id").distinct()
+    rows = table.where("features is not null and votes <> 0").join(own, "doc_id", "left_anti").select("votes", "features").limit(2 * SAMPLE_ROWS).collect()
     odds = model.log_odds(np.array([r["votes"] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
-    label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in rows], dtype=np.int64)
-    seen = label >= 0
-    soft = np.where(seen, np.where(label == 1, LABEL_TRUST, 1 - LABEL_TRUST), sigmoid(odds))
-    # Rows on which every voter is silent teach nothing unless their label is known.
-    weight = np.where(seen, 1.0, np.where(np.array([r["votes"] for r in rows], dtype=np.int64) != 0, 1.0, 0.0))
-    on = np.flatnonzero(weight)
-    texts, soft, weight = Sample.of([np.frombuffer(rows[i]["features"], np.int32) for i in on]), soft[on], weight[on]
-    keep = telling(texts, soft, bits) if len(soft) else np.zeros(1 << bits, dtype=bool)
-    weights, intercept = logistic(restrict(texts, keep), soft, weight, bits, l2=3e-5, steps=150, rate=0.1) if len(soft) else (np.zeros(1 << bits), -3.0)
+    soft = np.concatenate([np.where(toxic == 1, LABEL_TRUST, 1 - LABEL_TRUST), sigmoid(odds)])
+    if not len(soft):
+        return Trained(np.zeros(1 << bits, np.float32), -3.0, model, voters)
+    labelled = [sample.numbers[sample.at[i] : sample.at[i + 1]] for i in range(len(toxic))]
+    texts = Sample.of([*labelled, *(np.frombuffer(r["features"], np.int32) for r in rows)])
+    keep = telling(texts, soft, bits)
+    if len(toxic):
+        keep |= telling(sample, toxic.astype(float), bits)
+    weights, intercept = logistic(restrict(texts, keep), soft, np.ones(len(soft)), bits, l2=3e-5, steps=150, rate=0.1)
     return Trained(weights.astype(np.float32), intercept, model, voters)
 
 
