@@ -6,12 +6,16 @@
 2. A band key that several documents share is a bucket. Each bucket's pivot is the member that shares most
    buckets; members are compared with it alone, which is linear in the bucket.
 3. Verified links give components. Where a bucket still spans components, the members outside its largest
-   component are compared with all members outside their own, so no link between different texts is lost.
-4. A link counts only when the whole shingle sets, rebuilt from the texts, pass the threshold in integers.
-
-Within a bucket all pairs are never emitted: comparisons are members times members outside the main
-component. With 32 bands of 4 rows a pair of similarity 0.8 misses all bands with probability 5e-8; step 3
-asks for ``shared`` common bands (3e-8 at 0.8).
+   component are compared with one member of it, drawn by hash for each bucket and round: a member shares many
+   buckets with a large group, so it meets as many of its members. This too is linear in the bucket.
+4. Members of buckets that span components even then go through an exact prefix filter (Chaudhuri et al., 2006):
+   of two sets of similarity t, each holds a common shingle among its n - ceil(t n) + 1 rarest. Members of
+   different components that share such a shingle are compared, so no link between bucket members is lost, and
+   a passage that thousands of members share, being common, makes no pair.
+5. A link counts only when the whole shingle sets, rebuilt from the texts, pass the threshold in integers.
+
+All pairs of a bucket are never emitted. With 32 bands of 4 rows a pair of similarity 0.8 misses all bands with
+probability 5e-8.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import superminhash
 from .components import components
 from .store import spill
 from .textblocks import SPACED, blocks, mix, shingle_sets
 
-SLOTS, ROWS, SHARED = 128, 4, 4
+SLOTS, ROWS = 128, 4
 _SIGNED = "n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
@@ -87,20 +92,54 @@ def _verifier(k: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union, with n_both and n_any."""
+    """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union, with n_both and n_any.
+
+    docs holds each doc_id once.
+    """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = spill(text.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     both = pairs.select("a", "b").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_verifier(k), "a long, b long, n_both long, n_any long").where(f"n_both > 0 and 100 * n_both >= {percent} * n_any")
 
 
-def _label(members: DataFrame, label: DataFrame) -> DataFrame:
-    return members.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, id, n) of buckets that span components, with component and the bucket's largest, main."""
+    label = spill(components(links), "grouped")
+    labelled = members.select("key", "id", "n").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = spill(labelled, "labelled")
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", (-F.col("component")).alias("minus"))).alias("top"))
+    return spill(labelled.join(main.where("parts > 1").select("key", (-F.col("top.minus")).alias("main")), "key"), "open")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, shared: int = SHARED) -> DataFrame:
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                values, at = shingle_sets(block, SPACED, k)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), batch.column(2).slice(block.first, block.n), lists], ["id", "component", "shingles"])
+
+    return run
+
+
+def _prefixed(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members of different components that the prefix filter can't rule out."""
+    ids = open_.select(F.col("id").alias("doc_id"), "component").distinct()
+    sets = spill(text.join(ids, "doc_id").select("doc_id", "text", "component").mapInArrow(_sets(k), "id long, component long, shingles array<long>"), "sets")
+    rows = sets.select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    uses = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    rarest = Window.partitionBy("id").orderBy("uses", "shingle")
+    # Shingles of one set alone take the first places of a prefix and join with nothing.
+    common = rows.join(uses, "shingle").withColumn("place", F.row_number().over(rarest) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    heads = spill(common.where(F.col("place") <= length).select("shingle", "id", "component", "n"), "heads")
+    x, y = (heads.select("shingle", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
+    pairs = x.join(y, "shingle").where("ca <> cb and a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return pairs.select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
     docs has doc_id and text; other columns are ignored. Null and empty texts, and texts without a word, have
@@ -122,20 +161,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int =
     ranked = members.select("key", "id").join(met, "id")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("a"))
     stars = members.select("key", F.col("id").alias("b"), "n").join(pivots, "key").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    links = spill(verified(stars, docs, k, percent).select("a", "b"), "links")
-    grouped = spill(components(links), "grouped")
-
-    # What the stars left apart.
-    labelled = spill(_label(members, grouped), "labelled")
-    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", (-F.col("component")).alias("minus"))).alias("top"))
-    main = main.where("parts > 1").select("key", (-F.col("top.minus")).alias("main"))
-    open_ = labelled.join(main, "key").select("key", "id", "n", "component", "main")
-    outside = open_.where("component <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = open_.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    near = outside.join(rest, "key").where("cx <> cy and (in_main or x < y)").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    near = near.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("times")).where(f"times >= {shared}")
-    more = verified(spill(near.select("a", "b"), "near"), docs, k, percent).select("a", "b")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = spill(text.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    links = spill(verified(stars, text, k, percent).select("a", "b"), "links")
+
+    # What the stars left apart meets members of the main component, drawn anew for each bucket and round.
+    open_ = _open(members, links)
+    for turn in range(rounds):
+        draw = F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("draw"), "id"))
+        main = open_.where("component = main").groupBy("key").agg(draw.alias("top")).select("key", F.col("top.id").alias("a"))
+        met = open_.where("component <> main").select("key", F.col("id").alias("b")).join(main, "key").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+        links = spill(links.unionByName(verified(met, text, k, percent).select("a", "b")), "links")
+        open_ = _open(open_.select("key", "id", "n"), links)
+
+    near = _prefixed(open_, text, k, percent)
+    more = verified(spill(near, "near"), text, k, percent).select("a", "b")
     label = components(links.unionByName(exact).unionByName(more))
 
     out = signed.select("doc_id", "n_shingles").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
