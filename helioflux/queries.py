@@ -139,9 +139,9 @@ def ema_fred(spark, sf_dir):
 
 
 @query(f"""WITH {LC}, f AS (SELECT date, k, bt, flux FROM s WHERE cnt > 0), d AS (SELECT *, bt - lag(bt) OVER o AS hs, lead(bt) OVER o - bt AS hd, lag(flux) OVER o AS lo, lead(flux) OVER o AS up FROM f WINDOW o AS (PARTITION BY date ORDER BY k))
-SELECT date, k, round(coalesce((hs * hs * up + (hd * hd - hs * hs) * flux - hd * hd * lo) / (hs * hd * (hd + hs)), (up - flux) / hd, (flux - lo) / hs), 4) AS slope FROM d""")
+SELECT date, k, round(coalesce((hs * hs * up + (hd * hd - hs * hs) * flux - hd * hd * lo) / (hs * hd * (hd + hs)), (up - flux) / hd, (flux - lo) / hs), 9) AS slope FROM d""")
 def gradient_nonuniform(spark, sf_dir):
-    return binned(spark, sf_dir).where("cnt > 0").withColumn("slope", series.gradient("flux", "bt")).select("date", "k", *r("slope", digits=4))
+    return binned(spark, sf_dir).where("cnt > 0").withColumn("slope", series.gradient("flux", "bt")).select("date", "k", *r("slope", digits=9))
 
 
 @query(f"WITH {LC} SELECT date, k, round(flux - avg(flux) OVER (PARTITION BY date ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS wiggle FROM s")
@@ -440,9 +440,9 @@ def ledger_anti(spark, sf_dir):
     return ledger.pending(files, files.where("page_id % 2 = 0")).select("page_id")
 
 
-@query("""SELECT DISTINCT unnest(regexp_extract_all(url, '(20\\d{2})', 1)) AS found FROM pages""")
+@query("""SELECT DISTINCT unnest(regexp_extract_all(url, '(1\\d{2})', 1)) AS found FROM pages""")
 def regex_dates(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("url", F.lit("(20\\d{2})"), F.lit(1))).alias("found")).distinct()
+    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("url", F.lit("(1\\d{2})"), F.lit(1))).alias("found")).distinct()
 
 
 @query()
@@ -462,7 +462,7 @@ def isotonic_calibration(spark, sf_dir):
 
 @query()
 def stream_tumbling(spark, sf_dir):
-    return windows.tumbling(spark, f"{sf_dir}/events.parquet")
+    return windows.tumbling(spark, sf_dir, "events.parquet")
 
 
 @query()

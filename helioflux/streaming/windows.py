@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ def tumbled(stream: DataFrame, width: str = "10 minutes", late: str = "1 hour")
     return by.agg(F.avg("value").alias("flux"), F.count(F.lit(1)).alias("cnt")).select(F.col("window.start").alias("bin"), "flux", "cnt")
 
 
-def tumbling(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:
-    """All closed windows of the files under path, run as a stream that ends with them."""
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
-    name = f"tumbling_{abs(hash(path))}"
+def tumbling(spark: SparkSession, folder: str, files: str, width: str = "1 hour") -> DataFrame:
+    """All closed windows of the folder's files of that name, run as a stream that ends with them."""
+    schema = spark.read.parquet(f"{folder}/{files}").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    name = f"tumbling_{uuid.uuid4().hex}"
     tumbled(stream, width).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
