@@ -10,13 +10,13 @@ from pyspark.sql.window import Window
 def islands(rows: DataFrame, above: str, least: int, keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """(keys, s, e) of runs where ``above``: s the first bin, e the first bin after, or the last bin of all if open.
 
-    Runs of fewer than ``least`` bins (e - s) go.
+    Runs of fewer than ``least`` bins go.
     """
     w = Window.partitionBy(*keys).orderBy("k")
     on = F.col(above).cast("int")
     marked = rows.withColumn("_no", F.sum((on != F.coalesce(F.lag(on).over(w), F.lit(-1))).cast("int")).over(w)).withColumn("_top", F.max("k").over(Window.partitionBy(*keys)))
-    runs = marked.where(above).groupBy(*keys, "_no").agg(F.min("k").alias("s"), F.least(F.max("k") + 1, F.max("_top")).alias("e"))
-    return runs.where(F.col("e") - F.col("s") >= least).drop("_no")
+    runs = marked.where(above).groupBy(*keys, "_no").agg(F.min("k").alias("s"), F.least(F.max("k") + 1, F.max("_top")).alias("e"), (F.max("k") - F.min("k") + 1).alias("_bins"))
+    return runs.where(F.col("_bins") >= least).drop("_no", "_bins")
 
 
 def merged(runs: DataFrame, gap: int, keys: tuple[str, ...] = ("date",)) -> DataFrame:

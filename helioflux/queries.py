@@ -81,7 +81,7 @@ ISLANDS = (
     + """, a0 AS (SELECT *, (flux - bg_safe) / noise > 1 AS above FROM w),
 a1 AS (SELECT *, CASE WHEN above IS DISTINCT FROM lag(above) OVER (PARTITION BY date ORDER BY k) THEN 1 ELSE 0 END AS ch, max(k) OVER (PARTITION BY date) AS top FROM a0),
 a2 AS (SELECT *, sum(ch) OVER (PARTITION BY date ORDER BY k) AS no FROM a1),
-runs AS (SELECT date, min(k) AS s, least(max(k) + 1, max(top)) AS e FROM a2 WHERE above GROUP BY date, no HAVING least(max(k) + 1, max(top)) - min(k) >= 2)"""
+runs AS (SELECT date, min(k) AS s, least(max(k) + 1, max(top)) AS e FROM a2 WHERE above GROUP BY date, no HAVING max(k) - min(k) + 1 >= 2)"""
 )
 MERGED = (
     ISLANDS
