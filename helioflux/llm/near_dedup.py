@@ -8,10 +8,13 @@
 3. Verified links give components. Where a bucket still spans components, the members outside its largest
    component are compared with one member of it, drawn by hash for each bucket and round: a member shares many
    buckets with a large group, so it meets as many of its members. This too is linear in the bucket.
-4. Members of buckets that span components even then go through an exact prefix filter (Chaudhuri et al., 2006):
-   of two sets of similarity t, each holds a common shingle among its n - ceil(t n) + 1 rarest. Members of
-   different components that share such a shingle are compared, so no link between bucket members is lost, and
-   a passage that thousands of members share, being common, makes no pair.
+4. Members of buckets that span components even then are held against a reference set of the bucket's largest
+   component. With D(x) the symmetric difference of x and the reference, x and y differ in |D(x)| + |D(y)| -
+   2 |D(x) & D(y)| shingles exactly, so similarity t asks for a least overlap of the differences. Where none is
+   asked, both members link with the member of the group that has the least |D| for its size, and only that link
+   is checked. Elsewhere a prefix filter (Chaudhuri et al., 2006) over the differences, rarest elements first,
+   finds every pair with the overlap. No link between bucket members is lost, and what thousands of members
+   share is in no difference and makes no pair.
 5. A link counts only when the whole shingle sets, rebuilt from the texts, pass the threshold in integers.
 
 All pairs of a bucket are never emitted. With 32 bands of 4 rows a pair of similarity 0.8 misses all bands with
@@ -34,6 +37,8 @@ from .store import spill
 from .textblocks import SPACED, blocks, mix, shingle_sets
 
 SLOTS, ROWS = 128, 4
+#: Members, in expectation, that vote on a group's reference set; links don't depend on it
+DRAWN = 31
 _SIGNED = "n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
@@ -118,25 +123,50 @@ def _sets(k: int):
             for block in blocks(batch.column(1)):
                 values, at = shingle_sets(block, SPACED, k)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), batch.column(2).slice(block.first, block.n), lists], ["id", "component", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), lists], ["id", "shingles"])
 
     return run
 
 
-def _prefixed(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of open members of different components that the prefix filter can't rule out."""
-    ids = open_.select(F.col("id").alias("doc_id"), "component").distinct()
-    sets = spill(text.join(ids, "doc_id").select("doc_id", "text", "component").mapInArrow(_sets(k), "id long, component long, shingles array<long>"), "sets")
-    rows = sets.select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    uses = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    rarest = Window.partitionBy("id").orderBy("uses", "shingle")
-    # Shingles of one set alone take the first places of a prefix and join with nothing.
-    common = rows.join(uses, "shingle").withColumn("place", F.row_number().over(rarest) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = spill(common.where(F.col("place") <= length).select("shingle", "id", "component", "n"), "heads")
-    x, y = (heads.select("shingle", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
-    pairs = x.join(y, "shingle").where("ca <> cb and a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return pairs.select("a", "b").distinct()
+def _references(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(main, ref): shingles of most of some DRAWN members of each main component.
+
+    Any reference gives the same links; one near the members gives short differences.
+    """
+    inside = held.where("component = main").select("main", "id")
+    counted = inside.groupBy("main").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("c") < DRAWN * (1 << 30)
+    drawn = spill(inside.join(counted, "main").where(draw | (F.col("id") == F.col("first"))).select("main", "id"), "drawn")
+    uses = drawn.join(sets, "id").select("main", F.explode("shingles").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("uses"))
+    total = drawn.groupBy("main").agg(F.count(F.lit(1)).alias("total"))
+    return uses.join(total, "main").where("2 * uses > total").groupBy("main").agg(F.collect_list("shingle").alias("ref"))
+
+
+def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members of different components that their differences from a reference can't rule out."""
+    ids = open_.select(F.col("id").alias("doc_id")).distinct()
+    sets = spill(text.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+    held = open_.select("main", "id", "component").distinct()
+    ref = F.coalesce("ref", F.array().cast("array<long>"))
+    delta = F.concat(F.array_except("shingles", ref), F.array_except(ref, F.col("shingles")))
+    near = held.join(sets, "id").join(_references(held, sets), "main", "left").select("main", "id", "component", F.size("shingles").cast("long").alias("n"), delta.alias("delta"))
+    near = near.withColumn("d", F.size("delta").cast("long")).withColumn("w", (100 + percent) * F.col("d") - (100 - percent) * F.col("n"))
+    near = spill(near, "differences")
+
+    least = near.groupBy("main").agg(F.min(F.struct("w", "id", "component")).alias("least"))
+    near = near.join(least.select("main", F.col("least.w").alias("w0"), F.col("least.id").alias("o"), F.col("least.component").alias("co")), "main")
+    stars = near.where("w + w0 <= 0 and component <> co").select(F.col("id").alias("a"), F.col("o").alias("b"))
+
+    share = F.greatest(F.ceil((F.col("w") + F.col("w0")) / (2 * (100 + percent))), F.lit(1))
+    rows = near.select("main", "id", "component", "n", "d", (F.col("d") - share + 1).alias("length"), F.explode("delta").alias("element"))
+    uses = rows.groupBy("main", "element").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    # Elements of one difference alone take the first places of a prefix and join with nothing.
+    of = Window.partitionBy("main", "id")
+    common = rows.join(uses, ["main", "element"]).withColumn("place", F.row_number().over(of.orderBy("uses", "element")) + F.col("d") - F.count(F.lit(1)).over(of))
+    heads = spill(common.where("place <= length").select("main", "element", "id", "component", "n"), "heads")
+    x, y = (heads.select("main", "element", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
+    pairs = x.join(y, ["main", "element"]).where("ca <> cb and a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return stars.unionByName(pairs.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
@@ -175,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int =
         links = spill(links.unionByName(verified(met, text, k, percent).select("a", "b")), "links")
         open_ = _open(open_.select("key", "id", "n"), links)
 
-    near = _prefixed(open_, text, k, percent)
+    near = _differing(open_, text, k, percent)
     more = verified(spill(near, "near"), text, k, percent).select("a", "b")
     label = components(links.unionByName(exact).unionByName(more))
 
