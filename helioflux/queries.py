@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .config import STAND_IN
 from .functions import scalar
-from .operators import checks, detect, intervals, learning, series, skill
+from .operators import checks, detect, intervals, learning, series, skill, spectra
 from .sources import ledger
 from .streaming import windows
 
@@ -468,3 +468,22 @@ def stream_tumbling(spark, sf_dir):
 @query()
 def micro_peaks(spark, sf_dir):
     return learning.micro_peaks(binned(spark, sf_dir))
+
+
+def channels(spark, sf_dir):
+    """Embeddings as summed spectra by label: (label, e, counts, area, width)."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    sums = e.groupBy("label", "i").agg(F.sum(F.abs(F.col("x").cast("double")) * 100).alias("counts"))
+    return sums.select("label", ((F.col("i") + 1) * 0.0476).alias("e"), "counts", (1 + F.col("i") / 64.0).alias("area"), F.lit(0.0476).alias("width"))
+
+
+@query()
+def isothermal_fit(spark, sf_dir):
+    # The stand-in's channels are about flat; a thermal falloff of 0.6 keV gives the fit an inner optimum.
+    return spectra.isothermal(channels(spark, sf_dir).withColumn("counts", F.col("counts") * F.exp(-F.col("e") / 0.6) / F.col("e") * F.col("area")), ("label",))
+
+
+@query("""WITH u AS (SELECT label, abs(CAST(unnest(embedding) AS DOUBLE)) * 100 AS n, unnest(range(1, len(embedding) + 1)) AS ch FROM embeddings), b AS (SELECT label, ch * 0.0476 AS e, sum(n) / power(ch * 0.0476, 3) AS rate FROM u GROUP BY label, ch), f AS (SELECT label, count(*) AS n, -regr_slope(log10(rate), log10(e)) AS g, regr_r2(log10(rate), log10(e)) AS r2, regr_syy(log10(rate), log10(e)) AS syy, regr_sxx(log10(rate), log10(e)) AS sxx FROM b WHERE rate > 0 GROUP BY label) SELECT label, n, round(CASE WHEN g > 1 AND g < 10 THEN g END, 5) AS gamma, round(CASE WHEN g > 1 AND g < 10 THEN g + 1 END, 5) AS delta, round(CASE WHEN g > 1 AND g < 10 AND n > 2 THEN sqrt(greatest(1 - r2, 0) * syy / sxx / (n - 2)) END, 5) AS gamma_err FROM f""")
+def power_law_fit(spark, sf_dir):
+    rate = channels(spark, sf_dir).select("label", "e", (F.col("counts") / F.pow("e", F.lit(3.0))).alias("rate"))
+    return spectra.power_law(rate, ("label",)).select("label", "n", *r("gamma", "delta", "gamma_err", digits=5))
