@@ -13,8 +13,10 @@
    2 |D(x) & D(y)| shingles exactly, so similarity t asks for a least overlap of the differences. Where none is
    asked, both members link with the member of the group that has the least |D| for its size, and only that link
    is checked. Elsewhere a prefix filter (Chaudhuri et al., 2006) over the differences, rarest elements first,
-   finds every pair with the overlap. No link between bucket members is lost, and what thousands of members
-   share is in no difference and makes no pair.
+   finds every pair with the overlap. What thousands of members share is in no difference and makes no pair. An
+   element of few differences makes pairs of rows. One of many names pairs of blocks of members; a task counts
+   the overlaps between two blocks exactly and gives out one link of each two components. No link between
+   bucket members is lost, though that last comparison still grows with the square of a group's open members.
 5. A link counts only when the whole shingle sets, rebuilt from the texts, pass the threshold in integers.
 
 All pairs of a bucket are never emitted. With 32 bands of 4 rows a pair of similarity 0.8 misses all bands with
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,8 @@ from .textblocks import SPACED, blocks, mix, shingle_sets
 SLOTS, ROWS = 128, 4
 #: Members, in expectation, that vote on a group's reference set; links don't depend on it
 DRAWN = 31
+#: Elements of at most so many differences make pairs of rows; blocks of so many members, in expectation, are compared for the rest
+RARE, BLOCK = 16, 128
 _SIGNED = "n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
@@ -142,6 +147,44 @@ def _references(held: DataFrame, sets: DataFrame) -> DataFrame:
     return uses.join(total, "main").where("2 * uses > total").groupBy("main").agg(F.collect_list("shingle").alias("ref"))
 
 
+def _comparer(percent: int, columns: int = 4096):
+    def members(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        held = column[i].values
+        delta = held.field("delta")
+        ids, parts, w = (held.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "w"))
+        return ids, parts, w, delta.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), pc.list_value_length(delta).to_numpy(zero_copy_only=False))
+
+    def overlaps(mine: np.ndarray, of: np.ndarray, theirs: np.ndarray, their_of: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Sizes of intersections of every set here with every set there, some columns of elements at a time."""
+        out = np.zeros(shape, np.float32)
+        both = np.intersect1d(mine, theirs)
+        for k in range(0, len(both), columns):
+            some = both[k : k + columns]
+            sides = []
+            for values, rows, n in ((mine, of, shape[0]), (theirs, their_of, shape[1])):
+                at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                here = some[at] == values
+                side = np.zeros((n, len(some)), np.float32)
+                side[rows[here], at[here]] = 1
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, parts, w, values, of = members(batch.column(0), i)
+                their_ids, their_parts, their_w, their_values, their_of = members(batch.column(1), i)
+                n_both = overlaps(values, of, their_values, their_of, (len(ids), len(their_ids))).astype(np.int64)
+                near = (2 * (100 + percent) * n_both >= w[:, None] + their_w[None, :]) & (parts[:, None] != their_parts[None, :])
+                x, y = np.nonzero(near)
+                # One link is enough between two components.
+                _, first = np.unique(np.stack([parts[x], their_parts[y]]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[first]]), pa.array(their_ids[y[first]])], ["a", "b"])
+
+    return compare
+
+
 def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of open members of different components that their differences from a reference can't rule out."""
     ids = open_.select(F.col("id").alias("doc_id")).distinct()
@@ -163,10 +206,23 @@ def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataF
     # Elements of one difference alone take the first places of a prefix and join with nothing.
     of = Window.partitionBy("main", "id")
     common = rows.join(uses, ["main", "element"]).withColumn("place", F.row_number().over(of.orderBy("uses", "element")) + F.col("d") - F.count(F.lit(1)).over(of))
-    heads = spill(common.where("place <= length").select("main", "element", "id", "component", "n"), "heads")
-    x, y = (heads.select("main", "element", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
+    heads = spill(common.where("place <= length").select("main", "element", "uses", "id", "component", "n"), "heads")
+
+    # A rare element makes fewer than RARE pairs a member.
+    rare = heads.where(F.col("uses") <= RARE)
+    x, y = (rare.select("main", "element", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
     pairs = x.join(y, ["main", "element"]).where("ca <> cb and a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return stars.unionByName(pairs.select("a", "b")).distinct()
+
+    # A frequent one names pairs of blocks, which are compared inside a task.
+    sizes = near.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+    named = heads.where(F.col("uses") > RARE).join(sizes, "main").select("main", "element", part).distinct()
+    met = named.join(named.withColumnRenamed("part", "other"), ["main", "element"]).where("part <= other").select("main", "part", "other").distinct()
+    packed = near.join(sizes, "main").groupBy("main", part).agg(F.collect_list(F.struct("id", "component", "w", "delta")).alias("held"))
+    packed = spill(packed, "blocks")
+    both = met.join(packed, ["main", "part"]).join(packed.select("main", F.col("part").alias("other"), F.col("held").alias("held_too")), ["main", "other"])
+    linked = both.select("held", "held_too").mapInArrow(_comparer(percent), "a long, b long")
+    return stars.unionByName(pairs.select("a", "b")).unionByName(linked).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:

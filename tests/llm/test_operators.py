@@ -205,3 +205,33 @@ def test_held_out_accuracy(spark):
     good = quality.classified(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p")).collect()
     kept = {r.quality: r.p for r in good}
     assert kept[1] > 0.97 and kept[0] < 0.35
+
+
+def test_blocks_of_open_members_lose_no_link(spark, monkeypatch):
+    """Copies with random edits, many just under and over the threshold: same components with all frequent elements in small blocks."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(60, rng.integers(1, 5), replace=False):
+            w[at] = f"x{rng.integers(0, 6)}"
+        rows.append((i, " ".join(w)))
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rare, block in ((near_dedup.RARE, near_dedup.BLOCK), (1, 8)):
+        monkeypatch.setattr(near_dedup, "RARE", rare)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        for rounds in (0, 1):
+            got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, rounds=rounds).collect()}
+            assert got == {i: find(i) for i in range(len(rows))}
