@@ -229,9 +229,7 @@ def test_blocks_of_open_members_lose_no_link(spark, monkeypatch):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for rare, block in ((near_dedup.RARE, near_dedup.BLOCK), (1, 8)):
-        monkeypatch.setattr(near_dedup, "RARE", rare)
-        monkeypatch.setattr(near_dedup, "BLOCK", block)
-        for rounds in (0, 1):
-            got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, rounds=rounds).collect()}
-            assert got == {i: find(i) for i in range(len(rows))}
+    monkeypatch.setattr(near_dedup, "RARE", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, rounds=0).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
