@@ -225,7 +225,7 @@ def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataF
     return stars.unionByName(pairs.select("a", "b")).unionByName(linked).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
     docs has doc_id and text; other columns are ignored. Null and empty texts, and texts without a word, have

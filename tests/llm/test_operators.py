@@ -79,7 +79,7 @@ def test_near_duplicates_by_brute_force(docs):
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 4).collect()}
     assert got == {i: (len(x), find(i), find(i) == i) for i, x in rows}
 
 
