@@ -3,20 +3,24 @@
 1. A naive Bayes classifier over binned text statistics, counted on the labelled rows, gives each document a
    posterior over domains. Its tables hold domains x statistics x bins numbers, whatever the corpus.
 2. Document rates r >= 0 (at most max_rate) minimise sum_k (T_k - t_k)^2 / m_k, where T_k is domain k's
-   expected token total sum_d r_d tokens_d p_dk, t_k its target and m_k its total at rate 1. In this metric, with
-   each document scaled by its tokens, the gradient step r_d - sum_k p_dk (T_k - t_k) / m_k has length 1 / L
-   exactly (rows of p sum to one), so projected gradient needs no step search. Posterior and rate depend on the
-   bins alone, so one aggregation reduces the corpus to token sums by combination of bins, and an iteration is
-   one aggregation of that table to as many sums as there are domains. A rate is a nested expression of the
-   posterior and the iterations' constants; no rate table is rewritten.
+   expected token total sum_d r_d tokens_d p_dk, t_k its target and m_k its total at rate 1; of equally good
+   rates, those nearest to 1 (a penalty of vanishing weight). Such rates are a projected step from 1,
+   r_d = min(max_rate, max(0, 1 - sum_k p_dk s_k)), with one shift s_k a domain, which maximise the concave dual.
+   Plain projected gradient needs thousands of steps where a domain is rare; here shifts are found by damped
+   Newton steps while the penalty's weight falls, until totals meet their targets or the weight is so small that
+   the nearest totals are reached. Posterior and rate depend on the bins alone, so one aggregation reduces the
+   corpus to token sums by combination of bins, and a step is one aggregation of that table to a few sums.
 3. The rate becomes a whole number of copies: its floor, plus one with the fraction's probability by a
    hash of doc_id.
 """
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,57 +89,94 @@ class Classifier:
         return [1 / sum((F.exp(F.least(other - own, F.lit(700.0))) for other in scores), F.lit(0.0)) for own in scores]
 
 
-def totals(measured: DataFrame, rate: Column, domains: int) -> list[float]:
-    sums = [F.sum(rate * F.col("tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in range(domains)]
-    return [float(x or 0) for x in measured.agg(*sums).first()]
-
-
-def _step(rate: Column, change: list[float], max_rate: float) -> Column:
-    moved = rate
-    for k, c in enumerate(change):
-        moved = moved - F.col(f"p{k}") * F.lit(c)
-    return F.least(F.lit(max_rate), F.greatest(F.lit(0.0), moved))
-
-
-def fit_rates(measured: DataFrame, weights: list[float], max_rate: float = 1.0, budget: float | None = None, steps: int = 40, tolerance: float = 1e-4, slack: float = 0.95) -> tuple[list[list[float]], list[float], list[float]]:
-    """The iterations' constants, the targets and the totals reached.
-
-    budget: tokens wanted in all; None: ``slack`` times the most for which every domain's target is within its
-    total at max_rate. Ends when totals are within ``tolerance`` of targets or no longer move.
+@dataclass
+class Fit:
+    """The shifts of all domains, their token totals at rate 1, targets and totals reached; met: within tolerance."""
+
+    shifts: list[float]
+    mass: list[float]
+    targets: list[float]
+    reached: list[float]
+    met: bool
+
+
+def rate_of(shifts: list[float], max_rate: float) -> Column:
+    moved = F.lit(1.0)
+    for k, s in enumerate(shifts):
+        moved = moved - F.col(f"p{k}") * F.lit(float(s))
+    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), moved))
+
+
+def _sums(measured: DataFrame, shifts: np.ndarray, max_rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Over all tokens at these shifts: (rate - 1)^2 / 2 + rate * (p . shifts), domains' totals, and p p' where the rate is free."""
+    k = len(shifts)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    rate, n, p = F.col("_rate"), F.col("tokens"), [F.col(f"p{i}") for i in range(k)]
+    pull = sum((p[i] * F.lit(float(shifts[i])) for i in range(k)), F.lit(0.0))
+    free = F.when((rate > 0) & (rate < max_rate), n).otherwise(0)
+    value = F.sum(n * ((rate - 1) * (rate - 1) / 2 + rate * pull))
+    row = measured.withColumn("_rate", rate_of(list(shifts), max_rate)).agg(value, *[F.sum(n * rate * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+    got = [float(x or 0) for x in row]
+    bend = np.zeros((k, k))
+    for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+        bend[i, j] = bend[j, i] = x
+    return got[0], np.array(got[1 : 1 + k]), bend
+
+
+def fit_rates(measured: DataFrame, weights: list[float], max_rate: float = 1.0, budget: float | None = None, tolerance: float = 1e-4, slack: float = 0.95, scarce: str = "limit") -> Fit:
+    """Rates for all domains' targets, from rows (tokens, p0..).
+
+    budget: tokens wanted in all. None with ``scarce`` "limit": ``slack`` times the most for which every domain's
+    target is within its total at max_rate, so the scarcest domain sets the size. None with "short": so much that
+    the domain of the largest weight is wanted whole, once. With "short", targets end at a domain's total at
+    max_rate: domains that have less fall short of their share. Ends when all totals are within ``tolerance`` of
+    their targets; if no rates reach them, at the nearest totals, with ``met`` false.
     """
     k = len(weights)
-    mass = totals(measured, F.lit(1.0), k)
     share = [w / sum(weights) for w in weights]
-    if budget is None:
+    shifts = np.zeros(k)
+    _, mass, _ = _sums(measured, shifts, float("inf"))
+    if budget is None and scarce == "short":
+        main = max(range(k), key=lambda i: share[i])
+        budget = mass[main] / share[main]
+    elif budget is None:
         budget = slack * max_rate * min((m / w for m, w in zip(mass, share, strict=True) if w > 0), default=0.0)
-    target = [w * budget for w in share]
-    changes: list[list[float]] = []
-    rate: Column = F.lit(1.0)
-    reached = mass
-    for _ in range(steps):
-        if all(abs(a - t) <= tolerance * max(budget, 1.0) * max(w, 1e-3) for a, t, w in zip(reached, target, share, strict=True)):
+    target = np.array([w * budget for w in share])
+    if scarce == "short":
+        target = np.minimum(target, max_rate * mass)
+    near = tolerance * max(budget, 1.0) * np.maximum(share, 1e-3)
+    unit = np.maximum(mass, 1e-9 * max(float(mass.sum()), 1.0))
+    value, reached, bend = _sums(measured, shifts, max_rate)
+    for weight in (10.0**-e for e in range(1, 8)):
+        dual = lambda v, s: v - float(s @ target) - weight * float(unit @ (s * s)) / 2  # noqa: B023, E731
+        while True:
+            rise = reached - target - weight * unit * shifts
+            if (np.abs(reached - target) <= near).all() or (np.abs(rise) <= 1e-6 * unit).all():
+                break
+            step, part = np.linalg.solve(bend + np.diag(weight * unit), rise), 1.0
+            while True:
+                after = _sums(measured, shifts + part * step, max_rate)
+                gain = dual(after[0], shifts + part * step) - dual(value, shifts)
+                if gain >= 1e-4 * part * float(rise @ step) or part < 1e-6:
+                    break
+                part /= 2
+            if gain <= 0:  # as near as floating point tells
+                break
+            shifts, (value, reached, bend) = shifts + part * step, after
+        if (np.abs(reached - target) <= near).all():
             break
-        changes.append([(a - t) / m if m > 0 else 0.0 for a, t, m in zip(reached, target, mass, strict=True)])
-        rate = _step(rate, changes[-1], max_rate)
-        before, reached = reached, totals(measured, rate, k)
-        if all(abs(a - b) <= tolerance / 10 * max(m, 1.0) for a, b, m in zip(reached, before, mass, strict=True)):
-            break
-    return changes, target, reached
-
-
-def rate_of(changes: list[list[float]], max_rate: float) -> Column:
-    rate: Column = F.lit(1.0)
-    for change in changes:
-        rate = _step(rate, change, max_rate)
-    return rate
+    return Fit(shifts.tolist(), mass.tolist(), target.tolist(), reached.tolist(), bool((np.abs(reached - target) <= near).all()))
 
 
 def _uniform(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float, budget: float | None) -> tuple[DataFrame, DataFrame]:
-    """The statistics of all documents, and the table of posteriors and rate by combination of bins."""
+def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, scarce: str = "limit") -> tuple[DataFrame, DataFrame, Fit]:
+    """The statistics of all documents, the table of posteriors and rate by combination of bins, and the fit.
+
+    Logs targets and totals reached: as a warning where they differ or a domain falls short of its weight.
+    """
     order = [float(weights.get(d, 0.0)) for d in DOMAINS]
     if min(order) < 0 or sum(order) <= 0:
         raise ValueError("weights must not be negative, and one must be positive")
@@ -143,8 +184,13 @@ def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_r
     chances = Classifier(measured, labels).posterior(F.col("bins"))
     by_bins = measured.groupBy("bins").agg(F.sum("tokens").alias("tokens"))
     held = spill(by_bins.select("bins", "tokens", *[p.alias(f"p{k}") for k, p in enumerate(chances)]), "posteriors")
-    changes, _, _ = fit_rates(held, order, max_rate, budget)
-    return measured, spill(held.drop("tokens").withColumn("rate", rate_of(changes, max_rate)), "rates")
+    fit = fit_rates(held, order, max_rate, budget, scarce=scarce)
+    main = max(range(len(order)), key=lambda i: order[i])
+    short = [d for d, t, w in zip(DOMAINS, fit.targets, order, strict=True) if t < w / order[main] * fit.targets[main] * (1 - 1e-9)]
+    said = ", ".join(f"{d} {t:.0f} of {m:.0f} wanted, {r:.0f} reached" for d, m, t, r in zip(DOMAINS, fit.mass, fit.targets, fit.reached, strict=True))
+    log_ = logging.getLogger(__name__)
+    (log_.info if fit.met and not short else log_.warning)("mixing, tokens by domain: %s; targets %s; short of their weight: %s", said, "met" if fit.met else "out of reach, nearest totals", ", ".join(short) or "none")
+    return measured, spill(held.drop("tokens").withColumn("rate", rate_of(fit.shifts, max_rate)), "rates"), fit
 
 
 def _with_copies(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
@@ -153,22 +199,23 @@ def _with_copies(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     return rows.join(rates, "bins").withColumn("copies", copies.cast("int"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, seed: int = 7, scarce: str = "limit") -> DataFrame:
     """doc_id, tokens, p0.. (posteriors in DOMAINS' order), rate and copies of every row.
 
     Null or empty texts have no tokens: they get a rate, and no effect on totals. Rows with an equal doc_id draw
     the same number; labels without a matching document, null labels and repeated equal labels are harmless.
     Without any label all domains are equally likely. A domain that no document may belong to can't be filled:
-    its target is then out of reach and the nearest totals result. Columns of docs other than doc_id and text are
+    its target is then out of reach and the nearest totals result, with a warning. budget and scarce: as in
+    fit_rates. Columns of docs other than doc_id and text are
     ignored.
     """
-    measured, rates = _fitted(docs, labels, weights, max_rate, budget)
+    measured, rates, _ = fitted(docs, labels, weights, max_rate, budget, scarce)
     return _with_copies(measured, rates, seed).drop("bins")
 
 
-def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, seed: int = 7) -> DataFrame:
+def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, seed: int = 7, scarce: str = "limit") -> DataFrame:
     """docs' rows, each as often as its copies say; columns as in docs, whatever their names."""
-    _, rates = _fitted(docs, labels, weights, max_rate, budget)
+    _, rates, _ = fitted(docs, labels, weights, max_rate, budget, scarce)
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     out = _with_copies(statistics(whole), rates, seed).where("copies > 0")
     if max_rate > 1:

@@ -233,3 +233,29 @@ def test_blocks_of_open_members_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 4, rounds=0).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_mixing_reaches_the_optimum_with_a_rare_domain(spark, monkeypatch, caplog):
+    """Targets that no rates reach, one domain rare: the nearest totals, as by long numpy descent, and a warning."""
+    p = np.array([[0.0005, 0.02, 0.9795], [0.005, 0.9, 0.095], [0.7, 0.1, 0.2], [0.002, 0.2, 0.798]])
+    n = np.array([60000, 6000, 150, 9000])
+
+    class Given:
+        def __init__(self, measured, labels):
+            pass
+
+        def posterior(self, bins):
+            return [F.element_at(F.array(*[F.lit(float(x)) for x in p[:, k]]), F.element_at(bins, 5) + 1) for k in range(3)]
+
+    monkeypatch.setattr(mixing, "Classifier", Given)
+    docs = spark.createDataFrame([(i, " ".join([*mixing.INSULTS[:i], *["w"] * (int(n[i]) - i)])) for i in range(4)], "doc_id long, text string")
+    rows = mixing.mixed(docs, None, {"clean": 0.9, "toxic": 0.06, "junk": 0.04}).orderBy("doc_id").collect()
+    assert [r.tokens for r in rows] == n.tolist()
+    mass, share = n @ p, np.array([0.04, 0.06, 0.9])
+    target = share * 0.95 * min(mass / share)
+    best = np.ones(4)
+    for _ in range(20000):
+        best = np.clip(best - p @ (((best * n) @ p - target) / mass), 0, 1)
+    cost = lambda rate: float((((rate * n) @ p - target) ** 2 / mass).sum())
+    assert cost(np.array([r.rate for r in rows])) <= 1.0001 * cost(best)
+    assert any("out of reach" in m for m in caplog.messages)
