@@ -5,6 +5,7 @@ Classify quality, drop near duplicates, drop contaminated documents, mix sources
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that domains' expected token totals meet the target weights; no rate is above 1."""
-    return mixing.drawn(docs, table(spark, sf_dir, "labels"), TARGETS)
+    """Documents drawn at rates of at most 1: clean ones whole, others cut to their share beside them.
+
+    A domain of which too little is left, such as junk after stage "quality", falls short of its weight.
+    """
+    return mixing.drawn(docs, table(spark, sf_dir, "labels"), TARGETS, scarce="short")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table; rows in and out of the stages before it are logged, the last one keeps all."""
     docs = table(spark, sf_dir, "documents")
+    rows = docs.count()
     for name, stage in STAGES[:-1]:
         docs = spill(stage(spark, docs, sf_dir), name)
+        before, rows = rows, docs.count()
+        logging.getLogger(__name__).info("%s: %d rows in, %d out", name, before, rows)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from helioflux.llm import decontaminate, mixing, near_dedup, outliers, quality, secrets, sharding, superminhash, tokens, toxicity, urlrules
 
 SMALL = "/root/testdata/sf0.001"
@@ -259,3 +261,13 @@ def test_mixing_reaches_the_optimum_with_a_rare_domain(spark, monkeypatch, caplo
     cost = lambda rate: float((((rate * n) @ p - target) ** 2 / mass).sum())
     assert cost(np.array([r.rate for r in rows])) <= 1.0001 * cost(best)
     assert any("out of reach" in m for m in caplog.messages)
+
+
+def test_pipeline_keeps_clean_documents_without_junk(spark):
+    """What a perfect stage 7 leaves: stage 4 must not size the corpus by the junk that is gone."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    clean = labels.where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    out = corpus_pipeline.mix(spark, good, sf_dir).join(clean, "doc_id", "left_semi").count()
+    assert out >= 0.95 * good.join(clean, "doc_id", "left_semi").count()
