@@ -4,8 +4,9 @@ A shard is a block of whole documents. Its words become an integer sequence with
 documents, and a word-level suffix array of that sequence is built by prefix doubling, which sorts only
 suffixes that are still tied (Larsson and Sadakane, 2007). Every suffix of every benchmark item is then
 binary-searched in the array: the range of suffixes that share its first w words holds all occurrences of that
-window, and narrowing goes on to the longest verbatim match and its locations. A match counts only when a
-64-bit hash of all its words agrees too.
+window. An occurrence counts only when a 64-bit hash of all its words agrees too. A longer verbatim match is a run
+of occurrences that moves on by one word in document and item alike, so the runs of all occurrences are all
+longest matches and their locations, in every document that holds one.
 
 Documents are never shuffled: one map over the corpus. The test suffixes go along in blocks of bounded size
 (``block_mb`` of item text each); a larger benchmark means more blocks searched in turn in the same shard, not
@@ -91,6 +92,8 @@ class Tests:
     window: np.ndarray
     key: np.ndarray
     #: hash of the suffix's first window
+    first: np.ndarray
+    #: each item's first word
 
     @staticmethod
     def of(items: list[str], texts: list[str | None], w: int) -> Tests:
@@ -107,7 +110,7 @@ class Tests:
         window_hash = np.zeros(len(hashes), dtype=np.uint64)
         values, first = sequence_hashes(hashes, at.doc, w)
         window_hash[first] = values
-        return Tests(items, np.concatenate([_symbols(hashes), np.zeros(1, np.uint32)]), start, start[has], length[has], item[has], window[has], window_hash[start[has]])
+        return Tests(items, np.concatenate([_symbols(hashes), np.zeros(1, np.uint32)]), start, start[has], length[has], item[has], window[has], window_hash[start[has]], at.doc[:-1])
 
 
 def _narrow(symbols: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,40 +133,34 @@ def _narrow(symbols: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return bound(False), bound(True)
 
 
-@dataclass
-class Matches:
-    """Occurrences of windows, and each test suffix's longest match in the shard."""
-
-    place: np.ndarray
-    query: np.ndarray
-    longest_query: np.ndarray
-    longest: np.ndarray
-    longest_place: np.ndarray
-
-
-def search(symbols: np.ndarray, order: np.ndarray, tests: Tests) -> Matches:
+def search(symbols: np.ndarray, order: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """Place and query of each occurrence of a query's window."""
     live = np.arange(len(tests.start))
     lo, hi = np.zeros(len(live), dtype=np.int64), np.full(len(live), len(symbols), dtype=np.int64)
-    found, longest = [], []
+    place, query = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     depth = 0
     while len(live):
-        want = tests.symbols[tests.start[live] + depth]
-        a, b = _narrow(symbols, order, lo, hi, depth, want)
+        a, b = _narrow(symbols, order, lo, hi, depth, tests.symbols[tests.start[live] + depth])
         depth += 1
         here = a < b
-        out = ~here & (depth - 1 >= tests.window[live])
-        longest.append((live[out], np.full(out.sum(), depth - 1), order[lo[out]]))
         live, lo, hi = live[here], a[here], b[here]
-        full = np.flatnonzero(tests.window[live] == depth)
-        if len(full):
-            size = hi[full] - lo[full]
-            at = np.repeat(lo[full] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            found.append((order[at], np.repeat(live[full], size)))
-        over = tests.length[live] == depth
-        longest.append((live[over], np.full(over.sum(), depth), order[lo[over]]))
-        live, lo, hi = live[~over], lo[~over], hi[~over]
-    join = lambda parts, i: np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    return Matches(join(found, 0), join(found, 1), join(longest, 0), join(longest, 1), join(longest, 2))
+        full = tests.window[live] == depth
+        size = hi[full] - lo[full]
+        at = np.repeat(lo[full] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place.append(order[at])
+        query.append(np.repeat(live[full], size))
+        live, lo, hi = live[~full], lo[~full], hi[~full]
+    return np.concatenate(place), np.concatenate(query)
+
+
+def runs(head: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence of each run that moves on by one word in document and item, and the run's words."""
+    by = np.lexsort((head, head - start))
+    new = np.ones(len(by), dtype=bool)
+    x, y = by[1:], by[:-1]
+    new[1:] = (head[x] != head[y] + 1) | (start[x] != start[y] + 1) | (doc[x] != doc[y]) | (item[x] != item[y])
+    first = np.flatnonzero(new)
+    return by[first], size[by[first]] + np.diff(np.append(first, len(by))) - 1
 
 
 def _broken(hashes: np.ndarray, at: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,58 +173,62 @@ def _broken(hashes: np.ndarray, at: Words) -> tuple[np.ndarray, np.ndarray, np.n
     return symbols, place, at.doc[:-1] + np.arange(len(counts))
 
 
-def _judge(block: Block, tests: list[Tests], w: int, depth: int, per_mille_of: int) -> tuple[list, ...]:
+def _judge(block: Block, tests: list[Tests], w: int) -> tuple[list, ...]:
     at = words(block, ALNUM)
     hashes = span_hashes(block.data, at.start, at.end, fold=True)
     symbols, place, first = _broken(hashes, at)
-    order = suffix_array(symbols, depth)
+    order = suffix_array(symbols, w)
     of = np.repeat(np.arange(block.n), at.counts)
     word_at = np.full(len(symbols) + 1, -1, dtype=np.int64)
     word_at[place] = np.arange(len(hashes))
     edge = np.zeros(len(hashes) + 1, dtype=np.int64)
     seen: dict[int, set[str]] = {}
     longest = np.zeros(block.n, dtype=np.int64)
+    matches: dict[int, set[tuple[int, str, int, int]]] = {}
     for part in tests:
-        found = search(symbols, order, part)
-        head, size = word_at[found.place], part.window[found.query]
+        place_, query_ = search(symbols, order, part)
+        head, size = word_at[place_], part.window[query_]
         same = np.zeros(len(head), dtype=bool)
         for length in np.unique(size):
             pick = np.flatnonzero(size == length)
-            runs = sequence_hashes(hashes[(head[pick][:, None] + np.arange(length)).reshape(-1)], np.arange(len(pick) + 1) * length, w)[0]
-            same[pick] = runs == part.key[found.query[pick]]
-        head, size, query = head[same], size[same], found.query[same]
+            found = sequence_hashes(hashes[(head[pick][:, None] + np.arange(length)).reshape(-1)], np.arange(len(pick) + 1) * length, w)[0]
+            same[pick] = found == part.key[query_[pick]]
+        head, size, query = head[same], size[same], query_[same]
         np.add.at(edge, head, 1)
         np.add.at(edge, head + size, -1)
         doc, item = of[head], part.item[query]
         for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
             seen.setdefault(d, set()).add(part.items[i])
-        np.maximum.at(longest, doc, size)
-        true = word_at[found.longest_place]
-        good = np.isin(true * np.int64(len(part.start) + 1) + found.longest_query, head * np.int64(len(part.start) + 1) + query)
-        np.maximum.at(longest, of[true[good]], found.longest[good])
+        lead, n_same = runs(head, part.start[query], size, doc, item)
+        np.maximum.at(longest, doc[lead], n_same)
+        at_doc, at_item = head[lead] - at.doc[doc[lead]], part.start[query[lead]] - part.first[item[lead]]
+        for d, i, x, y, n in zip(doc[lead].tolist(), item[lead].tolist(), at_doc.tolist(), at_item.tolist(), n_same.tolist(), strict=True):
+            matches.setdefault(d, set()).add((x, part.items[i], y, n))
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     n_hit = hit[at.doc[1:]] - hit[at.doc[:-1]]
     names = [sorted(seen.get(d, ())) for d in range(block.n)]
-    return at.counts, n_hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], longest
+    return at.counts, n_hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], longest, [sorted(matches.get(d, ())) for d in range(block.n)]
+
+
+_MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("n_words", pa.int64())]))
 
 
 def _judger(held, w: int, share: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = [Tests.of(items, texts, w) for items, texts in held.value]
-        depth = max([w, *(int(t.length.max()) for t in tests if len(t.length))]) + 1
         for batch in batches:
             for block in blocks(batch.column(1), _SHARD_BYTES):
-                n_words, n_hit, n_items, digest, longest = _judge(block, tests, w, depth, share)
+                n_words, n_hit, n_items, digest, longest, matches = _judge(block, tests, w)
                 bad = (n_hit > 0) & (share * n_hit >= n_words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), pa.array(longest)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
+                    [batch.column(0).slice(block.first, block.n), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), pa.array(longest), pa.array([[dict(zip(_MATCHES.value_type.names, m, strict=True)) for m in x] for x in matches], _MATCHES)],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches"],
                 )
 
     return judge
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, matches array<struct<start long, item_id string, item_start long, n_words long>>"
 
 
 def item_blocks(benchmark: DataFrame, block_mb: float = 8, total_mb: float = 256) -> list[tuple[list[str], list[str | None]]]:
@@ -254,11 +255,13 @@ def item_blocks(benchmark: DataFrame, block_mb: float = 8, total_mb: float = 256
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
+    """Per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, matches.
 
     A document word is hit inside any occurrence of a window of w consecutive item words (an item of fewer
     words, but not none, is one window); contaminated: n_hit > 0 and share * n_hit >= n_words.
-    longest_match: words of the longest verbatim match that holds a window, 0 without.
+    longest_match: words of the longest verbatim match that holds a window, 0 without. matches: every verbatim
+    match that holds a window and can't be extended, by its first word in the document (from 0), item_id, first
+    word in the item and words.
 
     Null and empty texts have no words and are never contaminated. Items without words, with a null text or a
     null item_id match nothing; rows with the same item_id count as one item. Repeated documents each get their

@@ -271,3 +271,25 @@ def test_pipeline_keeps_clean_documents_without_junk(spark):
     good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     out = corpus_pipeline.mix(spark, good, sf_dir).join(clean, "doc_id", "left_semi").count()
     assert out >= 0.95 * good.join(clean, "doc_id", "left_semi").count()
+
+
+def test_longest_matches_by_brute_force(spark):
+    """Documents of one block with the same passage, longer and shorter parts of it, and two items side by side."""
+    item, other, tiny = [f"w{i}" for i in range(60)], [f"w{i}" for i in range(20, 50)] + ["v"] * 3, ["t1", "t2"]
+    bench = [(1, item), (2, other), (3, tiny), (1, item)]
+    docs = [item[10:50], ["x", *item[10:50], "y"], item[5:22], item[:12], [*item[:15], "x", *item[30:60], *item[45:60]], [*item[10:50]], ["t1", "t2", *other[10:]], [], ["t2"]]
+    want = []
+    for d in docs:
+        found = set()
+        for i, t in bench:
+            for x in range(len(d)):
+                for y in range(len(t)):
+                    n = 0
+                    while x + n < len(d) and y + n < len(t) and d[x + n] == t[y + n]:
+                        n += 1
+                    if n >= min(13, len(t)) and (x == 0 or y == 0 or d[x - 1] != t[y - 1]):
+                        found.add((x, str(i), y, n))
+        want.append((max((m[3] for m in found), default=0), sorted(found)))
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").coalesce(1)
+    out = decontaminate.contamination(table, spark.createDataFrame([(i, " ".join(t)) for i, t in bench], "item_id long, text string"))
+    assert [(r.longest_match, [tuple(m) for m in r.matches]) for r in out.orderBy("doc_id").collect()] == want
