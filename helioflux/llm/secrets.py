@@ -4,8 +4,9 @@ Three base patterns find credentials in every whole text. Their matches, a bound
 labelled credentials: for each kind a prefix tree of the strings' characters is built and its statistically
 compatible states are merged (ALERGIA; Carrasco and Oncina, 1994), which gives a deterministic probabilistic
 automaton. A character-pair model of ordinary candidates is the background. Every candidate, a run of
-credential characters that is no base match, is scored by its log likelihood under each automaton less that
-under the background, per character; those above ``least`` become further spans.
+the labelled alphabet outside base matches and no shorter than the shortest labelled credential, is scored by its
+log likelihood under each automaton less that under the background, per character; those above ``least`` become
+further spans. Most candidates are ordinary words: they are never written, but found again in a second pass.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +32,13 @@ ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # a maximal run is found whole, so shorter runs need no match
 KINDS = ("assign", "access", "hex")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 
 #: Labelled strings a kind and background strings that the models are fitted on, the first by hash
 SAMPLE = 2000
 LEAST = 1.0
+#: Strings whose hash or score a task remembers; others are computed again
+REMEMBERED = 1 << 17
 #: Strings are scored to their end; the automata are built from their first characters only so far
 DEPTH = 64
 
@@ -47,39 +52,57 @@ def base_spans(data: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(data: bytes, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more credential characters with a digit and a letter that overlap no base match."""
-    out = []
-    for m in _CANDIDATE.finditer(data):
-        run = m.group()
-        if any(48 <= c <= 57 for c in run) and any(c >= 65 for c in run) and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
-            out.append(m.span())
+    """Runs of 6 or more characters of the labelled alphabet in what base matches leave of the text."""
+    out, at = [], 0
+    for a, b in [*sorted((a, b) for a, b, _, _ in taken), (len(data), len(data))]:
+        if at < a:
+            out += [m.span() for m in _CANDIDATE.finditer(data, at, a)]
+        at = max(at, b)
     return out
 
 
-FOUND = "doc_id long, kind array<int>, start array<long>, stop array<long>, secret array<string>, base array<boolean>"
-
-
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kinds, starts, stops, secrets, bases = ([[] for _ in range(batch.num_rows)] for _ in range(5))
-        for block in blocks(batch.column(1)):
-            for d in range(block.n):
-                raw = block.data[block.at[d] : block.at[d + 1]]
-                data = raw.tobytes()
-                base = base_spans(data)
-                rest = candidates(data, base)
-                i = block.first + d
-                for a, b, kind, s in [*base, *((a, b, -1, a) for a, b in rest)]:
-                    kinds[i].append(kind)
-                    before = code_points(raw[:a])
-                    starts[i].append(before)
-                    stops[i].append(before + code_points(raw[a:b]))
-                    secrets[i].append(data[s:b].decode("ascii"))
-                    bases[i].append(kind >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(kinds, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(secrets, pa.list_(pa.string())), pa.array(bases, pa.list_(pa.bool_()))],
-            ["doc_id", "kind", "start", "stop", "secret", "base"],
-        )
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    """Each row's text and base matches."""
+    for block in blocks(batch.column(1)):
+        for d in range(block.n):
+            data = block.data[block.at[d] : block.at[d + 1]].tobytes()
+            yield data, base_spans(data)
+
+
+LEARNT = "kind int, secret string, hash binary"
+
+
+def _hash(secret: bytes) -> bytes:
+    return hashlib.blake2b(secret, digest_size=8).digest()
+
+
+def _first(sample: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each kind (-1: candidates) the ``sample`` first distinct strings of the partition by hash."""
+        hashed = lru_cache(REMEMBERED)(_hash)
+        kept: dict[int, set[tuple[bytes, bytes]]] = {k: set() for k in range(-1, len(KINDS))}
+        edge: dict[int, bytes] = {}
+
+        def shrink(k: int) -> None:
+            kept[k] = set(sorted(kept[k])[:sample])
+            if len(kept[k]) == sample:
+                edge[k] = max(h for h, _ in kept[k])
+
+        for batch in batches:
+            for data, base in _texts(batch):
+                strings = {(-1, data[a:b]) for a, b in candidates(data, base)} | {(k, data[s:b]) for _, b, k, s in base}
+                for k, secret in strings:
+                    h = hashed(secret)
+                    if k not in edge or h <= edge[k]:
+                        kept[k].add((h, secret))
+                        if len(kept[k]) > 4 * sample:
+                            shrink(k)
+        for k in kept:
+            shrink(k)
+        rows = [(k, secret.decode("ascii"), h) for k, of in kept.items() for h, secret in sorted(of)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "secret", "hash"])
+
+    return run
 
 
 @dataclass
@@ -245,17 +268,18 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 def _scanner(held, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         formats: Formats = held.value
+        best = lru_cache(REMEMBERED)(lambda secret: formats.best(secret.decode("ascii")))
         for batch in batches:
             out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned")}
-            for row in batch.to_pylist():
-                base, more = [], []
-                for kind, a, b, secret in zip(row["kind"], row["start"], row["stop"], row["secret"], strict=True):
-                    if kind >= 0:
-                        base.append((a, b, KINDS[kind]))
-                    else:
-                        name, ratio = formats.best(secret)
-                        if ratio >= least:
-                            more.append((a, b, f"like_{name}"))
+            for data, matches in _texts(batch):
+                raw = np.frombuffer(data, np.uint8)
+                place = lambda a, b: ((n := code_points(raw[:a])), n + code_points(raw[a:b]))  # noqa: B023, E731
+                base = [(*place(a, b), KINDS[k]) for a, b, k, _ in matches]
+                more = []
+                for a, b in candidates(data, matches) if formats.automata else ():
+                    name, ratio = best(data[a:b])
+                    if ratio >= least:
+                        more.append((*place(a, b), f"like_{name}"))
                 order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
                 all_ = sorted([*base, *more], key=lambda s: (s[0], order[s[2]]))
                 for k in KINDS:
@@ -268,17 +292,13 @@ def _scanner(held, least: float):
     return run
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """Base matches and candidates of every row, as parallel arrays (kind -1: candidate; code points)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_found, FOUND)
-
-
-def learned(table: DataFrame, sample: int = SAMPLE) -> Formats:
+def learned(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Automata and background from at most ``sample`` distinct strings a kind, the first by hash."""
-    some = table.where("size(kind) > 0").select(F.explode(F.arrays_zip("kind", "secret")).alias("s")).select("s.kind", "s.secret").distinct()
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first(sample), LEARNT).distinct()
+    some = spill(some, "labelled")
     strings: dict[int, list[str]] = {}
     for k in (-1, 0, 1, 2):
-        of = some.where(F.col("kind") == k).orderBy(F.xxhash64("secret"), "secret").limit(sample)
+        of = some.where(F.col("kind") == k).orderBy("hash", "secret").limit(sample)
         strings[k] = [r["secret"] for r in of.select(F.substring("secret", 1, DEPTH).alias("secret")).collect()]
     return fit({KINDS[k]: strings[k] for k in range(len(KINDS))}, strings[-1])
 
@@ -290,6 +310,6 @@ def scanned(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Data
     Null and empty texts have no spans. Without base matches nothing is learned and nothing added. Repeated rows
     each get theirs; an empty table gives an empty result; only doc_id and text are read.
     """
-    table = spill(found(docs), "found")
-    held = docs.sparkSession.sparkContext.broadcast(learned(table, sample))
-    return table.mapInArrow(_scanner(held, least), SCANNED)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, sample))
+    return rows.mapInArrow(_scanner(held, least), SCANNED)

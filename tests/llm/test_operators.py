@@ -293,3 +293,20 @@ def test_longest_matches_by_brute_force(spark):
     table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").coalesce(1)
     out = decontaminate.contamination(table, spark.createDataFrame([(i, " ".join(t)) for i, t in bench], "item_id long, text string"))
     assert [(r.longest_match, [tuple(m) for m in r.matches]) for r in out.orderBy("doc_id").collect()] == want
+
+
+def test_candidates_by_the_labelled_alphabet():
+    """Short, dotted and letters-only runs, and the part of a run that a base match leaves."""
+    text = b"x7Kq2z, ab.cd1.ef/gh abcdefghij short AKIA" + b"A1" * 9 + b"tail_rest9 end"
+    got = [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+    assert got == [b"x7Kq2z", b"ab.cd1.ef/gh", b"abcdefghij", b"tail_rest9"]
+
+
+def test_short_secrets_are_learned(spark):
+    rng = np.random.default_rng(2)
+    key = lambda: "".join(rng.choice(list("0123456789"), 3)) + "." + "".join(rng.choice(list("0123456789"), 4))
+    words = ["internet", "however", "problem", "network", "morning", "station"]
+    rows = [(i, f"the {words[i % 6]} {words[i % 5]} token={key()} of {words[i % 4]}") for i in range(300)]
+    text = f"the network {key()} of morning"
+    out = secrets.scanned(spark.createDataFrame([*rows, (300, text)], "doc_id long, text string")).where("doc_id = 300").first()
+    assert out.spans == "like_assign:12:20"
