@@ -8,22 +8,24 @@ window. An occurrence counts only when a 64-bit hash of all its words agrees too
 of occurrences that moves on by one word in document and item alike, so the runs of all occurrences are all
 longest matches and their locations, in every document that holds one.
 
-Documents are never shuffled: one map over the corpus. The test suffixes go along in blocks of bounded size
-(``block_mb`` of item text each); a larger benchmark means more blocks searched in turn in the same shard, not
-a larger broadcast at a time.
+Documents are never shuffled. The test suffixes go along in blocks of ``block_mb`` of item text, at most
+``group_mb`` of them in one broadcast: one map over the corpus for the usual benchmark. A larger one is searched
+group by group, each pass adding its matches to the documents' rows, so the size of a broadcast doesn't grow.
+All results follow from the matches: a match is the union of the windows that it holds.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import spill
 from .textblocks import ALNUM, Block, Words, blocks, sequence_hashes, span_hashes, words
 
 WINDOW = 13
@@ -163,28 +165,26 @@ def runs(head: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray,
     return by[first], size[by[first]] + np.diff(np.append(first, len(by))) - 1
 
 
-def _broken(hashes: np.ndarray, at: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols with one separator after each document, the place of each word, and each document's first place."""
+def _broken(hashes: np.ndarray, at: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with one separator after each document, and the place of each word."""
     counts = at.counts
     of = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(hashes)) + of
     symbols = np.zeros(len(hashes) + len(counts), dtype=np.uint32)
     symbols[place] = _symbols(hashes)
-    return symbols, place, at.doc[:-1] + np.arange(len(counts))
+    return symbols, place
 
 
-def _judge(block: Block, tests: list[Tests], w: int) -> tuple[list, ...]:
+def _matches(block: Block, tests: list[Tests], w: int) -> tuple[np.ndarray, list[set[tuple[int, str, int, int]]]]:
+    """Words of each document, and its matches (start, item, start in the item, words)."""
     at = words(block, ALNUM)
     hashes = span_hashes(block.data, at.start, at.end, fold=True)
-    symbols, place, first = _broken(hashes, at)
+    symbols, place = _broken(hashes, at)
     order = suffix_array(symbols, w)
     of = np.repeat(np.arange(block.n), at.counts)
     word_at = np.full(len(symbols) + 1, -1, dtype=np.int64)
     word_at[place] = np.arange(len(hashes))
-    edge = np.zeros(len(hashes) + 1, dtype=np.int64)
-    seen: dict[int, set[str]] = {}
-    longest = np.zeros(block.n, dtype=np.int64)
-    matches: dict[int, set[tuple[int, str, int, int]]] = {}
+    matches: list[set[tuple[int, str, int, int]]] = [set() for _ in range(block.n)]
     for part in tests:
         place_, query_ = search(symbols, order, part)
         head, size = word_at[place_], part.window[query_]
@@ -194,67 +194,88 @@ def _judge(block: Block, tests: list[Tests], w: int) -> tuple[list, ...]:
             found = sequence_hashes(hashes[(head[pick][:, None] + np.arange(length)).reshape(-1)], np.arange(len(pick) + 1) * length, w)[0]
             same[pick] = found == part.key[query_[pick]]
         head, size, query = head[same], size[same], query_[same]
-        np.add.at(edge, head, 1)
-        np.add.at(edge, head + size, -1)
         doc, item = of[head], part.item[query]
-        for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
-            seen.setdefault(d, set()).add(part.items[i])
         lead, n_same = runs(head, part.start[query], size, doc, item)
-        np.maximum.at(longest, doc[lead], n_same)
         at_doc, at_item = head[lead] - at.doc[doc[lead]], part.start[query[lead]] - part.first[item[lead]]
         for d, i, x, y, n in zip(doc[lead].tolist(), item[lead].tolist(), at_doc.tolist(), at_item.tolist(), n_same.tolist(), strict=True):
-            matches.setdefault(d, set()).add((x, part.items[i], y, n))
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    n_hit = hit[at.doc[1:]] - hit[at.doc[:-1]]
-    names = [sorted(seen.get(d, ())) for d in range(block.n)]
-    return at.counts, n_hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], longest, [sorted(matches.get(d, ())) for d in range(block.n)]
+            matches[d].add((x, part.items[i], y, n))
+    return at.counts, matches
 
 
 _MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("n_words", pa.int64())]))
+MATCHES = "array<struct<start long, item_id string, item_start long, n_words long>>"
+_BUILT: dict[str, list[Tests]] = {}
 
 
-def _judger(held, w: int, share: int):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [Tests.of(items, texts, w) for items, texts in held.value]
-        for batch in batches:
-            for block in blocks(batch.column(1), _SHARD_BYTES):
-                n_words, n_hit, n_items, digest, longest, matches = _judge(block, tests, w)
-                bad = (n_hit > 0) & (share * n_hit >= n_words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(bad), pa.array(longest), pa.array([[dict(zip(_MATCHES.value_type.names, m, strict=True)) for m in x] for x in matches], _MATCHES)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches"],
-                )
+def _tests(held, name: str, w: int) -> list[Tests]:
+    """The queries of a broadcast, made once in a worker process."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = [Tests.of(items, texts, w) for items, texts in held.value]
+    return _BUILT[name]
 
-    return judge
 
+def _finder(held, name: str, w: int):
+    """Adds _n_words and _matches to rows; matches of earlier passes are kept."""
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, matches array<struct<start long, item_id string, item_start long, n_words long>>"
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = _tests(held, name, w)
+        for batch in batches:
+            text, before = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.schema.get_field_index("_matches"))
+            others = [i for i, c in enumerate(batch.schema.names) if c not in ("_n_words", "_matches")]
+            for block in blocks(text, _SHARD_BYTES):
+                n_words, matches = _matches(block, tests, w)
+                for found, row in zip(matches, before.slice(block.first, block.n).to_pylist(), strict=True):
+                    found.update(tuple(m.values()) for m in row or ())
+                rows = pa.array([[dict(zip(_MATCHES.value_type.names, m, strict=True)) for m in sorted(x)] for x in matches], _MATCHES)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(block.first, block.n) for i in others), pa.array(n_words.astype(np.int64)), rows], [*(batch.schema.names[i] for i in others), "_n_words", "_matches"])
 
+    return find
 
-def item_blocks(benchmark: DataFrame, block_mb: float = 8, total_mb: float = 256) -> list[tuple[list[str], list[str | None]]]:
-    """The benchmark's items in blocks of at most ``block_mb`` of text; its size is checked before it is fetched.
 
-    Beyond ``total_mb`` this raises: split the benchmark and intersect the results of several calls.
-    """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    if size > total_mb * 1e6:
-        raise ValueError(f"benchmark texts have {size} bytes; the bound is {total_mb} MB")
-    out: list[tuple[list[str], list[str | None]]] = []
-    filled = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
-        if row["i"] is None:
-            continue
-        more = len((row["text"] or "").encode())
-        if not out or filled + more > block_mb * 1e6:
-            out.append(([], []))
-            filled = 0
-        out[-1][0].append(row["i"])
-        out[-1][1].append(row["text"])
-        filled += more
-    return out
+def _covered(matches: Column) -> Column:
+    """Words inside any of the matches, which are sorted by start."""
+
+    def add(state: Column, m: Column) -> Column:
+        last = m["start"] + m["n_words"]
+        more = F.greatest(F.lit(0), last - F.greatest(m["start"], state["end"]))
+        return F.struct((state["total"] + more).alias("total"), F.greatest(state["end"], last).alias("end"))
 
+    return F.aggregate(matches, F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("end")), add)["total"]
 
-def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share: int = 20) -> DataFrame:
+
+def item_groups(benchmark: DataFrame, block_mb: float = 8, group_mb: float = 64) -> Iterator[list[tuple[list[str], list[str | None]]]]:
+    """The benchmark's items in blocks of about ``block_mb`` of text, in groups of about ``group_mb``, one group at a time."""
+    group: list[tuple[list[str], list[str | None]]] = []
+    held = filled = 0.0
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("text")).where("item_id is not null").orderBy("i", "text").toLocalIterator():
+        more = len((row["text"] or "").encode())
+        if group and held + more > group_mb * 1e6:
+            yield group
+            group, held, filled = [], 0.0, 0.0
+        if not group or filled + more > block_mb * 1e6:
+            group.append(([], []))
+            filled = 0.0
+        group[-1][0].append(row["i"])
+        group[-1][1].append(row["text"])
+        held, filled = held + more, filled + more
+    yield group
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, w: int, share: int, group_mb: float) -> DataFrame:
+    """rows (row, text) with n_words, matches, n_hit, items and contaminated."""
+    spark = rows.sparkSession
+    rows = rows.select("row", F.col("text").cast("string").alias("_text"), F.lit(None).cast("long").alias("_n_words"), F.lit(None).cast(MATCHES).alias("_matches"))
+    for i, group in enumerate(item_groups(benchmark, group_mb=group_mb)):
+        if i:
+            rows = spill(rows, "matches")
+        rows = rows.mapInArrow(_finder(spark.sparkContext.broadcast(group), uuid.uuid4().hex, w), rows.schema)
+    out = rows.select("row", F.col("_n_words").alias("n_words"), F.col("_matches").alias("matches"))
+    out = out.withColumns({"n_hit": _covered(F.col("matches")), "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share: int = 20, group_mb: float = 64) -> DataFrame:
     """Per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, matches.
 
     A document word is hit inside any occurrence of a window of w consecutive item words (an item of fewer
@@ -265,13 +286,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share:
 
     Null and empty texts have no words and are never contaminated. Items without words, with a null text or a
     null item_id match nothing; rows with the same item_id count as one item. Repeated documents each get their
-    row. Empty tables are fine. Columns other than doc_id, text and item_id are ignored.
+    row, also under a null doc_id. Empty tables are fine. Columns other than doc_id, text and item_id are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(item_blocks(benchmark))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judger(held, w, share), RESULT)
+    out = _judged(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), benchmark, w, share, group_mb)
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long"))
+    digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return out.select(F.col("row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", longest.alias("longest_match"), "matches")
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share: int = 20) -> DataFrame:
-    """docs without contaminated documents, all columns kept; a doc_id of which any row is contaminated goes."""
-    bad = contamination(docs, benchmark, w, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+def removed(docs: DataFrame, benchmark: DataFrame, w: int = WINDOW, share: int = 20, group_mb: float = 64) -> DataFrame:
+    """docs' rows that aren't contaminated, with all columns whatever their names; each row is judged by its own text.
+
+    A row with a null doc_id is judged like any other.
+    """
+    out = _judged(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, w, share, group_mb).where("not contaminated")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
