@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns, and formats learned by grammar inference.
 
 Three base patterns find credentials in every whole text. Their matches, a bounded sample by hash, are the
-labelled credentials: for each kind a prefix tree of the strings' characters is built and its statistically
+labelled credentials: for each kind a prefix tree of the whole strings' characters is built and its statistically
 compatible states are merged (ALERGIA; Carrasco and Oncina, 1994), which gives a deterministic probabilistic
-automaton. A character-pair model of ordinary candidates is the background. Every candidate, a run of
-the labelled alphabet outside base matches and no shorter than the shortest labelled credential, is scored by its
-log likelihood under each automaton less that under the background, per character; those above ``least`` become
-further spans. Most candidates are ordinary words: they are never written, but found again in a second pass.
+automaton. States must agree in their next characters, their ends and the lengths still to come: most states of
+random keys have one string, of which next characters alone tell nothing. A character-pair model of ordinary
+candidates is the background. Every candidate, a base match or a run of the labelled alphabet outside base matches
+and no shorter than the shortest labelled credential, is scored by its log likelihood under each automaton, its
+end included, less that under the background, per character; runs above ``least`` become further spans. Most
+candidates are ordinary words: they are never written, but found again in a second pass.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 from math import log, sqrt
 
 import numpy as np
@@ -24,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import spill
-from .textblocks import blocks, code_points
+from .store import discard, spill
+from .textblocks import blocks, starts_of_code_points
 
 #: The base patterns, in the order of kinds
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,8 +42,8 @@ SAMPLE = 2000
 LEAST = 1.0
 #: Strings whose hash or score a task remembers; others are computed again
 REMEMBERED = 1 << 17
-#: Strings are scored to their end; the automata are built from their first characters only so far
-DEPTH = 64
+#: Bounds of training: longer strings are no examples, and a kind's examples have so many characters together
+LONGEST, CHARACTERS = 4096, 300_000
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int, int]]:
@@ -92,6 +95,8 @@ def _first(sample: int):
             for data, base in _texts(batch):
                 strings = {(-1, data[a:b]) for a, b in candidates(data, base)} | {(k, data[s:b]) for _, b, k, s in base}
                 for k, secret in strings:
+                    if len(secret) > LONGEST:
+                        continue
                     h = hashed(secret)
                     if k not in edge or h <= edge[k]:
                         kept[k].add((h, secret))
@@ -107,44 +112,64 @@ def _first(sample: int):
 
 @dataclass
 class Automaton:
-    """A deterministic probabilistic automaton; end counts and moves carry observed frequencies."""
+    """A deterministic probabilistic automaton; characters, ends and lengths to come are observed frequencies."""
 
     moves: list[dict[str, int]] = field(default_factory=list)
     seen: list[dict[str, int]] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
+    left: list[dict[int, int]] = field(default_factory=list)
+    _logs: list[tuple[dict[str, float], float, float]] = field(default_factory=list)
+
+    def _log(self, state: int, alphabet: int) -> tuple[dict[str, float], float, float]:
+        """Log probabilities at a state: of seen characters, of any other one and of the end."""
+        if not self._logs:
+            for counts, end in zip(self.seen, self.ends, strict=True):
+                all_ = sum(counts.values()) + end + 0.01 * (alphabet + 1)
+                self._logs.append(({c: log((n + 0.01) / all_) for c, n in counts.items()}, log(0.01 / all_), log((end + 0.01) / all_)))
+        return self._logs[state]
 
     def score(self, text: str, alphabet: int) -> float:
-        """Log likelihood with one added to each count, over an alphabet of so many characters and the end."""
-        state, total = 0, 0.0
+        """Log likelihood of the string and its end, 0.01 added to each count; beyond all states all is as likely."""
+        state, total, plain = 0, 0.0, -log(alphabet + 1)
         for c in text:
-            counts = self.seen[state] if state >= 0 else {}
-            all_ = sum(counts.values()) + (self.ends[state] if state >= 0 else 0)
-            total += log((counts.get(c, 0) + 0.01) / (all_ + 0.01 * (alphabet + 1)))
-            state = self.moves[state].get(c, -1) if state >= 0 else -1
-        return total
+            if state < 0:
+                total += plain
+                continue
+            known, other, _ = self._log(state, alphabet)
+            total += known.get(c, other)
+            state = self.moves[state].get(c, -1)
+        return total + (self._log(state, alphabet)[2] if state >= 0 else plain)
 
 
-def prefix_tree(strings: list[str], depth: int = DEPTH) -> Automaton:
-    tree = Automaton([{}], [defaultdict(int)], [0])
+def prefix_tree(strings: list[str]) -> Automaton:
+    tree = Automaton([{}], [defaultdict(int)], [0], [defaultdict(int)])
     for s in strings:
         state = 0
-        for c in s[:depth]:
+        tree.left[0][len(s)] += 1
+        for i, c in enumerate(s):
             tree.seen[state][c] += 1
             if c not in tree.moves[state]:
                 tree.moves[state][c] = len(tree.moves)
                 tree.moves.append({})
                 tree.seen.append(defaultdict(int))
                 tree.ends.append(0)
+                tree.left.append(defaultdict(int))
             state = tree.moves[state][c]
+            tree.left[state][len(s) - i - 1] += 1
         tree.ends[state] += 1
     return tree
 
 
+#: A state of so many strings is taken to show all lengths to come
+SETTLED = 30
+
+
 def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
-    """States whose future frequencies agree within Hoeffding bounds are merged, breadth first."""
+    """States whose futures agree within Hoeffding bounds are merged, breadth first."""
     n = len(tree.moves)
     moves = [dict(m) for m in tree.moves]
     seen = [dict(s) for s in tree.seen]
+    left = [dict(x) for x in tree.left]
     ends = list(tree.ends)
     bound = sqrt(0.5 * log(2 / alpha))
     into = list(range(n))
@@ -161,6 +186,19 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > bound * (1 / sqrt(n1) + 1 / sqrt(n2))
 
+    def lengths_differ(a: int, na: int, b: int, nb: int) -> bool:
+        if na < nb:
+            a, na, b, nb = b, nb, a, na
+        if na >= SETTLED and any(x not in left[a] for x in left[b]):
+            return True
+        below_a = below_b = 0
+        for x in sorted(left[a].keys() | left[b].keys()):
+            below_a += left[a].get(x, 0)
+            below_b += left[b].get(x, 0)
+            if differ(below_a, na, below_b, nb):
+                return True
+        return False
+
     def compatible(a: int, b: int) -> bool:
         stack, visited = [(a, b)], set()
         while stack:
@@ -170,7 +208,7 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
                 continue
             visited.add((p, q))
             np_, nq = total(p), total(q)
-            if differ(ends[p], np_, ends[q], nq):
+            if differ(ends[p], np_, ends[q], nq) or lengths_differ(p, np_, q, nq):
                 return False
             for c in seen[p].keys() | seen[q].keys():
                 if differ(seen[p].get(c, 0), np_, seen[q].get(c, 0), nq):
@@ -188,8 +226,9 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
                 continue
             into[q] = p
             ends[p] += ends[q]
-            for c, k in seen[q].items():
-                seen[p][c] = seen[p].get(c, 0) + k
+            for mine, theirs in ((seen[p], seen[q]), (left[p], left[q])):
+                for c, k in theirs.items():
+                    mine[c] = mine.get(c, 0) + k
             for c, t in moves[q].items():
                 if c in moves[p]:
                     stack.append((moves[p][c], t))
@@ -211,7 +250,7 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
             red.append(b)
     names = {q: i for i, q in enumerate(sorted({at(q) for q in red}, key=lambda q: (q != at(0), q)))}
     order = sorted(names, key=names.get)
-    return Automaton([{c: names[at(t)] for c, t in moves[q].items() if at(t) in names} for q in order], [dict(seen[q]) for q in order], [ends[q] for q in order])
+    return Automaton([{c: names[at(t)] for c, t in moves[q].items() if at(t) in names} for q in order], [dict(seen[q]) for q in order], [ends[q] for q in order], [dict(left[q]) for q in order])
 
 
 ALPHABET = 66
@@ -219,7 +258,7 @@ ALPHABET = 66
 
 @dataclass
 class Background:
-    """Log probabilities of a character after another, of ordinary candidates, one added to each count."""
+    """Log probabilities of a character after another, and of the end, of ordinary candidates; one added to each count."""
 
     pairs: dict[tuple[str, str], int]
     after: dict[str, int]
@@ -229,13 +268,13 @@ class Background:
         pairs: dict[tuple[str, str], int] = defaultdict(int)
         after: dict[str, int] = defaultdict(int)
         for s in strings:
-            for a, b in zip("^" + s[:DEPTH], s[:DEPTH], strict=False):
+            for a, b in pairwise(f"^{s}$"):
                 pairs[a, b] += 1
                 after[a] += 1
         return Background(dict(pairs), dict(after))
 
     def score(self, text: str) -> float:
-        return sum(log((self.pairs.get((a, b), 0) + 1) / (self.after.get(a, 0) + ALPHABET)) for a, b in zip("^" + text, text, strict=False))
+        return sum(log((self.pairs.get(p, 0) + 1) / (self.after.get(p[0], 0) + ALPHABET + 1)) for p in pairwise(f"^{text}$"))
 
 
 @dataclass
@@ -262,7 +301,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long"
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores array<double>, n_learned long"
+_ORDER = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
 
 
 def _scanner(held, least: float):
@@ -270,43 +310,57 @@ def _scanner(held, least: float):
         formats: Formats = held.value
         best = lru_cache(REMEMBERED)(lambda secret: formats.best(secret.decode("ascii")))
         for batch in batches:
-            out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned")}
+            out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_learned")}
             for data, matches in _texts(batch):
-                raw = np.frombuffer(data, np.uint8)
-                place = lambda a, b: ((n := code_points(raw[:a])), n + code_points(raw[a:b]))  # noqa: B023, E731
-                base = [(*place(a, b), KINDS[k]) for a, b, k, _ in matches]
-                more = []
+                found = [(a, b, KINDS[k], best(data[s:b])[1]) for a, b, k, s in matches]
                 for a, b in candidates(data, matches) if formats.automata else ():
                     name, ratio = best(data[a:b])
                     if ratio >= least:
-                        more.append((*place(a, b), f"like_{name}"))
-                order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
-                all_ = sorted([*base, *more], key=lambda s: (s[0], order[s[2]]))
+                        found.append((a, b, f"like_{name}", ratio))
+                n_learned = len(found) - len(matches)
+                found.sort(key=lambda s: (s[0], _ORDER[s[2]]))
+                if found:
+                    place = starts_of_code_points(np.frombuffer(data, np.uint8))
+                    found = [(int(place[a]), int(place[b]), k, x) for a, b, k, x in found]
+                base = [s[:3] for s in found if s[2] in KINDS]
                 for k in KINDS:
                     out[f"n_{k}"].append(sum(s[2] == k for s in base))
                 out["base_sha256"].append(_digest(base))
-                out["spans"].append(_joined(all_))
-                out["n_learned"].append(len(more))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f"n_{k}"], pa.int64()) for k in KINDS), pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["n_learned"], pa.int64())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned"])
+                out["spans"].append(_joined([s[:3] for s in found]))
+                out["scores"].append([s[3] for s in found])
+                out["n_learned"].append(n_learned)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(out[f"n_{k}"], pa.int64()) for k in KINDS), pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["n_learned"], pa.int64())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_learned"],
+            )
 
     return run
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Automata and background from at most ``sample`` distinct strings a kind, the first by hash."""
+    """Automata and background from at most ``sample`` distinct strings a kind, the first by hash.
+
+    Strings of over LONGEST characters are no examples, nor those that CHARACTERS in all leave no room for.
+    """
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first(sample), LEARNT).distinct()
     some = spill(some, "labelled")
     strings: dict[int, list[str]] = {}
     for k in (-1, 0, 1, 2):
-        of = some.where(F.col("kind") == k).orderBy("hash", "secret").limit(sample)
-        strings[k] = [r["secret"] for r in of.select(F.substring("secret", 1, DEPTH).alias("secret")).collect()]
+        strings[k], room = [], CHARACTERS
+        for row in some.where(F.col("kind") == k).orderBy("hash", "secret").limit(sample).collect():
+            if len(row["secret"]) <= room:
+                strings[k].append(row["secret"])
+                room -= len(row["secret"])
+    discard(some)
     return fit({KINDS[k]: strings[k] for k in range(len(KINDS))}, strings[-1])
 
 
 def scanned(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """Per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_learned.
+    """Per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, scores and n_learned.
 
-    spans lists ``kind:start:end`` in code points, base kinds and learned ones (like_assign, ...), by start.
+    spans lists ``kind:start:end`` in code points, base kinds and learned ones (like_assign, ...), by start; scores
+    holds each span's log likelihood ratio a character under its likeliest format (of an assignment: of the
+    secret itself). Base spans stay whatever their score.
     Null and empty texts have no spans. Without base matches nothing is learned and nothing added. Repeated rows
     each get theirs; an empty table gives an empty result; only doc_id and text are read.
     """
