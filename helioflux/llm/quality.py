@@ -80,11 +80,15 @@ def _features(bits: int):
 
 
 def gathered(docs: DataFrame, labels: DataFrame, target: Column, rows: int, bits: int) -> tuple[Sample, np.ndarray]:
-    """Features and targets (long) of at most ``rows`` labelled documents, the first by a hash of doc_id."""
+    """Features and targets (long) of at most ``rows`` labelled documents, the first by a hash of doc_id.
+
+    Of differing texts under one doc_id the least counts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), target.cast("long").alias("target")).where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.max("target").alias("target"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("target", "text", "doc_id")
-    got = chosen.select("target", F.col("text").cast("string")).mapInArrow(_features(bits), "target long, features binary").limit(rows).collect()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.first("target").alias("target"), F.min("text").alias("text"))
+    got = chosen.select("target", "text").mapInArrow(_features(bits), "target long, features binary").collect()
     return Sample.of([np.frombuffer(r["features"], np.int32) for r in got]), np.array([r["target"] for r in got], dtype=np.int64)
 
 

@@ -2,11 +2,14 @@
 
 1. Voters look at a text and vote or stay silent: single words of a fixed lexicon, features mined from labelled
    rows, and patterns over the text's statistics.
-2. A generative label model takes the vote table of the whole corpus: each voter's rates of voting on toxic and
-   on other texts are fitted by expectation maximisation from the labelled rows' rates, and correlations that the
-   class doesn't explain discount voters that repeat each other. A row's own label, where it may be used, decides for it.
+2. A generative label model takes the vote table of the whole corpus. Given the class, votes follow a tree: each
+   voter but the first has one parent, and its chance of voting depends on the class and the parent's vote (Chow and
+   Liu, 1968; Friedman et al., 1997). So a voter's accuracy and its strongest correlation are both estimated, and
+   voters that repeat each other count once. Tables are fitted by expectation maximisation over all rows, in which
+   labelled rows, whose class is known, count as observed; each round draws the tree anew from the expected pair
+   counts. A row's posterior comes from its votes alone.
 3. A linear classifier over hashed text features learns the posterior labels of a bounded sample of rows, and
-   scores every text. Its inputs come from the text alone.
+   scores every text. Its inputs come from the text alone; no row's own label is its target.
 
 Labels are used only from rows whose crc32(doc_id as text) mod 3 is not 1.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .hashed import Sample, dot, extract, logistic, restrict, sigmoid, telling
 from .quality import gathered
-from .store import spill
+from .store import discard, spill
 from .textblocks import Block, blocks, span_hashes
 
 BITS = 18
@@ -34,11 +37,11 @@ LEXICON = (
 )
 MINED = 32
 VOTERS = len(LEXICON) + MINED + 4
-#: Bounds of rows: labelled ones for mining and first rates, and ones for the classifier
+#: Bounds of labelled rows for mining and first rates, and of rows for the classifier, the first by hash each
 TRAIN_ROWS = 12000
 SAMPLE_ROWS = 24000
-#: Posterior of a row whose label is known
-LABEL_TRUST = 0.99
+#: Rows' weight in the label model for each that carries a label, and rows added to smooth a table's entry
+KNOWN, SMOOTH = 20.0, 2.0
 
 
 def remainder() -> Column:
@@ -82,72 +85,107 @@ def _spread(votes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    prior: float
-    toxic: np.ndarray
-    other: np.ndarray
-    trust: np.ndarray
-    """Discount of each voter's evidence for correlation, in (0, 1]."""
-
-    def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        """Of toxic; a silent voter abstains, as its words may be of another language."""
-        return np.log(self.prior / (1 - self.prior)) + _spread(votes, len(self.trust)) @ (self.trust * np.log(self.toxic / self.other))
+    """log_table[y, i, u, v]: log chance that voter i's vote is v where its parent's is u, given class y."""
 
+    log_prior: np.ndarray
+    parent: np.ndarray
+    log_table: np.ndarray
 
-def first_model(votes: np.ndarray, label: np.ndarray, n: int) -> LabelModel:
-    """Rates counted on labelled rows; without any, lexicon words are taken to be rare and telling."""
-    v = _spread(votes, n)
-    pos, neg = label == 1, label == 0
-    toxic = (v[pos].sum(axis=0) + 1.0) / (pos.sum() + 3.0)
-    other = (v[neg].sum(axis=0) + 0.05) / (neg.sum() + 10.0)
-    return LabelModel(float((pos.sum() + 1) / (len(label) + 10)), np.clip(toxic, 1e-4, 0.999), np.clip(other, 1e-4, 0.9), np.ones(n))
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """Of toxic."""
+        v = _spread(votes, len(self.parent)).astype(np.int64)
+        above = np.where(self.parent < 0, 0, v[:, np.maximum(self.parent, 0)])
+        told = self.log_table[1] - self.log_table[0]
+        return self.log_prior[1] - self.log_prior[0] + told[np.arange(len(self.parent))[None, :], above, v].sum(axis=1)
+
+
+def tree_model(total: np.ndarray) -> LabelModel:
+    """The likeliest tree and tables from expected counts: total[y, 0, 0] rows, [y, 0, i] votes, [y, i, j] votes of both."""
+    n = total.shape[1] - 1
+    rows = total[:, 0, 0][:, None, None]
+    on = total[:, 1:, 1:]
+    one = total[:, 0, 1:]
+    # counts[y, i, j, u, v]: rows where voter i's vote is u and voter j's is v
+    counts = np.stack([np.stack([rows - one[:, :, None] - one[:, None, :] + on, one[:, None, :] - on], axis=-1), np.stack([one[:, :, None] - on, on], axis=-1)], axis=-2)
+    counts = np.maximum(counts, 0.0)
+    # Conditional mutual information of each two voters given the class.
+    some = counts + 1e-9
+    joint = some / some.sum(axis=(3, 4), keepdims=True)
+    apart = joint.sum(axis=4, keepdims=True) * joint.sum(axis=3, keepdims=True)
+    share = total[:, 0, 0] / max(total[:, 0, 0].sum(), 1e-9)
+    shared = (share[:, None, None] * (joint * np.log(joint / apart)).sum(axis=(3, 4))).sum(axis=0)
+    parent = np.full(n, -1)
+    if n:
+        inside = np.zeros(n, dtype=bool)
+        inside[0] = True
+        near, gain = np.zeros(n, dtype=np.int64), shared[0].copy()
+        for _ in range(n - 1):
+            i = int(np.argmax(np.where(inside, -np.inf, gain)))
+            parent[i], inside[i] = near[i], True
+            closer = shared[i] > gain
+            near[closer], gain[closer] = i, shared[i][closer]
+    # Tables, smoothed towards the voter's own rate, and that towards a rate of both classes.
+    both = (one.sum(axis=0) + 0.01) / (total[:, 0, 0].sum() + 1.0)
+    rate = (one + SMOOTH * both) / (total[:, 0, 0][:, None] + SMOOTH)
+    table = np.empty((2, n, 2, 2))
+    for i in range(n):
+        for y in (0, 1):
+            plain = np.array([1 - rate[y, i], rate[y, i]])
+            pair = counts[y, parent[i], i] if parent[i] >= 0 else np.stack([np.array([rows[y, 0, 0] - one[y, i], one[y, i]])] * 2)
+            table[y, i] = (pair + SMOOTH * plain) / (pair.sum(axis=1, keepdims=True) + SMOOTH)
+    prior = (total[:, 0, 0] + 1.0) / (total[:, 0, 0].sum() + 2.0)
+    return LabelModel(np.log(prior), parent, np.log(table))
+
+
+def counted(votes: np.ndarray, toxic: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Expected counts for tree_model of vote patterns with chances of toxic, each standing for so many rows."""
+    v = np.concatenate([np.ones((len(votes), 1)), _spread(votes, n)], axis=1)
+    return np.stack([(v * (rows * (1 - toxic))[:, None]).T @ v, (v * (rows * toxic)[:, None]).T @ v])
+
+
+def taught(n: int) -> np.ndarray:
+    """Counts that stand in where no label is known: a word of the lexicon is rare, and ten times as rare in other texts."""
+    out = np.zeros((2, n + 1, n + 1))
+    for y, (rows, rate) in enumerate(((900.0, 0.005), (100.0, 0.05))):
+        p = np.concatenate([[1.0], np.full(n, rate)])
+        out[y] = rows * np.outer(p, p)
+        np.fill_diagonal(out[y], rows * p)
+    return out
 
 
 def _sums(held, n: int):
-    """Partial sums over vote patterns (votes, rows): of posteriors, votes and pairs of votes for both classes."""
+    """Partial sums of counted() over vote patterns (votes, rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LabelModel = held.value
         total = np.zeros((2, n + 1, n + 1))
         for batch in batches:
             votes = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            p = sigmoid(model.log_odds(votes))
-            v = np.concatenate([np.ones((len(votes), 1)), _spread(votes, n)], axis=1)
-            total[1] += (v * (rows * p)[:, None]).T @ v
-            total[0] += (v * (rows * (1 - p))[:, None]).T @ v
+            total += counted(votes, sigmoid(model.log_odds(votes)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), n)
         cell = np.flatnonzero(total.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.reshape(-1)[cell])], ["cell", "part"])
 
     return run
 
 
-def refined(model: LabelModel, total: np.ndarray, known: float = 200.0) -> LabelModel:
-    """One maximisation step; the model before counts as ``known`` rows of each class."""
-    rates = []
-    excess = np.zeros(total.shape[1:])[1:, 1:]
-    for k, before in ((1, model.toxic), (0, model.other)):
-        n = total[k, 0, 0]
-        rate = np.clip((total[k, 0, 1:] + known * before) / (n + known), 1e-4, 0.999)
-        rates.append(rate)
-        both = total[k, 1:, 1:] / max(n, 1.0)
-        mean = total[k, 0, 1:] / max(n, 1.0)
-        scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
-        excess += 0.5 * np.clip((both - np.outer(mean, mean)) / np.outer(scale, scale), 0, 1)
-    np.fill_diagonal(excess, 0)
-    all_ = total[:, 0, 0].sum()
-    prior = float(np.clip((total[1, 0, 0] + known * model.prior) / (all_ + known), 1e-4, 0.5))
-    return LabelModel(prior, rates[0], np.minimum(rates[1], 0.9), 1 / (1 + excess.sum(axis=1)))
-
-
-def _voting(held, keep_below: float):
+def _packing(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                numbers, at = extract(block, bits)
+                packed = [numbers[at[d] : at[d + 1]].astype(np.int32).tobytes() for d in range(block.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(packed, pa.binary())], ["votes", "features"])
+
+    return run
+
+
+def _voting(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters: Voters = held.value
         for batch in batches:
             for block in blocks(batch.column(1)):
                 numbers, at = extract(block, voters.bits)
-                draw = batch.column(2).slice(block.first, block.n).to_numpy(zero_copy_only=False)
-                packed = [numbers[at[d] : at[d + 1]].astype(np.int32).tobytes() if draw[d] < keep_below else None for d in range(block.n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(voters.votes(numbers, at)), pa.array(packed, pa.binary())], ["doc_id", "votes", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(voters.votes(numbers, at)), pa.array(np.diff(at))], ["draw", "votes", "n_features"])
 
     return run
 
@@ -175,51 +213,74 @@ class Trained:
     voters: Voters
 
 
-def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BITS) -> Trained:
+def mine(sample: Sample, toxic: np.ndarray, lexicon: np.ndarray, bits: int, most: int = MINED) -> np.ndarray:
+    """Features of mostly toxic rows that tell, one after another; a row's weight halves with each feature that it has.
+
+    So rare vocabularies, such as another language's, get voters too.
+    """
+    if not len(toxic) or not 0 < toxic.sum() < len(toxic):
+        return np.zeros(0, dtype=np.int64)
+    sizes = np.diff(sample.at)
+    n = np.maximum(np.bincount(sample.numbers, minlength=1 << bits), 1)
+    hit = np.bincount(sample.numbers, weights=np.repeat(toxic, sizes), minlength=1 << bits)
+    fit = telling(sample, toxic.astype(float), bits) & (hit >= 0.5 * n)
+    fit[lexicon] = False
+    row = np.repeat(np.arange(len(toxic)), sizes)
+    weight, out = toxic.astype(float), []
+    for _ in range(most):
+        open_ = np.bincount(sample.numbers, weights=weight[row], minlength=1 << bits)
+        gain = np.where(fit, open_ * hit / n, 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            break
+        out.append(best)
+        fit[best] = False
+        weight[row[sample.numbers == best]] *= 0.5
+    return np.array(out, dtype=np.int64)
+
+
+def label_model(patterns: DataFrame, fixed: np.ndarray, n_voters: int, rounds: int) -> LabelModel:
+    """Fitted over all rows' vote patterns (votes, rows); ``fixed``: counts of rows whose class is known."""
+    spark = patterns.sparkSession
+    model = tree_model(fixed)
+    for _ in range(rounds):
+        cells = patterns.mapInArrow(_sums(spark.sparkContext.broadcast(model), n_voters), "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).collect()
+        total = np.zeros(2 * (n_voters + 1) ** 2)
+        for r in cells:
+            total[r["cell"]] = r["part"]
+        model = tree_model(fixed + total.reshape(2, n_voters + 1, n_voters + 1))
+    return model
+
+
+def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> Trained:
     spark = docs.sparkSession
     held_back = remainder() == 1
     known = labels.where(~held_back & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     sample, toxic = gathered(docs, known, F.col("toxic"), TRAIN_ROWS, bits)
-    fixed = lexicon_features(bits)
-    mined = np.zeros(0, dtype=np.int64)
-    if len(toxic) and 0 < toxic.sum() < len(toxic):
-        told = telling(sample, toxic.astype(float), bits)
-        n = np.bincount(sample.numbers, minlength=1 << bits)
-        hit = np.bincount(sample.numbers, weights=np.repeat(toxic, np.diff(sample.at)), minlength=1 << bits)
-        lift = np.where(told & (hit >= 0.5 * n), hit * hit / np.maximum(n, 1), 0)
-        lift[fixed] = 0
-        mined = np.argsort(-lift, kind="stable")[:MINED]
-        mined = mined[lift[mined] > 0]
-    voters = Voters(np.concatenate([fixed, mined]), bits)
+    lexicon = lexicon_features(bits)
+    mined = mine(sample, toxic, lexicon, bits)
+    voters = Voters(np.concatenate([lexicon, mined]), bits)
     n_voters = len(voters.features) + 4
-    model = first_model(voters.votes(sample.numbers, sample.at), toxic, n_voters)
+    fixed = KNOWN * counted(voters.votes(sample.numbers, sample.at), toxic.astype(float), np.ones(len(toxic)), n_voters) if len(toxic) else taught(n_voters)
 
-    count = docs.count()
-    share = min(1.0, SAMPLE_ROWS / max(count, 1))
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    held = spark.sparkContext.broadcast(voters)
-    table = spill(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), draw.alias("draw")).mapInArrow(_voting(held, share), "doc_id long, votes long, features binary"), "votes")
+    rows = docs.select(F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))).alias("draw"), F.col("text").cast("string").alias("text"))
+    table = spill(rows.mapInArrow(_voting(spark.sparkContext.broadcast(voters)), "draw long, votes long, n_features long"), "votes")
     patterns = spill(table.groupBy("votes").agg(F.count(F.lit(1)).alias("rows")), "patterns")
-    for _ in range(rounds):
-        cells = patterns.mapInArrow(_sums(spark.sparkContext.broadcast(model), n_voters), "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).collect()
-        total = np.zeros(2 * (n_voters + 1) ** 2)
-        for r in cells:
-            total[r["cell"]] = r["part"]
-        model = refined(model, total.reshape(2, n_voters + 1, n_voters + 1))
-
-    # The classifier's rows: labelled ones, and unlabelled ones on which some voter spoke.
-    own = known.select("doc_id").distinct()
-    rows = table.where("features is not null and votes <> 0").join(own, "doc_id", "left_anti").select("votes", "features").limit(2 * SAMPLE_ROWS).collect()
-    odds = model.log_odds(np.array([r["votes"] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
-    soft = np.concatenate([np.where(toxic == 1, LABEL_TRUST, 1 - LABEL_TRUST), sigmoid(odds)])
-    if not len(soft):
+    model = label_model(patterns, fixed, n_voters, rounds)
+
+    # The classifier's rows: half of them rows on which some voter spoke, the first by hash of each kind.
+    lots = [table.where(spoke).select("draw", "votes").orderBy("draw", "votes").limit(sample_rows // 2) for spoke in ("votes <> 0", "votes = 0")]
+    drawn = spill(lots[0].unionByName(lots[1]).groupBy("draw").agg(F.first("votes").alias("votes")), "drawn")
+    chosen = rows.join(F.broadcast(drawn), "draw").dropDuplicates(["draw"]).select("votes", "text")
+    got = chosen.mapInArrow(_packing(bits), "votes long, features binary").collect()
+    discard(table)
+    discard(patterns)
+    discard(drawn)
+    if not got:
         return Trained(np.zeros(1 << bits, np.float32), -3.0, model, voters)
-    labelled = [sample.numbers[sample.at[i] : sample.at[i + 1]] for i in range(len(toxic))]
-    texts = Sample.of([*labelled, *(np.frombuffer(r["features"], np.int32) for r in rows)])
-    keep = telling(texts, soft, bits)
-    if len(toxic):
-        keep |= telling(sample, toxic.astype(float), bits)
-    weights, intercept = logistic(restrict(texts, keep), soft, np.ones(len(soft)), bits, l2=3e-5, steps=150, rate=0.1)
+    soft = sigmoid(model.log_odds(np.array([r["votes"] for r in got], dtype=np.int64)))
+    texts = Sample.of([np.frombuffer(r["features"], np.int32) for r in got])
+    weights, intercept = logistic(restrict(texts, telling(texts, soft, bits)), soft, np.ones(len(soft)), bits, l2=3e-5, steps=150, rate=0.1)
     return Trained(weights.astype(np.float32), intercept, model, voters)
 
 
