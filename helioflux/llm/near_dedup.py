@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from . import superminhash
 from .components import components
-from .store import spill
+from .store import Scratch, spill
 from .textblocks import SPACED, blocks, mix, shingle_sets
 
 SLOTS, ROWS = 128, 4
@@ -47,7 +47,7 @@ RARE, BLOCK = 16, 128
 _SIGNED = "n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
-def _signer(k: int, slots: int, rows: int):
+def _signer(k: int, slots: int, rows: int, with_text: bool = False):
     salts = mix(np.arange(1, slots // rows + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,8 @@ def _signer(k: int, slots: int, rows: int):
                 ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(sizes > 0, slots // rows, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band), mask=pa.array(sizes == 0))
                 digest = [mix(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (total, other)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(sizes), pa.array(digest[0]), pa.array(digest[1]), lists], ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
+                last = (batch.column(1).slice(block.first, block.n), "text") if with_text else (lists, "bands")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(sizes), pa.array(digest[0]), pa.array(digest[1]), last[0]], ["doc_id", "n_shingles", "set_hi", "set_lo", last[1]])
 
     return sign
 
@@ -112,14 +113,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = 4, percent: int = 80) -
     return both.mapInArrow(_verifier(k), "a long, b long, n_both long, n_any long").where(f"n_both > 0 and 100 * n_both >= {percent} * n_any")
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (key, id, n) of buckets that span components, with component and the bucket's largest, main."""
-    label = spill(components(links), "grouped")
+    label = components(links, scratch=scratch)
     labelled = members.select("key", "id", "n").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = spill(labelled, "labelled")
+    labelled = scratch.spill(labelled, "labelled")
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", (-F.col("component")).alias("minus"))).alias("top"))
-    return spill(labelled.join(main.where("parts > 1").select("key", (-F.col("top.minus")).alias("main")), "key"), "open")
+    return scratch.spill(labelled.join(main.where("parts > 1").select("key", (-F.col("top.minus")).alias("main")), "key"), "open")
 
 
 def _sets(k: int):
@@ -133,18 +134,38 @@ def _sets(k: int):
     return run
 
 
-def _references(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """(main, ref): shingles of most of some DRAWN members of each main component.
+#: Rows of a group that share a salt: a group's rows meet what is known of the group in so many at a time
+SALT_ROWS, SALTS = 1000, 32
+
+
+def _salted(held: DataFrame) -> DataFrame:
+    """held (main, id, ..) with salts, the number of a group's salts, and each row's own."""
+    counted = held.groupBy("main").agg(F.count(F.lit(1)).alias("c"))
+    spread = counted.select("main", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    met = held.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["main", "_s"]).drop("_s")
+    return met.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.col("salts")).cast("int"))
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (main, salt, ..) with their group's columns; groups (main, salts, ..) has one row a group."""
+    return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["main", "salt"], how)
+
+
+def _references(held: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(main, salts, ref): shingles of most of some DRAWN members of each main component.
 
     Any reference gives the same links; one near the members gives short differences.
     """
-    inside = held.where("component = main").select("main", "id")
-    counted = inside.groupBy("main").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+    inside = held.where("component = main").select("main", "salts", "salt", "id")
+    counted = inside.groupBy("main").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"), F.first("salts").alias("salts"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("c") < DRAWN * (1 << 30)
-    drawn = spill(inside.join(counted, "main").where(draw | (F.col("id") == F.col("first"))).select("main", "id"), "drawn")
-    uses = drawn.join(sets, "id").select("main", F.explode("shingles").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("uses"))
+    drawn = scratch.spill(_dealt(inside.drop("salts"), counted).where(draw | (F.col("id") == F.col("first"))).select("main", "id"), "drawn")
     total = drawn.groupBy("main").agg(F.count(F.lit(1)).alias("total"))
-    return uses.join(total, "main").where("2 * uses > total").groupBy("main").agg(F.collect_list("shingle").alias("ref"))
+    # Each draw carries its group's total, so shingles needn't meet it by group.
+    some = scratch.spill(drawn.join(total, "main"), "drawn")
+    uses = some.join(sets, "id").select("main", "total", F.explode("shingles").alias("shingle")).groupBy("main", "total", "shingle").agg(F.count(F.lit(1)).alias("uses"))
+    refs = uses.where("2 * uses > total").groupBy("main").agg(F.collect_list("shingle").alias("ref"))
+    return refs.join(counted.select("main", "salts"), "main")
 
 
 def _comparer(percent: int, columns: int = 4096):
@@ -185,28 +206,28 @@ def _comparer(percent: int, columns: int = 4096):
     return compare
 
 
-def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of open members of different components that their differences from a reference can't rule out."""
     ids = open_.select(F.col("id").alias("doc_id")).distinct()
-    sets = spill(text.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
-    held = open_.select("main", "id", "component").distinct()
+    sets = scratch.spill(text.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(k), "id long, shingles array<long>"), "sets")
+    held = scratch.spill(_salted(open_.select("main", "id", "component").distinct()), "held")
     ref = F.coalesce("ref", F.array().cast("array<long>"))
     delta = F.concat(F.array_except("shingles", ref), F.array_except(ref, F.col("shingles")))
-    near = held.join(sets, "id").join(_references(held, sets), "main", "left").select("main", "id", "component", F.size("shingles").cast("long").alias("n"), delta.alias("delta"))
+    near = _dealt(held.join(sets, "id"), _references(held, sets, scratch), "left").select("main", "salts", "salt", "id", "component", F.size("shingles").cast("long").alias("n"), delta.alias("delta"))
     near = near.withColumn("d", F.size("delta").cast("long")).withColumn("w", (100 + percent) * F.col("d") - (100 - percent) * F.col("n"))
-    near = spill(near, "differences")
+    near = scratch.spill(near, "differences")
 
-    least = near.groupBy("main").agg(F.min(F.struct("w", "id", "component")).alias("least"))
-    near = near.join(least.select("main", F.col("least.w").alias("w0"), F.col("least.id").alias("o"), F.col("least.component").alias("co")), "main")
+    least = near.groupBy("main").agg(F.min(F.struct("w", "id", "component")).alias("least"), F.first("salts").alias("salts"))
+    near = _dealt(near, least.select("main", "salts", F.col("least.w").alias("w0"), F.col("least.id").alias("o"), F.col("least.component").alias("co")))
     stars = near.where("w + w0 <= 0 and component <> co").select(F.col("id").alias("a"), F.col("o").alias("b"))
 
     share = F.greatest(F.ceil((F.col("w") + F.col("w0")) / (2 * (100 + percent))), F.lit(1))
-    rows = near.select("main", "id", "component", "n", "d", (F.col("d") - share + 1).alias("length"), F.explode("delta").alias("element"))
+    rows = near.select("main", "salts", "salt", "id", "component", "n", "d", (F.col("d") - share + 1).alias("length"), F.explode("delta").alias("element"))
     uses = rows.groupBy("main", "element").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     # Elements of one difference alone take the first places of a prefix and join with nothing.
     of = Window.partitionBy("main", "id")
     common = rows.join(uses, ["main", "element"]).withColumn("place", F.row_number().over(of.orderBy("uses", "element")) + F.col("d") - F.count(F.lit(1)).over(of))
-    heads = spill(common.where("place <= length").select("main", "element", "uses", "id", "component", "n"), "heads")
+    heads = scratch.spill(common.where("place <= length").select("main", "salts", "salt", "element", "uses", "id", "component", "n"), "heads")
 
     # A rare element makes fewer than RARE pairs a member.
     rare = heads.where(F.col("uses") <= RARE)
@@ -214,33 +235,50 @@ def _differing(open_: DataFrame, text: DataFrame, k: int, percent: int) -> DataF
     pairs = x.join(y, ["main", "element"]).where("ca <> cb and a < b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     # A frequent one names pairs of blocks, which are compared inside a task.
-    sizes = near.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    sizes = near.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.first("salts").alias("salts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
-    named = heads.where(F.col("uses") > RARE).join(sizes, "main").select("main", "element", part).distinct()
+    named = _dealt(heads.where(F.col("uses") > RARE).drop("salts"), sizes).select("main", "element", part).distinct()
     met = named.join(named.withColumnRenamed("part", "other"), ["main", "element"]).where("part <= other").select("main", "part", "other").distinct()
-    packed = near.join(sizes, "main").groupBy("main", part).agg(F.collect_list(F.struct("id", "component", "w", "delta")).alias("held"))
-    packed = spill(packed, "blocks")
+    packed = _dealt(near.drop("salts"), sizes).groupBy("main", part).agg(F.collect_list(F.struct("id", "component", "w", "delta")).alias("held"))
+    packed = scratch.spill(packed, "blocks")
     both = met.join(packed, ["main", "part"]).join(packed.select("main", F.col("part").alias("other"), F.col("held").alias("held_too")), ["main", "other"])
     linked = both.select("held", "held_too").mapInArrow(_comparer(percent), "a long, b long")
     return stars.unionByName(pairs.select("a", "b")).unionByName(linked).distinct()
 
 
+#: Rows that share a doc_id but not their set get nodes of their own from here on
+_TWINS = 1 << 62
+
+
+def _noded(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """rows (doc_id, set_hi, set_lo, ..) with id: doc_id, or a node of its own for each set where a doc_id has several."""
+    own = F.lit(_TWINS) + F.pmod(F.xxhash64("doc_id", "set_hi", "set_lo"), F.lit(_TWINS))
+    return rows.join(twins.withColumn("_twin", F.lit(True)), "doc_id", "left").withColumn("id", F.when(F.col("_twin"), own).otherwise(F.col("doc_id"))).drop("_twin")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
-    docs has doc_id and text; other columns are ignored. Null and empty texts, and texts without a word, have
-    no shingles and link with nothing. Rows with a null doc_id link with nothing: component_id is null and they
-    are kept. Rows that share a doc_id are one node, linked by the texts of all of them (the first of differing
-    texts is compared). An empty table gives an empty result.
+    docs has doc_id (below 2**62) and text; other columns are ignored. Null and empty texts, and texts without a
+    word, have no shingles and link with nothing. Rows with a null doc_id link with nothing: component_id is null
+    and they are kept. Rows that share a doc_id belong together, and every one of their texts links. An empty
+    table gives an empty result.
     """
+    scratch = Scratch()
     signed = spill(sign(docs, k, slots, rows), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a <> last")
-    exact = spill(full.select("set_hi", "set_lo", "n_shingles", F.col("doc_id").alias("b")).join(classes, ["set_hi", "set_lo", "n_shingles"]).where("a <> b").select("a", "b").distinct(), "exact")
-    firsts = full.join(exact.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
-    keyed = firsts.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    spots = full.groupBy("doc_id").agg(F.min(F.struct("set_hi", "set_lo")).alias("x"), F.max(F.struct("set_hi", "set_lo")).alias("y"))
+    twins = scratch.spill(spots.where("x <> y").select("doc_id"), "twins")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with_twins = not twins.isEmpty()
+    full = _noded(full, twins) if with_twins else full.withColumn("id", F.col("doc_id"))
+    classes = full.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
+    exact = full.select("set_hi", "set_lo", "n_shingles", F.col("id").alias("b")).join(classes, ["set_hi", "set_lo", "n_shingles"]).where("a <> b").select("a", "b").distinct()
+    exact = scratch.spill(exact, "exact")
+    firsts = full.join(exact.select(F.col("b").alias("id")), "id", "left_anti")
+    keyed = firsts.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n")).distinct() if with_twins else firsts.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = spill(keyed.join(crowded, "key"), "members")
+    members = scratch.spill(keyed.join(crowded, "key"), "members")
 
     # Pivots: in each bucket the member that meets most others, the least id among equals.
     met = members.groupBy("id").agg(F.sum(F.col("size") - 1).alias("met"))
@@ -248,22 +286,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     pivots = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("a"))
     stars = members.select("key", F.col("id").alias("b"), "n").join(pivots, "key").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = spill(text.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    links = spill(verified(stars, text, k, percent).select("a", "b"), "links")
+    if with_twins:
+        of_twins = text.join(twins, "doc_id").mapInArrow(_signer(k, slots, rows, True), "doc_id long, n_shingles long, set_hi long, set_lo long, text string")
+        text = text.join(twins, "doc_id", "left_anti").unionByName(_noded(of_twins, twins).select(F.col("id").alias("doc_id"), "text"))
+    text = scratch.spill(text.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    links = scratch.spill(verified(stars, text, k, percent).select("a", "b"), "links")
 
     # What the stars left apart meets members of the main component, drawn anew for each bucket and round.
-    open_ = _open(members, links)
+    open_ = _open(members, links, scratch)
     for turn in range(rounds):
         draw = F.max(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("draw"), "id"))
         main = open_.where("component = main").groupBy("key").agg(draw.alias("top")).select("key", F.col("top.id").alias("a"))
         met = open_.where("component <> main").select("key", F.col("id").alias("b")).join(main, "key").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-        links = spill(links.unionByName(verified(met, text, k, percent).select("a", "b")), "links")
-        open_ = _open(open_.select("key", "id", "n"), links)
-
-    near = _differing(open_, text, k, percent)
-    more = verified(spill(near, "near"), text, k, percent).select("a", "b")
-    label = components(links.unionByName(exact).unionByName(more))
+        links = scratch.spill(links.unionByName(verified(met, text, k, percent).select("a", "b")), "links")
+        open_ = _open(open_.select("key", "id", "n"), links, scratch)
+
+    near = _differing(open_, text, k, percent, scratch)
+    more = verified(scratch.spill(near, "near"), text, k, percent).select("a", "b")
+    edges = links.unionByName(exact).unionByName(more)
+    if with_twins:
+        edges = edges.unionByName(full.where("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    label = components(edges)
+    scratch.clear()
 
     out = signed.select("doc_id", "n_shingles").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

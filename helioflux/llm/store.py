@@ -10,15 +10,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_DIR = "/tmp/helioflux-checkpoints"
+#: For sessions in one process only, as in tests
+LOCAL_DIR = "/tmp/helioflux-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = DEFAULT_DIR
-    return f"{root.rstrip('/')}/helioflux"
+    """The session's ``spark.checkpoint.dir``, or what setCheckpointDir named.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that raises, as executors share
+    no local folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or LOCAL_DIR).rstrip('/')}/helioflux"
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
@@ -42,5 +47,18 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch(list):
+    """Tables spilled on the way to a result; ``clear`` deletes them once nothing reads them any more."""
+
+    def spill(self, df: DataFrame, name: str) -> DataFrame:
+        self.append(spill(df, name))
+        return self[-1]
+
+    def clear(self) -> None:
+        for df in self:
+            discard(df)
+        super().clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
