@@ -1,8 +1,10 @@
 """URL filters: fixed host and path rules, and association rules mined from labels.
 
-Spark's FP-growth finds combinations of URL tokens that occur with bad labels. Rules with enough support and
-confidence that no shorter rule makes needless are kept, and match all URLs through an inverted index: each rule
-hangs on its rarest token, and only URLs with that token are compared with it.
+Spark's FP-growth finds combinations of URL tokens that occur with bad labels. Tokens that occur in the very same
+labelled URLs say the same, so one of them goes into the mining; that also keeps long URLs of one make from naming
+every subset of their tokens. Rules with enough support and confidence that no rule of some of their tokens makes
+needless are kept, of any length, and match all URLs through an inverted index: each rule hangs on its rarest
+token, and only URLs with that token are compared with it.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import spill
+
 #: Fixed values: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BAD = "label=bad"
@@ -39,42 +43,78 @@ def fixed(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
 
 
 def tokens() -> Column:
-    """Distinct tokens of a URL: host labels, pairs of neighbouring labels, path words, file ending, query keys, fragment; numbers as one word."""
-    labels = F.split("host", "\\.")
-    parts = F.split("path", "/")
-    plain = lambda x: F.regexp_replace(x, "[0-9]+", "0")
-    query = F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)[?]([^#]*)", 1)
-    keys = F.transform(F.split(query, "&"), lambda q: F.concat(F.lit("query:"), F.regexp_extract(q, "^([^=]*)", 1)))
-    all_ = F.concat(F.transform(labels, lambda x: F.concat(F.lit("host:"), plain(x))), F.transform(parts, lambda x: F.concat(F.lit("path:"), plain(x))), keys)
-    return F.array_distinct(F.filter(all_, lambda t: ~t.isin("host:", "path:", "query:", "path:0")))
+    """Distinct tokens of a URL: host labels, pairs of neighbouring labels, path segments, file ending, query keys, fragment.
+
+    Digits read as one 0.
+    """
+    labels = F.filter(F.split("host", "\\."), lambda x: x != "")
+    pairs = F.transform(labels, lambda x, i: F.concat(x, F.lit("."), F.coalesce(F.try_element_at(labels, i + 2), F.lit(""))))
+    pairs = F.slice(pairs, 1, F.greatest(F.size(labels) - 1, F.lit(0)))
+    url = F.coalesce(F.col("url"), F.lit(""))
+    ending = F.lower(F.regexp_extract("path", "(?s)[^/.][.]([A-Za-z0-9]{1,8})$", 1))
+    keys = F.transform(F.split(F.regexp_extract(url, "(?s)^[^?#]*[?]([^#]*)", 1), "&"), lambda q: F.regexp_extract(q, "(?s)^([^=]*)", 1))
+    fragment = F.regexp_extract(url, "(?s)#(.*)$", 1)
+    kinds = {"host": labels, "pair": pairs, "path": F.split("path", "/"), "ending": F.array(ending), "query": keys, "fragment": F.array(fragment)}
+
+    def named(kind: str, x: Column) -> Column:
+        return F.transform(F.filter(x, lambda t: t != ""), lambda t: F.concat(F.lit(f"{kind}:"), F.regexp_replace(t, "[0-9]+", "0")))
 
+    return F.array_distinct(F.concat(*[named(k, x) for k, x in kinds.items()]))
 
-def mined(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, longest: int = 4, least_rows: int = 20) -> DataFrame:
-    """(antecedent, support, confidence) of rules antecedent -> bad, from rows (items, bad boolean).
 
-    A rule needs ``support`` of the rows and ``least_rows`` of them at least, and is needless if another with a
-    part of its tokens is as confident.
+def told(labelled: DataFrame, least_rows: int) -> DataFrame:
+    """Labelled rows (items, bad) with the tokens of least_rows rows and more, one for all that occur in the same rows.
+
+    Of equals the greatest by name stays.
     """
-    rows = labelled.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).where("size(items) > 0")
-    share = min(1.0, max(support, least_rows / max(rows.count(), 1)))
+    rows = labelled.select("row", "items", "bad")
+    uses = rows.select("row", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("row") % F.lit(1 << 40)).alias("x"), F.sum(F.xxhash64("row", F.lit(1)) % F.lit(1 << 40)).alias("y"))
+    kept = uses.where(F.col("n") >= least_rows).groupBy("n", "x", "y").agg(F.max("token").alias("token")).select("token")
+    inside = rows.select("row", F.explode("items").alias("token")).join(kept, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    return rows.select("row", "bad").join(inside, "row", "left").select("row", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "bad")
+
+
+def mined(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, least_rows: int = 20) -> DataFrame:
+    """(antecedent, support, confidence) of rules antecedent -> bad, from rows (row, items, bad boolean).
+
+    row is a key of the row. A rule needs ``support`` of the rows and ``least_rows`` of them at least; support is the
+    share of rows with the antecedent that are bad. It is needless if another with some of its tokens is as confident.
+    """
+    n = labelled.count()
+    share = min(1.0, max(support, least_rows / max(n, 1)))
+    rows = told(labelled, max(1, int(share * n)))
+    rows = rows.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(rows)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= longest)).select("antecedent", "support", "confidence")
-    other = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
-    needless = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("as_sure") >= F.col("confidence"))
-    return rules.join(other, needless, "left_anti")
+    rules = spill(model.associationRules.where(F.element_at("consequent", 1) == BAD).select(F.array_sort("antecedent").alias("antecedent"), "support", "confidence"), "rules")
+    return rules.join(_needless(rules), "antecedent", "left_anti")
+
+
+def _needless(rules: DataFrame) -> DataFrame:
+    """Antecedents of which some part is a rule and as confident: each rule hangs on its rarest token and meets the rules that hold it."""
+    parts = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    index = parts.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    own = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"), F.explode("antecedent").alias("token")).join(index, "token")
+    hung = own.groupBy("part", "as_sure").agg(F.min(F.struct("uses", "token")).alias("least")).select("part", "as_sure", F.col("least.token").alias("token"))
+    met = parts.join(hung, "token").where(F.size("part") < F.size("antecedent")).where("as_sure >= confidence")
+    return met.where(F.size(F.array_except("part", "antecedent")) == 0).select("antecedent").distinct()
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct keys (row) of pages rows (row, items) that hold all tokens of some rule."""
+    """(row, rule, confidence) of pages rows (row, items) that hold all tokens of some rule: the most confident, then the shortest and least."""
     uses = pages.select(F.explode("items").alias("token")).join(rules.select(F.explode("antecedent").alias("token")).distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    spread = rules.select("antecedent", F.explode("antecedent").alias("token")).join(uses, "token")
-    index = spread.groupBy("antecedent").agg(F.min(F.struct("uses", "token")).alias("least")).select("antecedent", F.col("least.token").alias("token"))
-    hung = pages.select("row", "items", F.explode("items").alias("token")).join(index, "token")
-    return hung.where(F.size(F.array_except("antecedent", "items")) == 0).select("row").distinct()
+    spread = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(uses, "token")
+    index = spread.groupBy("antecedent", "confidence").agg(F.min(F.struct("uses", "token")).alias("least")).select("antecedent", "confidence", F.col("least.token").alias("token"))
+    hung = pages.select("row", "items", F.explode("items").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "items")) == 0)
+    best = F.min(F.struct((-F.col("confidence")).alias("minus"), F.size("antecedent").alias("size"), F.array_join("antecedent", " ").alias("rule")))
+    return hung.groupBy("row").agg(best.alias("best")).select("row", F.col("best.rule").alias("rule"), (-F.col("best.minus")).alias("confidence"))
+
+
+#: Parts over which equal URLs are dealt where they meet their match
+SALTS = 16
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, support: float = 0.002, confidence: float = 0.6) -> DataFrame:
-    """Per input row: page_id, host, path, rule, verdict and mined (whether a mined rule matches).
+    """Per input row: page_id, host, path, rule, verdict, mined_rule and mined_confidence (null: no mined rule matches).
 
     verdict: the longest fixed rule's; without one, block where a mined rule matches, else allow. Labels are
     joined on page_id = doc_id; bad is quality 0 or toxic 1, and null labels are skipped. A null url, or one
@@ -86,9 +126,12 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     own = table.withColumn("items", tokens())
-    learned = mined(own.join(known, "page_id").select("items", "bad"), support, confidence)
+    learned = mined(own.join(known, "page_id").select(F.monotonically_increasing_id().alias("row"), "items", "bad").transform(lambda df: spill(df, "labelled")), support, confidence)
     urls = own.where("url is not null").groupBy(F.col("url").alias("row")).agg(F.first("items").alias("items"))
-    hits = matched(urls, learned).select(F.col("row").alias("url"), F.lit(True).alias("_hit"))
+    hits = matched(urls, learned).select(F.col("row").alias("url"), F.col("rule").alias("mined_rule"), F.col("confidence").alias("mined_confidence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    # Equal URLs are dealt over some parts, and null ones meet nothing.
+    salted = table.withColumns({"_salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"), "_at": F.when(F.col("url").isNull(), F.xxhash64("page_id").cast("string")).otherwise(F.col("url")), "_null": F.col("url").isNull()})
+    hits = hits.select(F.col("url").alias("_at"), F.lit(False).alias("_null"), "_salt", "mined_rule", "mined_confidence")
     rule, verdict = fixed(rules)
-    out = table.join(hits, "url", "left").withColumns({"rule": rule, "_said": verdict, "mined": F.coalesce("_hit", F.lit(False))})
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"), "mined")
+    out = salted.join(hits, ["_at", "_null", "_salt"], "left").withColumns({"rule": rule, "_said": verdict})
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule", "mined_confidence")
