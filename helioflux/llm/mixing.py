@@ -172,15 +172,15 @@ def _uniform(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, scarce: str = "limit") -> tuple[DataFrame, DataFrame, Fit]:
-    """The statistics of all documents, the table of posteriors and rate by combination of bins, and the fit.
+def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, scarce: str = "limit", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Fit]:
+    """The statistics of all documents beside columns to carry, the table of posteriors and rate by combination of bins, and the fit.
 
     Logs targets and totals reached: as a warning where they differ or a domain falls short of its weight.
     """
     order = [float(weights.get(d, 0.0)) for d in DOMAINS]
     if min(order) < 0 or sum(order) <= 0:
         raise ValueError("weights must not be negative, and one must be positive")
-    measured = spill(statistics(docs.select("doc_id", "text")).select("doc_id", "tokens", "bins"), "statistics")
+    measured = spill(statistics(docs.select("doc_id", "text", *carry)).select("doc_id", "tokens", "bins", *carry), "statistics")
     chances = Classifier(measured, labels).posterior(F.col("bins"))
     by_bins = measured.groupBy("bins").agg(F.sum("tokens").alias("tokens"))
     held = spill(by_bins.select("bins", "tokens", *[p.alias(f"p{k}") for k, p in enumerate(chances)]), "posteriors")
@@ -214,10 +214,13 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rat
 
 
 def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0, budget: float | None = None, seed: int = 7, scarce: str = "limit") -> DataFrame:
-    """docs' rows, each as often as its copies say; columns as in docs, whatever their names."""
-    _, rates, _ = fitted(docs, labels, weights, max_rate, budget, scarce)
+    """docs' rows, each as often as its copies say; columns as in docs, whatever their names.
+
+    Odd rows are handled as by ``mixed``; a null or empty text is kept or dropped by its bins' rate like others.
+    """
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    out = _with_copies(statistics(whole), rates, seed).where("copies > 0")
+    rows, rates, _ = fitted(whole, labels, weights, max_rate, budget, scarce, ("_row",))
+    out = _with_copies(rows, rates, seed).where("copies > 0")
     if max_rate > 1:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import spill
+
 #: Rows of one shard that are numbered together
 GROUP_ROWS = 20000
 
@@ -49,7 +51,8 @@ def numbered(df: DataFrame, group: str, order: list[str], spread: Column, rows:
 
 
 def _spread() -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(":slot:"), F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("long")
+    """A draw by key, text and, where rows have one, their own number ``_at``."""
+    return F.pmod(F.xxhash64("_key", "text_crc32", "_at"), F.lit(1 << 31))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -67,21 +70,32 @@ def assign(rows: DataFrame, weights: list[float], next_weight: float | None = No
     slot or grown_shard are replaced.
     """
     rows = rows.drop("law", "shard", "slot", "grown_shard")
+    rows = rows if "_at" in rows.columns else rows.withColumn("_at", F.lit(0))
     grown = [*weights, weights[-1] if next_weight is None else next_weight]
     out = rows.withColumn("_key", _key("doc_id"))
     out = out.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("_key"), weights), "grown_shard": shard_of(F.col("_key"), grown)})
     n = rows.count()
-    return numbered(out, "shard", ["doc_id", "text_crc32"], _spread(), n, "slot").drop("_key").withColumn("slot", F.col("slot").cast("long"))
+    return numbered(out, "shard", ["doc_id", "text_crc32"], _spread(), n, "slot").drop("_key", "_at").withColumn("slot", F.col("slot").cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = 8, weights: list[float] | None = None) -> DataFrame:
-    """All documents: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    out = assign(measured(docs), weights or [1.0] * shards)
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    """All documents: doc_id, size, text_crc32, law, shard, slot, grown_shard; rows as in ``assign``.
+
+    The measures are written once; a row's place in their files tells equal rows apart, so any number of them
+    spreads over the buckets.
+    """
+    held = spill(measured(docs), "measured")
+    rows = held.select("doc_id", "size", "text_crc32", F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_at"))
+    return assign(rows, weights or [1.0] * shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def placed(docs: DataFrame, shards: int = 8, weights: list[float] | None = None) -> DataFrame:
-    """docs with all their columns, and shard and slot; existing columns of those names are replaced."""
+    """docs with all their columns, whatever their names, and shard and slot; existing columns of those two names are replaced.
+
+    Rows as in ``assign``. Equal rows share a bucket here, as texts aren't written again.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    crc = docs.drop("shard", "slot", "text_crc32").withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")).cast("long"))
-    return assign(crc, weights or [1.0] * shards).drop("text_crc32", "law", "grown_shard")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
+    out = assign(rows, weights or [1.0] * shards)
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], "shard", "slot")
