@@ -1,6 +1,12 @@
 """A training corpus from documents: five stages, each reading what the one before it wrote.
 
 Classify quality, drop near duplicates, drop contaminated documents, mix sources to target weights, shard.
+
+Odd rows: a null or empty text is graded by its statistics' bins alone, has no near duplicate and no contamination
+and takes part in mixing and sharding like others. A row with a null doc_id is judged by its own text in every
+stage, links with nothing and is one key of sharding. Rows that repeat a doc_id share a fate in deduplication: with
+the doc_id least in its group all stay. Ties go to the least doc_id. Columns of documents pass through, whatever
+their names (but ``shard`` and ``slot`` are replaced); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helioflux.llm import decontaminate, mixing, near_dedup, quality, sharding
 from helioflux.llm.queries import TARGETS
-from helioflux.llm.store import spill, table
+from helioflux.llm.store import discard, spill, table
 
 SHARDS = 8
 
@@ -63,7 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.count()
     for name, stage in STAGES[:-1]:
-        docs = spill(stage(spark, docs, sf_dir), name)
-        before, rows = rows, docs.count()
+        kept = spill(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs, before = kept, rows
+        rows = docs.count()
         logging.getLogger(__name__).info("%s: %d rows in, %d out", name, before, rows)
     return STAGES[-1][1](spark, docs, sf_dir)
