@@ -196,7 +196,7 @@ def test_mined_rules_block(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.example.info/p{i % 9}") for i in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
     out = urlrules.judged(pages, labels)
-    assert out.where("verdict = 'block'").count() == 100 == out.where("host = 'bad.example.info' and mined").count()
+    assert out.where("verdict = 'block'").count() == 100 == out.where("host = 'bad.example.info' and mined_rule is not null").count()
 
 
 def test_held_out_accuracy(spark):
