@@ -32,10 +32,12 @@ class Config:
     history_tau_s: float = 21600.0
     energy_ratio: float = 5.0
     test_fraction: float = 0.3
+    dense_min: int = 1
+    rows_seen: float = 0.6
 
 
 #: Driver tables are sparser than instrument data: wider bins and a narrower background frame
-STAND_IN = Config(bin_s=600.0, bg_window=24, bg_least=6, min_dur_bins=2, merge_gap_s=1200.0, focus_threshold=25.0)
+STAND_IN = Config(bin_s=600.0, bg_window=24, bg_least=6, min_dur_bins=2, merge_gap_s=1200.0, focus_threshold=25.0, lookback_min=180, step_min=30, sig_ratio=4.0, energy_ratio=3.0, rows_seen=0.0)
 KEV_TO_JOULE = 1.602176634e-16
 CM2_TO_M2 = 1e-4
 KEV_PER_MK = 0.08617

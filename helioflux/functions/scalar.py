@@ -10,16 +10,31 @@ def mjd_to_unix(mjd: Column) -> Column:
     return (mjd - 40587.0) * 86400.0
 
 
+def utc(t: Column) -> Column:
+    """Unix seconds as yyyy-MM-dd HH:mm:ss in UTC, whatever the session's zone; ``?`` where there is none."""
+    whole = F.timestamp_seconds(F.floor(t))
+    return F.coalesce(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), whole.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"), F.lit("?"))
+
+
+def hhmm(t: Column) -> Column:
+    return F.substring(utc(t), 12, 5)
+
+
 def channel_kev(ch: Column) -> Column:
     """Two-slope channel energy with the break at channel 168."""
     return F.when(ch <= 168, ch * 0.0476).otherwise(168 * 0.0476 + (ch - 168) * 0.0952)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Text with so many decimals, rounded from the exact binary value (half to even), as C and Python print it."""
+    return F.translate(F.format_number(x, digits), ",", "")
+
+
 def goes_class(flux: Column, prefix: str = "") -> Column:
     """Letter and one-decimal mantissa; below the lowest floor ``<A1``; null if not positive."""
     out = F.lit(f"{prefix}<A1")
     for letter, floor in (("A", 1e-8), ("B", 1e-7), ("C", 1e-6), ("M", 1e-5), ("X", 1e-4)):
-        out = F.when(flux >= floor, F.format_string(f"{prefix}{letter}%.1f", flux / floor)).otherwise(out)
+        out = F.when(flux >= floor, F.concat(F.lit(f"{prefix}{letter}"), fixed(flux / floor, 1))).otherwise(out)
     return F.when(flux > 0, out)
 
 
@@ -50,3 +65,9 @@ def noisy_or(items: Column) -> Column:
 
 def horizon(p30: Column, minutes: Column) -> Column:
     return 1 - F.pow(1 - p30, minutes / 30.0)
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's coefficient as an aggregate; null if either is constant, or nearly so (deviation below 1e-9)."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx >= 1e-9) & (sy >= 1e-9), F.covar_pop(x, y) / (sx * sy))

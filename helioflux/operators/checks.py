@@ -23,39 +23,41 @@ def _have(*names: str) -> Column:
 
 
 def cross_checks(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Adds check_* (PASS, FLAG or N/A), n_pass, n_flag and checks_run.
+    """Adds check_* (PASS, FLAG or N/A), n_pass, n_flag and checks_run, passed ones of those that could run.
 
     Reads corr, hard_peak, soft_peak, temp_offset, gamma, temp, qpp_soft, qpp_hard, ratio, bands, confirmed, agree,
     temp_fit, yes and covered; null means not measured.
     """
     c = F.col
     strong = c("ratio") >= config.sig_ratio
-    wide = lambda a, b: F.abs(c(a) - c(b)) / F.greatest(a, b)
     said = {
         "neupert": _said(_have("corr"), c("corr") >= config.neupert_corr),
         "accel_timing": _said(_have("hard_peak", "soft_peak"), c("hard_peak") <= c("soft_peak") + 10),
         "heat_timing": _said(_have("temp_offset"), F.abs("temp_offset") <= config.heat_timing_s),
         "energy_budget": _said(_have("gamma", "temp"), ~((c("gamma") < 5) & (c("temp") <= 8))),
-        "qpp_witness": _said(_have("qpp_soft", "qpp_hard"), wide("qpp_soft", "qpp_hard") <= config.qpp_agree),
+        "qpp_witness": _said(_have("qpp_soft", "qpp_hard"), F.abs(c("qpp_soft") - c("qpp_hard")) <= config.qpp_agree * F.greatest("qpp_soft", "qpp_hard")),
         "class_accel": _said(_have("gamma"), ~(strong & (c("gamma") > 7))),
         "cross_band": F.when(F.coalesce("bands", F.lit(0)) == 0, "N/A").when(c("bands") >= 2, "PASS").when(strong, "FLAG").otherwise("N/A"),
         "band_confirm": _said(_have("confirmed"), c("confirmed")),
         "class_agree": _said(_have("agree"), c("agree")),
-        "temp_fit_agree": _said(_have("temp", "temp_fit") & (F.least("temp", "temp_fit") > 0), F.greatest("temp", "temp_fit") / F.least("temp", "temp_fit") <= 2),
+        "temp_fit_agree": _said(_have("temp", "temp_fit"), F.greatest("temp", "temp_fit") <= 2 * F.greatest(F.least("temp", "temp_fit"), F.lit(1e-6))),
         "band_vote": F.when(F.coalesce("covered", F.lit(0)) < 2, "N/A").when(c("yes") >= 2, "PASS").when(strong, "FLAG").otherwise("N/A"),
     }
     out = rows.withColumns({f"check_{k}": v for k, v in said.items()})
     count = lambda what: sum(((c(f"check_{k}") == what).cast("int") for k in CHECKS), F.lit(0))
-    return out.withColumns({"n_pass": count("PASS"), "n_flag": count("FLAG")}).withColumn("checks_run", F.concat((c("n_pass") + c("n_flag")).cast("string"), F.lit(f"/{len(CHECKS)}")))
+    return out.withColumns({"n_pass": count("PASS"), "n_flag": count("FLAG")}).withColumn("checks_run", F.concat_ws("/", c("n_pass").cast("string"), (c("n_pass") + c("n_flag")).cast("string")))
 
 
 def confidence(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Adds confidence_pct and confidence (raw), from n_pass, n_flag, focus_stat, fred, excess, match and yes."""
+    """Adds confidence_pct and confidence (raw), from n_pass, n_flag, focus_stat, fred, excess, confirmed, match and yes.
+
+    A match counts where confirmed; excess is at least a millionth.
+    """
     c = F.col
     margin = c("focus_stat") / config.focus_threshold
     evidence = F.concat(
         F.array_repeat(F.lit(0.8), c("n_pass").cast("int")),
-        F.array(F.when(margin > 0, margin / (margin + 1)), F.when((c("fred") > 0) & (c("excess") > 0), 0.6 * F.least(c("fred") / c("excess"), F.lit(1.0))), c("match").cast("double")),
+        F.array(F.when(margin > 0, margin / (margin + 1)), F.when(c("fred") > 0, 0.6 * F.least(c("fred") / F.greatest("excess", F.lit(1e-6)), F.lit(1.0))), F.when(c("confirmed"), c("match").cast("double"))),
         F.array_repeat(F.lit(0.5), F.greatest(F.coalesce("yes", F.lit(0)) - 1, F.lit(0)).cast("int")),
     )
     ran = F.greatest(c("n_pass") + c("n_flag"), F.lit(1))

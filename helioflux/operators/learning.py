@@ -1,57 +1,175 @@
-"""Forecast models on windowed features, calibration, and the peak counter."""
+"""Forecast models on window features, their selection, and calibration of their probabilities.
+
+Models are Spark's own and fit on the cluster. Rows are (date, t, y, features.., and dense and flux_end if there);
+classes weigh the same in all of them.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+import json
+import math
+from collections.abc import Callable
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .detect import peaks
-from .series import day
-from .skill import time_split
+from . import skill
+from .features import NAMES
+
+SEED = 42
+#: Fewer out-of-fold positives than this are calibrated by a sigmoid, fewer than LEAST_POSITIVE by the training rows' own
+PLATT_BELOW, LEAST_POSITIVE = 100, 5
+
+
+def _forest(trees: int, depth: int, leaf: int) -> Callable[[int, int], RandomForestClassifier]:
+    return lambda rows, n: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxBins=64, seed=SEED)
+
+
+#: By name: an estimator for so many rows and features, and whether positives are drawn again in place of weights
+CANDIDATES: dict[str, tuple[Callable, bool]] = {
+    "forest": (_forest(400, 8, 3), False),
+    "forest_shallow": (_forest(200, 3, 15), False),
+    "logistic": (lambda rows, n: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / (0.5 * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200), False),
+    "boosted": (lambda rows, n: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=300, maxDepth=4, stepSize=0.05, seed=SEED), False),
+    # Spark's perceptron has sigmoid units and no penalty, so it isn't the reference's network weight for weight.
+    "perceptron": (lambda rows, n: MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[n, 32, 16, 2], maxIter=200, seed=SEED), True),
+}
+
+
+def fitted(train: DataFrame, kind: str, names: tuple[str, ...] = NAMES, **params) -> PipelineModel:
+    """Standardised features (population deviations) and the model; ``params`` override the estimator's."""
+    make, again = CANDIDATES[kind]
+    train = train.withColumn("y", F.col("y").cast("double"))
+    n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    share = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
+    train = train.withColumn("weight", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    scale = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    shape = [VectorAssembler(inputCols=list(names), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), ElementwiseProduct(inputCol="_std", outputCol="x", scalingVec=Vectors.dense([scale] * len(names)))]
+    if again and 0 < positive < n / 2:
+        # The scaler sees each row once; the network sees positives as often as the rest.
+        scaler = Pipeline(stages=shape).fit(train)
+        more = train.where("y = 1").sample(True, (n - 2 * positive) / positive, SEED)
+        model = make(n, len(names))
+        model = model.setParams(**params) if params else model
+        return PipelineModel([*scaler.stages, model.fit(scaler.transform(train.unionByName(more)))])
+    model = make(n, len(names))
+    return Pipeline(stages=[*shape, model.setParams(**params) if params else model]).fit(train)
+
+
+def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with prob."""
+    out = model.transform(rows).withColumn("prob", vector_to_array("probability")[1])
+    return out.select(*rows.columns, "prob")
+
+
+def forecast(rows: DataFrame, kind: str, names: tuple[str, ...] = NAMES, **params) -> DataFrame:
+    """The last dates' rows with prob, by a model fitted on the dates before."""
+    parts = skill.time_split(rows)
+    return scored(fitted(parts.where("part = 'train'"), kind, names, **params), parts.where("part = 'test'").drop("part"))
+
+
+def out_of_fold(train: DataFrame, kind: str, n_folds: int = 5, embargo_s: float = 5400.0, names: tuple[str, ...] = NAMES, **params) -> DataFrame:
+    """(fold, test_date and the row's columns, prob): each date scored by a model of the dates before it.
+
+    One model a fold; the folds are few by design, and each fit runs on the cluster.
+    """
+    rows = skill.folds(train, n_folds, embargo_s)
+    out = None
+    for fold in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
+        own = rows.where(F.col("fold") == fold)
+        part = scored(fitted(own.where("part = 'train'"), kind, names, **params), own.where("part = 'test'"))
+        out = part if out is None else out.unionByName(part)
+    return rows.where("part = 'test'").limit(0).withColumn("prob", F.lit(None).cast("double")) if out is None else out
+
+
+def _logit(p: Column) -> Column:
+    clipped = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.ln(clipped / (1 - clipped))
+
+
+class Calibrator:
+    """Maps prob to calibrated; fitted on honest probabilities (prob, y)."""
+
+    def __init__(self, rows: DataFrame, method: str) -> None:
+        self.method = method
+        rows = rows.select(F.col("y").cast("double").alias("label"), "prob")
+        if method == "platt":
+            self.stages = [VectorAssembler(inputCols=["_z"], outputCol="_zv")]
+            n = rows.count()
+            self.model = LogisticRegression(featuresCol="_zv", regParam=1 / (1e6 * max(n, 1)), standardization=False, maxIter=200).fit(self.stages[0].transform(rows.withColumn("_z", _logit(F.col("prob")))))
+        else:
+            self.model = IsotonicRegression(featuresCol="prob").fit(rows)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with calibrated, within [1e-6, 1 - 1e-6]."""
+        if self.method == "platt":
+            a, b = float(self.model.coefficients[0]), float(self.model.intercept)
+            value = 1 / (1 + F.exp(-(a * _logit(F.col("prob")) + b)))
+            return rows.withColumn("calibrated", value)
+        out = self.model.transform(rows)
+        return out.withColumn("calibrated", F.least(F.greatest("prediction", F.lit(1e-6)), F.lit(1 - 1e-6))).select(*rows.columns, "calibrated")
+
+
+def calibrator(oof: DataFrame, own: DataFrame | None = None) -> Calibrator:
+    """A sigmoid for few positives, isotonic steps for many; without LEAST_POSITIVE out of fold, a sigmoid of ``own``."""
+    positive = oof.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]
+    if positive < LEAST_POSITIVE and own is not None:
+        return Calibrator(own, "platt")
+    return Calibrator(oof, "platt" if positive < PLATT_BELOW else "isotonic")
 
-FEATURES = ["flux_mean", "flux_max", "flux_std", "flux_end"]
 
+def trained(rows: DataFrame, kinds: tuple[str, ...] = tuple(CANDIDATES), names: tuple[str, ...] = NAMES, params: dict[str, dict] | None = None) -> tuple[PipelineModel, Calibrator, DataFrame, DataFrame]:
+    """The selected model, its calibrator, the table of candidates (model, ordinal, tss, auc) and the test rows with prob and calibrated.
 
-def training(binned: DataFrame, lookback: int = 18, lead: int = 3) -> DataFrame:
-    """Window features with a label: whether the next ``lead`` bins exceed twice the look-back mean."""
-    w, ahead = day().rowsBetween(-lookback, -1), day().rowsBetween(0, lead - 1)
-    out = binned.select("date", "k", F.col("bt").alias("t"), F.count("flux").over(w).alias("n"), F.avg("flux").over(w).alias("flux_mean"), F.max("flux").over(w).alias("flux_max"), F.stddev_pop("flux").over(w).alias("flux_std"), F.lag("flux").over(day()).alias("flux_end"), F.max("flux").over(ahead).alias("next"))
-    return out.where(F.col("n") == lookback).withColumn("label", (F.col("next") > 2 * F.col("flux_mean")).cast("double")).drop("n", "next")
+    Selected by ``skill.selected`` against the persistence baseline on the last dates.
+    """
+    params = params or {}
+    parts = skill.time_split(rows)
+    train, test = parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
+    models = {k: fitted(train, k, names, **params.get(k, {})) for k in kinds}
+    table = None
+    for i, (k, model) in enumerate(models.items()):
+        own = skill.report(scored(model, test)).select(F.lit(k).alias("model"), F.lit(i).alias("ordinal"), "tss", "auc")
+        table = own if table is None else table.unionByName(own)
+    simple = skill.contingency(test.withColumn("prob", skill.persistence(F.col("flux_end"))), 0.5).first()["tss"]
+    best = skill.selected(table, simple).first()["model"]
+    oof = out_of_fold(train, best, names=names, **params.get(best, {}))
+    mapped = calibrator(oof, scored(models[best], train))
+    return models[best], mapped, table, mapped.transform(scored(models[best], test))
 
 
-def forecast(rows: DataFrame, kind: str) -> DataFrame:
-    """(date, k, label, prob) of the test dates by a model fitted on the dates before; classes weigh the same."""
-    parts = time_split(rows)
-    train = parts.where("part = 'train'")
-    share = train.agg(F.avg("label")).first()[0] or 0.5
-    train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
-    if kind == "lr":
-        model = LogisticRegression(featuresCol="x", weightCol="weight", regParam=2.0 / max(train.count(), 1), standardization=False)
-    else:
-        model = RandomForestClassifier(featuresCol="x", weightCol="weight", numTrees=50, maxDepth=3, minInstancesPerNode=15, seed=42)
-    steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]
-    scored = Pipeline(stages=steps).fit(train).transform(parts.where("part = 'test'"))
-    return scored.select("date", "k", "label", vector_to_array("probability")[1].alias("prob"))
+def importance(model: PipelineModel, names: tuple[str, ...] = NAMES, top: int = 15) -> DataFrame:
+    """(rank, feature, importance) of a forest or boosted trees: a report of the first ``top``."""
+    values = model.stages[-1].featureImportances.toArray().tolist()
+    rows = sorted(zip(names, values, strict=True), key=lambda r: -r[1])[:top]
+    return SparkSession.active().createDataFrame([(i + 1, n, float(v)) for i, (n, v) in enumerate(rows)], "rank int, feature string, importance double")
 
 
-def isotonic(rows: DataFrame) -> DataFrame:
-    """(doc_id, prob, calibrated) by isotonic regression of y on prob."""
-    data = rows.select("doc_id", "prob", F.col("y").cast("double").alias("label"))
-    model = IsotonicRegression(featuresCol="prob").fit(data)
-    return model.transform(data).select("doc_id", "prob", F.col("prediction").alias("calibrated"))
+def operating_point(best: DataFrame, objective: str, model: str, n_features: int) -> DataFrame:
+    """One row, json: threshold, objective, all_thresholds, model_name, n_features; best is skill.best_thresholds."""
+    thresholds = F.create_map(*[x for c in best.columns for x in (F.lit(c), F.col(f"`{c}`"))])
+    whole = F.struct(F.col(f"`{objective}`").alias("threshold"), F.lit(objective).alias("objective"), thresholds.alias("all_thresholds"), F.lit(model).alias("model_name"), F.lit(n_features).alias("n_features"))
+    return best.select(F.to_json(whole).alias("json"))
 
 
-def micro_peaks(binned: DataFrame, share: float = 0.5) -> DataFrame:
-    """(date, n_peaks): local maxima of a day's flux whose prominence is at least share of its deviation."""
+def saved(model: PipelineModel, mapped: Calibrator, point: DataFrame, folder: str, names: tuple[str, ...] = NAMES) -> None:
+    """Writes the model, its calibrator, operating point and feature names below a folder; nothing is overwritten."""
+    model.write().save(f"{folder}/model")
+    mapped.model.write().save(f"{folder}/calibrator_{mapped.method}")
+    point.write.mode("errorifexists").text(f"{folder}/operating_point")
+    SparkSession.active().createDataFrame([(json.dumps(list(names)),)], "names string").write.mode("errorifexists").text(f"{folder}/feature_names")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y = frame.sort_values("k")["flux"].to_numpy()
-        return pd.DataFrame({"date": [frame["date"].iloc[0]], "n_peaks": [len(peaks(y, prominence=share * y.std()))]})
 
-    return binned.select("date", "k", "flux").groupBy("date").applyInPandas(run, "date string, n_peaks long")
+def loaded(spark: SparkSession, folder: str, names: tuple[str, ...] = NAMES) -> tuple[PipelineModel, dict]:
+    """The saved model and operating point; raises if the model was made of other features."""
+    point = json.loads(spark.read.text(f"{folder}/operating_point").first()[0])
+    kept = json.loads(spark.read.text(f"{folder}/feature_names").first()[0])
+    if kept != list(names):
+        raise ValueError(f"the model has {len(kept)} features, other than the {len(names)} asked for")
+    return PipelineModel.load(f"{folder}/model"), point

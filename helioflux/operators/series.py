@@ -6,6 +6,8 @@ operators of one chain share that partitioning, and Spark inserts one exchange f
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -21,22 +23,41 @@ def day() -> WindowSpec:
     return Window.partitionBy("date").orderBy("k")
 
 
-def rebin(curve: DataFrame, bin_s: float, keys: tuple[str, ...] = ("date",)) -> DataFrame:
-    """Mean per bin on a grid from each key's first sample; empty bins are 0 with cnt 0. (keys, k, bt, flux, cnt)"""
-    own = Window.partitionBy(*keys)
-    placed = curve.withColumn("t0", F.min("t").over(own)).withColumn("k", F.floor((F.col("t") - F.col("t0")) / bin_s))
+def spans(curve: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, t0, t1): first and last sample; one row a day and instrument, so it is small beside any curve."""
+    return curve.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+def rebin(curve: DataFrame, bin_s: float, keys: tuple[str, ...] = ("date",), gap: str = "zero") -> DataFrame:
+    """Mean per bin on a grid from each key's first sample. (keys, k, bt, flux, cnt)
+
+    Empty bins have cnt 0 and a flux of 0, or null with ``gap`` "null". Samples are combined before the shuffle.
+    """
+    ends = spans(curve, keys)
+    placed = curve.join(F.broadcast(ends.select(*keys, "t0")), list(keys)).withColumn("k", F.floor((F.col("t") - F.col("t0")) / bin_s))
     means = placed.groupBy(*keys, "k").agg(F.avg("counts").alias("flux"), F.count(F.lit(1)).alias("cnt"))
-    spans = curve.groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    grid = spans.select(*keys, "t0", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t1") - F.col("t0")) / bin_s))).alias("k"))
-    joined = grid.join(means, [*keys, "k"], "left")
-    return joined.select(*keys, "k", (F.col("t0") + F.col("k") * bin_s).alias("bt"), F.coalesce("flux", F.lit(0.0)).alias("flux"), F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    grid = ends.select(*keys, "t0", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t1") - F.col("t0")) / bin_s))).alias("k"))
+    flux = F.coalesce("flux", F.lit(0.0)) if gap == "zero" else F.col("flux")
+    return grid.join(means, [*keys, "k"], "left").select(*keys, "k", (F.col("t0") + F.col("k") * bin_s).alias("bt"), flux.alias("flux"), F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def rebin_sum(curve: DataFrame, bin_s: float, keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """Sum per bin at the bin's centre; empty bins are left out. (keys, k, bt, total)"""
-    placed = curve.withColumn("t0", F.min("t").over(Window.partitionBy(*keys)))
-    placed = placed.withColumn("k", F.floor((F.col("t") - F.col("t0")) / bin_s))
-    return placed.groupBy(*keys, "k").agg((F.min("t0") + (F.first("k") + 0.5) * bin_s).alias("bt"), F.sum("counts").alias("total"))
+    placed = curve.join(F.broadcast(spans(curve, keys).select(*keys, "t0")), list(keys)).withColumn("k", F.floor((F.col("t") - F.col("t0")) / bin_s))
+    return placed.groupBy(*keys, "k", "t0").agg(F.sum("counts").alias("total")).select(*keys, "k", (F.col("t0") + (F.col("k") + 0.5) * bin_s).alias("bt"), "total")
+
+
+def rebin_vectors(spectra: DataFrame, grid: DataFrame, bin_s: float, keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Spectra (keys, t, counts array) summed by channel onto a grid (keys, k, bt): (keys, k, counts, cnt).
+
+    Channels are long rows only between the two halves of the aggregation.
+    """
+    starts = grid.groupBy(*keys).agg(F.min("bt").alias("t0"), F.max("k").alias("top"))
+    placed = spectra.join(F.broadcast(starts), list(keys)).withColumn("k", F.floor((F.col("t") - F.col("t0")) / bin_s)).where("k between 0 and top")
+    rows = placed.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = placed.select(*keys, "k", F.posexplode("counts").alias("ch", "n")).groupBy(*keys, "k", "ch").agg(F.sum("n").alias("n"))
+    vectors = cells.groupBy(*keys, "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "n"))), lambda x: x["n"]).alias("counts"))
+    return vectors.join(rows, [*keys, "k"])
 
 
 def centred(rows: int) -> WindowSpec:
@@ -70,31 +91,55 @@ def floored(series: DataFrame, share: float, least: float, name: str = "bg_safe"
 
 
 def noise(series: DataFrame, rows: int) -> DataFrame:
-    """Median absolute first difference in the frame, scaled to a standard deviation; at least 1."""
-    step = F.abs(F.col("flux") - F.coalesce(F.lag("flux").over(day()), F.col("flux")))
-    out = series.withColumn("_d", step).withColumn("_m", F.percentile("_d", 0.5).over(centred(rows)) * (1.4826 / 2**0.5))
+    """Median absolute first difference of flux above background, scaled to a standard deviation; at least 1.
+
+    Where it isn't positive the day's median of positive ones stands in, or 1.
+    """
+    excess = F.col("flux") - F.col("bg")
+    out = series.withColumn("_d", F.abs(excess - F.coalesce(F.lag(excess).over(day()), excess)))
+    out = out.withColumn("_m", F.percentile("_d", 0.5).over(centred(rows)) * (1.4826 / 2**0.5))
     middle = F.percentile(F.when(F.col("_m") > 0, F.col("_m")), 0.5).over(Window.partitionBy("date"))
     return out.withColumn("noise", F.greatest(F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.coalesce(middle, F.lit(1.0))), F.lit(1.0))).drop("_d", "_m")
 
 
+def forecast_background(series: DataFrame, rows: int, least: int) -> DataFrame:
+    """bg: rolling tenth percentile, at least a hundredth of the day's median positive flux and 1e-6."""
+    out = background(series, rows, least)
+    middle = F.percentile(F.when(F.col("flux") > 0, F.col("flux")), 0.5).over(Window.partitionBy("date"))
+    return out.withColumn("bg", F.greatest("bg", F.coalesce(0.01 * middle, F.lit(1e-6)), F.lit(1e-6)))
+
+
+def averaged(x: np.ndarray, weight: float) -> np.ndarray:
+    """Exponential average with this weight on the past, seeded with the first value."""
+    out, held = np.empty(len(x)), float(x[0]) if len(x) else 0.0
+    for i, value in enumerate(x.tolist()):
+        held = weight * held + (1 - weight) * value if i else value
+        out[i] = held
+    return out
+
+
 def fred(series: DataFrame, fast: float = 0.5, slow: float = 0.9) -> DataFrame:
-    """Slow minus fast exponential average, both seeded with the first value; a row per bin."""
-    step = lambda w: lambda acc, x: F.struct((w * acc["e"] + (1 - w) * x).alias("e"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "flux")).over(day().rowsBetween(Window.unboundedPreceding, 0))), lambda r: r["flux"])
-    seed = F.struct(F.element_at("_x", 1).alias("e"))
-    out = series.withColumn("_x", ordered)
-    rest = F.slice("_x", 2, F.greatest(F.size("_x") - 1, F.lit(1)))
-    value = lambda w: F.when(F.size("_x") > 1, F.aggregate(rest, seed, step(w))["e"]).otherwise(F.element_at("_x", 1))
-    return out.withColumn("fred", value(slow) - value(fast)).drop("_x")
-
-
-def gradient(y: str, x: str) -> Column:
-    """Second-order derivative on uneven steps, one-sided at the ends."""
-    w = day()
+    """(date, k, fred): slow minus fast exponential average, both seeded with the first value.
+
+    The recursion runs over each day's bins in order, one pass.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        x = frame["flux"].to_numpy()
+        return pd.DataFrame({"date": frame["date"], "k": frame["k"], "fred": averaged(x, slow) - averaged(x, fast)})
+
+    return series.select("date", "k", "flux").groupBy("date").applyInPandas(run, "date string, k long, fred double")
+
+
+def gradient(y: str, x: str, keys: tuple[str, ...] = ("date",), order: str = "k") -> Column:
+    """Second-order derivative on uneven steps, one-sided at the ends; null where two times are equal."""
+    w = Window.partitionBy(*keys).orderBy(order)
     hs, hd = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
     up, down = F.lead(y).over(w), F.lag(y).over(w)
-    inner = (hs * hs * up + (hd * hd - hs * hs) * F.col(y) - hd * hd * down) / (hs * hd * (hd + hs))
-    return F.coalesce(inner, (up - F.col(y)) / hd, (F.col(y) - down) / hs)
+    over = lambda a, b: F.when(b != 0, a / b)
+    inner = over(hs * hs * up + (hd * hd - hs * hs) * F.col(y) - hd * hd * down, hs * hd * (hd + hs))
+    return F.when(hs.isNull(), over(up - F.col(y), hd)).when(hd.isNull(), over(F.col(y) - down, hs)).otherwise(inner)
 
 
 def moving_average(x: str, reach: int = 2) -> Column:

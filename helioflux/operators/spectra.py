@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import correlation
 from .intervals import interpolated
 
 MK_PER_KEV = 1 / 0.08617
@@ -83,11 +84,10 @@ def lag_scan(soft: DataFrame, hard: DataFrame, keys: tuple[str, ...], reach: int
     """
     lags = F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))).alias("lag")
     own = (*keys, "lag")
-    clock = soft.select(*keys, "t", "y", lags)
+    clock = soft.select(*keys, "t", F.col("y").alias("d"), lags)
     shifted = hard.select(*keys, "t", "y", lags).withColumn("t", F.col("t") + F.col("lag"))
-    met = clock.join(interpolated(clock, shifted, True, own).withColumnRenamed("y", "h"), [*own, "t"])
-    scores = met.groupBy(*own).agg(F.corr("y", "h").alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sy"), F.stddev_pop("h").alias("sh"))
-    scores = scores.where("n >= 4 and sy >= 1e-9 and sh >= 1e-9 and not isnan(r)")
+    met = interpolated(clock, shifted, True, own).where("d is not null and y is not null")
+    scores = met.groupBy(*own).agg(correlation("d", "y").alias("r"), F.count(F.lit(1)).alias("n")).where("n >= 4 and r is not null")
     best = F.max(F.struct("r", (-F.col("lag")).alias("minus"))).alias("top")
     return scores.groupBy(*keys).agg(best, F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("corr_zero")).select(*keys, (-F.col("top.minus")).alias("best_lag_s"), F.col("top.r").alias("corr_at_best"), "corr_zero")
 

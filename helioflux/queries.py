@@ -1,105 +1,16 @@
-"""Registered queries of the time-series operators over the driver's tables, and their SQL twins for checking.
-
-Events stand in for a photon light curve, embeddings for spectra, labels for predictions.
-"""
+"""Registered queries of the time-series operators over the driver's tables, and their SQL twins for checking."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import queries_events, queries_forecast  # noqa: F401 - they register their queries
 from .config import STAND_IN
 from .functions import scalar
-from .operators import checks, detect, intervals, learning, series, skill, spectra
-from .sources import ledger
-from .streaming import windows
-
-BIN = STAND_IN.bin_s
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.light_curve(table(spark, sf_dir, "events"))
-
-
-def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.rebin(curve(spark, sf_dir), BIN)
-
-
-def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.prepared(binned(spark, sf_dir), STAND_IN)
-
-
-def r(*names: str, digits: int = 6) -> list:
-    return [F.round(F.col(n), digits).alias(n) for n in names]
-
-
-LC = """lc AS (SELECT strftime(ts, '%Y%m%d') AS date, event_type AS kind, user_id AS who, epoch(ts) AS t, CAST(value AS DOUBLE) AS counts FROM events),
-z AS (SELECT date, min(t) AS t0, max(t) AS t1 FROM lc GROUP BY date),
-m AS (SELECT lc.date, CAST(floor((t - t0) / 600) AS BIGINT) AS k, avg(counts) AS f, count(*) AS n FROM lc JOIN z ON lc.date = z.date GROUP BY 1, 2),
-g AS (SELECT date, t0, unnest(range(0, CAST(floor((t1 - t0) / 600) AS BIGINT) + 1)) AS k FROM z),
-s AS (SELECT g.date, g.k, g.t0 + g.k * 600 AS bt, coalesce(f, 0) AS flux, coalesce(n, 0) AS cnt FROM g LEFT JOIN m ON g.date = m.date AND g.k = m.k)"""
-READY = (
-    LC
-    + """, p1 AS (SELECT *, CASE WHEN count(flux) OVER f >= 6 THEN quantile_cont(flux, 0.1) OVER f END AS p, CASE WHEN count(flux) OVER f >= 6 THEN quantile_cont(flux, 0.5) OVER f END AS q,
- abs(flux - coalesce(lag(flux) OVER (PARTITION BY date ORDER BY k), flux)) AS d FROM s WINDOW f AS (PARTITION BY date ORDER BY k ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)),
-p2 AS (SELECT *, coalesce(last_value(p IGNORE NULLS) OVER b, first_value(p IGNORE NULLS) OVER a) AS bg, coalesce(last_value(q IGNORE NULLS) OVER b, first_value(q IGNORE NULLS) OVER a) AS med,
- quantile_cont(d, 0.5) OVER (PARTITION BY date ORDER BY k ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) * (1.4826 / sqrt(2)) AS mad FROM p1
- WINDOW b AS (PARTITION BY date ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY date ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-p3 AS (SELECT *, greatest(coalesce(0.1 * quantile_cont(CASE WHEN bg > 0 THEN bg END, 0.5) OVER (PARTITION BY date), 1), 1) AS floor,
- quantile_cont(CASE WHEN mad > 0 THEN mad END, 0.5) OVER (PARTITION BY date) AS mm FROM p2),
-w AS (SELECT *, greatest(bg, floor) AS bg_safe, greatest(CASE WHEN mad > 0 THEN mad ELSE coalesce(mm, 1) END, 1) AS noise FROM p3)"""
-)
-ISLANDS = (
-    READY
-    + """, a0 AS (SELECT *, (flux - bg_safe) / noise > 1 AS above FROM w),
-a1 AS (SELECT *, CASE WHEN above IS DISTINCT FROM lag(above) OVER (PARTITION BY date ORDER BY k) THEN 1 ELSE 0 END AS ch, max(k) OVER (PARTITION BY date) AS top FROM a0),
-a2 AS (SELECT *, sum(ch) OVER (PARTITION BY date ORDER BY k) AS no FROM a1),
-runs AS (SELECT date, min(k) AS s, least(max(k) + 1, max(top)) AS e FROM a2 WHERE above GROUP BY date, no HAVING max(k) - min(k) + 1 >= 2)"""
-)
-MERGED = (
-    ISLANDS
-    + """, b1 AS (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY date ORDER BY s) IS NULL OR s - lag(e) OVER (PARTITION BY date ORDER BY s) > 2 THEN 1 ELSE 0 END AS new FROM runs),
-b2 AS (SELECT *, sum(new) OVER (PARTITION BY date ORDER BY s) AS no FROM b1),
-one AS (SELECT date, min(s) AS s, max(e) AS e FROM b2 GROUP BY date, no)"""
-)
-CATALOG = (
-    MERGED
-    + """, c1 AS (SELECT one.date, one.s, one.e, w.k, w.bt, w.flux, w.bg, w.bg_safe, w.noise, w.floor, row_number() OVER (PARTITION BY one.date, one.s ORDER BY w.flux DESC, w.k) AS rk,
- first_value(w.bg_safe) OVER (PARTITION BY one.date, one.s ORDER BY w.k) AS b0, first_value(w.bt) OVER (PARTITION BY one.date, one.s ORDER BY w.k) AS start FROM one JOIN w ON one.date = w.date AND w.k BETWEEN one.s AND greatest(one.s, one.e - 1)),
-ev AS (SELECT c1.date, CAST(row_number() OVER (PARTITION BY c1.date ORDER BY c1.s) AS INTEGER) AS event_no, c1.s, c1.k AS p, c1.e, c1.start, c1.bt AS peak, x.bt AS "end", c1.flux AS peak_flux, c1.bg_safe AS bg,
- c1.flux / c1.bg_safe AS ratio, (c1.flux - c1.bg_safe) / c1.noise AS sigma, c1.bg < c1.floor AS data_gap FROM c1 JOIN w x ON x.date = c1.date AND x.k = c1.e WHERE rk = 1 AND c1.flux >= 1.4 * b0)"""
-)
-
-
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.sigma_events(binned(spark, sf_dir), STAND_IN)
+from .operators import checks, detect, intervals, series, skill, spectra
+from .registry import BIN, CATALOG, ISLANDS, LC, MERGED, READY, binned, catalog, curve, oracle_sql, queries, PRED, predictions, query, r, ready, table  # noqa: F401
+from .sources import instruments, ledger
 
 
 @query(f"WITH {LC} SELECT date, k, round(bt, 3) AS bt, round(flux, 6) AS flux, cnt FROM s")
@@ -168,9 +79,9 @@ def event_catalog_sigma(spark, sf_dir):
     return catalog(spark, sf_dir).select("date", "event_no", "s", "p", "e", *r("start", "peak", "end", digits=3), *r("peak_flux", "bg", "ratio", "sigma"), "data_gap")
 
 
-@query(f"""WITH {READY}, u AS (SELECT date, k, sum(greatest(flux, 0)) OVER o AS c, sum(greatest(med, 1e-9)) OVER o AS b FROM w WINDOW o AS (PARTITION BY date ORDER BY k)),
-l AS (SELECT date, k + 1 AS f, c, b FROM u UNION ALL SELECT DISTINCT date, 0, 0.0, 0.0 FROM u),
-q AS (SELECT u.date, u.k, u.c - l.c AS n, u.b - l.b AS m FROM u JOIN l ON u.date = l.date AND l.f BETWEEN greatest(u.k - 11, 0) AND u.k)
+@query(f"""WITH {READY}, u AS (SELECT date, k, CAST(sum(CAST(round(greatest(flux, 0) * 1e6) AS BIGINT)) OVER o AS BIGINT) AS c, CAST(sum(CAST(round(greatest(mu0, 1e-9) * 1e6) AS BIGINT)) OVER o AS BIGINT) AS b FROM w WINDOW o AS (PARTITION BY date ORDER BY k)),
+l AS (SELECT date, k + 1 AS f, c, b FROM u UNION ALL SELECT DISTINCT date, 0, 0, 0 FROM u),
+q AS (SELECT u.date, u.k, (u.c - l.c) / 1e6 AS n, (u.b - l.b) / 1e6 AS m FROM u JOIN l ON u.date = l.date AND l.f BETWEEN greatest(u.k - 11, 0) AND u.k)
 SELECT date, k, round(max(CASE WHEN n > m THEN n * ln(n / m) - (n - m) ELSE 0 END), 4) AS llr FROM q GROUP BY date, k""")
 def llr_multiwindow(spark, sf_dir):
     return detect.multiwindow(ready(spark, sf_dir), 12).select("date", "k", *r("llr", digits=4))
@@ -178,7 +89,7 @@ def llr_multiwindow(spark, sf_dir):
 
 @query()
 def focus_scan(spark, sf_dir):
-    return detect.focus_scan(ready(spark, sf_dir), STAND_IN)
+    return detect.focus_scan(ready(spark, sf_dir), STAND_IN).select("date", "k", "stat", "onset")
 
 
 @query()
@@ -197,18 +108,16 @@ def interval_join_stats(spark, sf_dir):
 def prebackground_join(spark, sf_dir):
     samples = curve(spark, sf_dir).select("date", "t", "counts")
     ev = catalog(spark, sf_dir).select("date", "event_no", "start")
-    joined = intervals.interval_join(ev, samples, F.col("start") - 3600, F.col("start"), 3600.0, how="left")
-    before = F.avg(F.when(F.col("t") < F.col("start"), F.col("counts")))
-    return joined.groupBy("date", "event_no").agg(F.round(F.coalesce(before, F.lit(0.0)), 6).alias("before"))
+    before = F.avg(F.when(F.col("t") < F.col("start"), F.col("counts"))).alias("before")
+    out = intervals.interval_stats(ev, samples, F.col("start") - 3600, F.col("start"), 3600.0, ("date", "event_no"), [before])
+    return out.select("date", "event_no", F.round(F.coalesce("before", F.lit(0.0)), 6).alias("before"))
 
 
 @query(f"""WITH {CATALOG}, x AS (SELECT ev.date, event_no, lc.t, lc.counts, row_number() OVER (PARTITION BY ev.date, event_no ORDER BY abs(lc.t - ev.peak), lc.t) AS rk FROM ev JOIN lc ON lc.date = ev.date AND abs(lc.t - ev.peak) < 600) SELECT date, event_no, round(t, 3) AS t, round(counts, 6) AS counts FROM x WHERE rk = 1""")
 def nearest_peak_sample(spark, sf_dir):
     samples = curve(spark, sf_dir).select("date", "t", "counts")
-    ev = catalog(spark, sf_dir).select("date", "event_no", "peak")
-    near = intervals.interval_join(ev, samples, F.col("peak") - 600, F.col("peak") + 600, 3600.0).withColumn("gap", F.abs(F.col("t") - F.col("peak"))).where("gap < 600")
-    best = near.groupBy("date", "event_no").agg(F.min(F.struct("gap", "t", "counts")).alias("x"))
-    return best.select("date", "event_no", F.round("x.t", 3).alias("t"), F.round("x.counts", 6).alias("counts"))
+    near = intervals.nearest(catalog(spark, sf_dir), samples, "peak", 600.0, ("date", "event_no"))
+    return near.select("date", "event_no", F.round("near.t", 3).alias("t"), F.round("near.counts", 6).alias("counts"))
 
 
 @query(f"""WITH {LC}, y AS (SELECT date, t, counts FROM lc WHERE kind = 'purchase'), q AS (SELECT s.date, s.k, s.bt,
@@ -218,7 +127,7 @@ LEFT JOIN y a ON a.date = q.date AND a.t = q.ta LEFT JOIN y b ON b.date = q.date
 def asof_interp(spark, sf_dir):
     clock = binned(spark, sf_dir).select("date", "k", F.col("bt").alias("t"))
     y = curve(spark, sf_dir).where("kind = 'purchase'").select("date", "t", F.col("counts").alias("y"))
-    return intervals.interpolated(clock, y).join(clock, ["date", "t"]).select("date", "k", *r("y"))
+    return intervals.interpolated(clock, y).select("date", "k", *r("y"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(abs(CAST(x AS DOUBLE)) * 100 AS DOUBLE)) AS c FROM embeddings), u AS (SELECT vec_id, unnest(c) AS n, unnest(range(1, len(c) + 1)) AS ch FROM e), v AS (SELECT *, CASE WHEN ch <= 168 THEN ch * 0.0476 END AS kev FROM u)
@@ -245,11 +154,9 @@ def flux_calibrated(spark, sf_dir):
     return e.groupBy("vec_id").agg(F.round(F.sum(n * w) / 20 / 1e-4 * 1e12, 4).alias("flux"), F.round(F.sqrt(F.sum(n * w * w)) / 20 / 1e-4 * 1e12, 4).alias("err"))
 
 
-@query(f"""WITH {CATALOG} SELECT ev.date, event_no, round(sum(greatest(w.flux - ev.bg, 0)) * 600, 4) AS energy FROM ev JOIN w ON w.date = ev.date AND w.k BETWEEN ev.s AND ev.e GROUP BY ev.date, event_no""")
+@query(f"""WITH {CATALOG} SELECT ev.date, event_no, round(sum(greatest(w.flux - ev.bg, 0)) * 600, 4) AS energy FROM ev JOIN w ON w.date = ev.date AND w.k >= ev.s AND w.k < ev.e GROUP BY ev.date, event_no""")
 def event_energy(spark, sf_dir):
-    s = binned(spark, sf_dir).select("date", "k", "flux")
-    ev = catalog(spark, sf_dir).select("date", "event_no", "bg", F.explode(F.sequence("s", "e")).alias("k"))
-    return ev.join(s, ["date", "k"]).groupBy("date", "event_no").agg(F.round(F.sum(F.greatest(F.col("flux") - F.col("bg"), F.lit(0.0))) * BIN, 4).alias("energy"))
+    return catalog(spark, sf_dir).select("date", "event_no", *r("energy", digits=4))
 
 
 @query("""SELECT event_id, CASE WHEN f <= 0 THEN NULL WHEN f >= 1e-4 THEN 'X' || printf('%.1f', f / 1e-4) WHEN f >= 1e-5 THEN 'M' || printf('%.1f', f / 1e-5) WHEN f >= 1e-6 THEN 'C' || printf('%.1f', f / 1e-6) WHEN f >= 1e-7 THEN 'B' || printf('%.1f', f / 1e-7) WHEN f >= 1e-8 THEN 'A' || printf('%.1f', f / 1e-8) ELSE '<A1' END AS class FROM (SELECT event_id, CAST(value AS DOUBLE) * 1.00013e-7 AS f FROM events)""")
@@ -277,7 +184,7 @@ def mjd_roundtrip(spark, sf_dir):
 MEASURED = """mm AS (SELECT event_id, user_id % 7 AS a, event_id % 11 AS b, event_id % 5 AS c, CAST(value AS DOUBLE) AS v FROM events),
 me AS (SELECT event_id, CASE WHEN a <> 0 THEN a / 10.0 END AS corr, CASE WHEN b > 1 THEN b * 1.0 END AS hard_peak, c * 2.0 AS soft_peak, CASE WHEN c > 0 THEN (a - 3) * 150.0 END AS temp_offset, CASE WHEN b <> 3 THEN b * 1.0 END AS gamma,
  CASE WHEN a <> 5 THEN b + 3.0 END AS temp, CASE WHEN c > 1 THEN a + 1.0 END AS qpp_soft, CASE WHEN c > 2 THEN b + 1.0 END AS qpp_hard, v / 10 AS ratio, c AS bands, CASE WHEN a > 1 THEN b > 4 END AS confirmed, CASE WHEN b > 2 THEN a > 3 END AS agree,
- CASE WHEN c <> 2 THEN a * 3.0 END AS temp_fit, b % 4 AS yes, c % 4 AS covered, v AS focus_stat, CASE WHEN a > 2 THEN v / 20 END AS fred, v / 8 AS excess, CASE WHEN b > 5 THEN a / 7.0 END AS match FROM mm)"""
+ CASE WHEN c <> 2 THEN a * 3.0 END AS temp_fit, b % 4 AS yes, c % 4 AS covered, v AS focus_stat, CASE WHEN a > 2 THEN v / 20 END AS fred, (v - 20) / 8 AS excess, CASE WHEN b > 5 THEN a / 7.0 END AS match FROM mm)"""
 CHECKED = (
     MEASURED
     + """, ck AS (SELECT *, CASE WHEN corr IS NULL THEN 'N/A' WHEN corr >= 0.3 THEN 'PASS' ELSE 'FLAG' END AS check_neupert,
@@ -287,7 +194,7 @@ CHECKED = (
  CASE WHEN gamma IS NULL THEN 'N/A' WHEN ratio >= 8 AND gamma > 7 THEN 'FLAG' ELSE 'PASS' END AS check_class_accel,
  CASE WHEN bands = 0 THEN 'N/A' WHEN bands >= 2 THEN 'PASS' WHEN ratio >= 8 THEN 'FLAG' ELSE 'N/A' END AS check_cross_band, CASE WHEN confirmed IS NULL THEN 'N/A' WHEN confirmed THEN 'PASS' ELSE 'FLAG' END AS check_band_confirm,
  CASE WHEN agree IS NULL THEN 'N/A' WHEN agree THEN 'PASS' ELSE 'FLAG' END AS check_class_agree,
- CASE WHEN temp IS NULL OR temp_fit IS NULL OR least(temp, temp_fit) <= 0 THEN 'N/A' WHEN greatest(temp, temp_fit) / least(temp, temp_fit) <= 2 THEN 'PASS' ELSE 'FLAG' END AS check_temp_fit_agree,
+ CASE WHEN temp IS NULL OR temp_fit IS NULL THEN 'N/A' WHEN greatest(temp, temp_fit) / greatest(least(temp, temp_fit), 1e-6) <= 2 THEN 'PASS' ELSE 'FLAG' END AS check_temp_fit_agree,
  CASE WHEN covered < 2 THEN 'N/A' WHEN yes >= 2 THEN 'PASS' WHEN ratio >= 8 THEN 'FLAG' ELSE 'N/A' END AS check_band_vote FROM me),
 cn AS (SELECT *, """
     + " + ".join(f"CAST(check_{k} = 'PASS' AS INTEGER)" for k in checks.CHECKS)
@@ -303,16 +210,16 @@ def measured(spark, sf_dir):
     return e.selectExpr(
         "event_id", "CASE WHEN a <> 0 THEN a / 10D END AS corr", "CASE WHEN b > 1 THEN b * 1D END AS hard_peak", "c * 2D AS soft_peak", "CASE WHEN c > 0 THEN (a - 3) * 150D END AS temp_offset",
         "CASE WHEN b <> 3 THEN b * 1D END AS gamma", "CASE WHEN a <> 5 THEN b + 3D END AS temp", "CASE WHEN c > 1 THEN a + 1D END AS qpp_soft", "CASE WHEN c > 2 THEN b + 1D END AS qpp_hard", "v / 10 AS ratio", "c AS bands",
-        "CASE WHEN a > 1 THEN b > 4 END AS confirmed", "CASE WHEN b > 2 THEN a > 3 END AS agree", "CASE WHEN c <> 2 THEN a * 3D END AS temp_fit", "b % 4 AS yes", "c % 4 AS covered", "v AS focus_stat", "CASE WHEN a > 2 THEN v / 20 END AS fred", "v / 8 AS excess", "CASE WHEN b > 5 THEN a / 7D END AS match",
+        "CASE WHEN a > 1 THEN b > 4 END AS confirmed", "CASE WHEN b > 2 THEN a > 3 END AS agree", "CASE WHEN c <> 2 THEN a * 3D END AS temp_fit", "b % 4 AS yes", "c % 4 AS covered", "v AS focus_stat", "CASE WHEN a > 2 THEN v / 20 END AS fred", "(v - 20) / 8 AS excess", "CASE WHEN b > 5 THEN a / 7D END AS match",
     )
 
 
-@query(f"WITH {CHECKED} SELECT event_id, {', '.join(f'check_{k}' for k in checks.CHECKS)}, n_pass, n_flag, CAST(n_pass + n_flag AS VARCHAR) || '/11' AS checks_run FROM cn")
+@query(f"WITH {CHECKED} SELECT event_id, {', '.join(f'check_{k}' for k in checks.CHECKS)}, n_pass, n_flag, CAST(n_pass AS VARCHAR) || '/' || CAST(n_pass + n_flag AS VARCHAR) AS checks_run FROM cn")
 def cross_checks(spark, sf_dir):
     return checks.cross_checks(measured(spark, sf_dir)).select("event_id", *(f"check_{k}" for k in checks.CHECKS), "n_pass", "n_flag", "checks_run")
 
 
-@query(f"""WITH {CHECKED}, q AS (SELECT *, power(0.2, n_pass) * CASE WHEN focus_stat > 0 THEN 1 - focus_stat / 300 / (focus_stat / 300 + 1) ELSE 1 END * CASE WHEN fred > 0 AND excess > 0 THEN 1 - 0.6 * least(fred / excess, 1) ELSE 1 END * (1 - least(greatest(coalesce(match, 0), 0), 1)) * power(0.5, greatest(yes - 1, 0)) AS miss FROM cn)
+@query(f"""WITH {CHECKED}, q AS (SELECT *, power(0.2, n_pass) * CASE WHEN focus_stat > 0 THEN 1 - focus_stat / 300 / (focus_stat / 300 + 1) ELSE 1 END * CASE WHEN fred > 0 THEN 1 - 0.6 * least(fred / greatest(excess, 1e-6), 1) ELSE 1 END * CASE WHEN confirmed THEN 1 - least(greatest(coalesce(match, 0), 0), 1) ELSE 1 END * power(0.5, greatest(yes - 1, 0)) AS miss FROM cn)
 SELECT event_id, round_even(100 * (1 - miss) * (1 - 0.5 * n_flag / greatest(n_pass + n_flag, 1)), 1) AS confidence_pct, round_even(CAST(n_pass - n_flag AS DOUBLE) / greatest(n_pass + n_flag, 1), 3) AS confidence FROM q""")
 def confidence_noisy_or(spark, sf_dir):
     return checks.confidence(checks.cross_checks(measured(spark, sf_dir))).select("event_id", "confidence_pct", "confidence")
@@ -340,13 +247,6 @@ def date_except(spark, sf_dir):
     return c.where("kind = 'click'").select("date", "who").subtract(c.where("kind = 'view'").select("date", "who"))
 
 
-PRED = "pr AS (SELECT doc_id, quality AS y, ((doc_id * 37) % 100) / 100.0::DOUBLE AS prob, CAST(20240101 + doc_id % 12 AS VARCHAR) AS date, CAST(doc_id AS DOUBLE) * 60 AS t FROM labels)"
-
-
-def predictions(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"), ((F.col("doc_id") * 37) % 100 / 100.0).alias("prob"), (F.lit(20240101) + F.col("doc_id") % 12).cast("string").alias("date"), (F.col("doc_id") * 60.0).alias("t"))
-
-
 CELLS = "count(*) FILTER (prob >= 0.5 AND y = 1) AS tp, count(*) FILTER (prob >= 0.5 AND y = 0) AS fp, count(*) FILTER (prob < 0.5 AND y = 1) AS fn, count(*) FILTER (prob < 0.5 AND y = 0) AS tn"
 
 
@@ -383,29 +283,12 @@ def time_split(spark, sf_dir):
     return skill.time_split(predictions(spark, sf_dir)).groupBy("part", "date").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(f"""WITH {PRED}, f AS (SELECT date AS test_date, min(t) AS fs, row_number() OVER (ORDER BY date DESC) AS fold FROM pr GROUP BY date), g AS (SELECT * FROM f WHERE fold <= 4) SELECT CAST(fold AS INTEGER) AS fold, test_date, count(*) FILTER (date < test_date AND t < fs - 120) AS n_train, count(*) FILTER (date = test_date) AS n_test FROM g, pr WHERE date = test_date OR (date < test_date AND t < fs - 120) GROUP BY 1, 2""")
-def walk_forward_folds(spark, sf_dir):
-    return skill.walk_forward(predictions(spark, sf_dir), 4, 120.0)
-
-
 @query(f"WITH {PRED} SELECT doc_id, minutes, round(1 - power(1 - prob, minutes / 30.0), 6) AS p FROM pr, (SELECT unnest(range(5, 31, 5)) AS minutes)")
 def horizon_spread(spark, sf_dir):
     p = predictions(spark, sf_dir).select("doc_id", "prob", F.explode(F.sequence(F.lit(5).cast("long"), F.lit(30).cast("long"), F.lit(5).cast("long"))).alias("minutes"))
     return p.select("doc_id", "minutes", F.round(scalar.horizon(F.col("prob"), F.col("minutes")), 6).alias("p"))
 
 
-@query(f"""WITH {PRED}, a AS (SELECT date, t, prob >= 0.5 AS alarm, lag(prob >= 0.5) OVER (PARTITION BY date ORDER BY t) AS was FROM pr) SELECT date, t, CASE WHEN alarm THEN 'raised' ELSE 'all-clear' END AS what FROM a WHERE alarm <> coalesce(was, false)""")
-def alarm_transitions(spark, sf_dir):
-    w = Window.partitionBy("date").orderBy("t")
-    a = predictions(spark, sf_dir).withColumn("alarm", F.col("prob") >= 0.5).withColumn("was", F.coalesce(F.lag("alarm").over(w), F.lit(False)))
-    return a.where("alarm <> was").select("date", "t", F.when(F.col("alarm"), "raised").otherwise("all-clear").alias("what"))
-
-
-@query(f"""WITH {PRED} SELECT date, round(avg(y), 6) AS climatology, count(*) FILTER (prob >= 0.5) AS persistent FROM pr GROUP BY date""")
-def baselines(spark, sf_dir):
-    return predictions(spark, sf_dir).groupBy("date").agg(F.round(F.avg("y"), 6).alias("climatology"), F.count_if(F.col("prob") >= 0.5).alias("persistent"))
-
-
 @query(f"""WITH {READY}, n AS (SELECT date, k, bt, flux / bg_safe AS f FROM w), x AS (SELECT date, k, bt, count(*) OVER o AS n, avg(f) OVER o AS flux_mean, max(f) OVER o AS flux_max, stddev_pop(f) OVER o AS flux_std, avg(f) OVER (PARTITION BY date ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS flux_end,
  regr_slope(f, k) OVER o AS slope, skewness(f) OVER o AS skew FROM n WINDOW o AS (PARTITION BY date ORDER BY k ROWS BETWEEN 18 PRECEDING AND 1 PRECEDING))
 SELECT date, k, round(flux_mean, 5) AS flux_mean, round(flux_max, 5) AS flux_max, round(flux_std, 5) AS flux_std, round(flux_end, 5) AS flux_end, round(coalesce(slope, 0), 5) AS flux_trend_slope, round(coalesce(skew, 0), 4) AS flux_skewness FROM x WHERE n = 18 AND k % 3 = 0""")
@@ -426,48 +309,16 @@ def label_lead(spark, sf_dir):
     return ends.join(hit, ["date", "k"], "left").select("date", "k", F.col("flare_start").isNotNull().cast("int").alias("label"), *r("flare_start", digits=3))
 
 
-@query(f"""WITH {CATALOG} SELECT w.date, w.k, round(coalesce(sum(exp(-(w.bt - ev."end") / 21600)), 0), 6) AS history FROM w LEFT JOIN ev ON ev.date = w.date AND ev."end" <= w.bt GROUP BY w.date, w.k""")
-def hawkes_history(spark, sf_dir):
-    ends = binned(spark, sf_dir).select("date", "k", "bt")
-    ev = catalog(spark, sf_dir).select("date", "end")
-    past = F.sum(F.exp(-(F.col("bt") - F.col("end")) / 21600))
-    return ends.join(ev.withColumnRenamed("date", "d"), (F.col("date") == F.col("d")) & (F.col("end") <= F.col("bt")), "left").groupBy("date", "k").agg(F.round(F.coalesce(past, F.lit(0.0)), 6).alias("history"))
-
-
 @query("""WITH f AS (SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS name, page_id % 3 AS size FROM pages), done AS (SELECT name, size FROM f WHERE page_id % 2 = 0) SELECT f.page_id FROM f WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.name = f.name AND done.size = f.size)""")
 def ledger_anti(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/]+)$", 1).alias("name"), (F.col("page_id") % 3).alias("size"))
     return ledger.pending(files, files.where("page_id % 2 = 0")).select("page_id")
 
 
-@query("""SELECT DISTINCT unnest(regexp_extract_all(url, '(1\\d{2})', 1)) AS found FROM pages""")
+@query("""SELECT DISTINCT unnest(regexp_extract_all('/' || CAST(20240100 + page_id % 31 AS VARCHAR) || '/' || url, '(20\\d{6})', 1)) AS date FROM pages""")
 def regex_dates(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("url", F.lit("(1\\d{2})"), F.lit(1))).alias("found")).distinct()
-
-
-@query()
-def lr_forecast(spark, sf_dir):
-    return learning.forecast(learning.training(binned(spark, sf_dir)), "lr")
-
-
-@query()
-def rf_forecast(spark, sf_dir):
-    return learning.forecast(learning.training(binned(spark, sf_dir)), "rf")
-
-
-@query()
-def isotonic_calibration(spark, sf_dir):
-    return learning.isotonic(predictions(spark, sf_dir))
-
-
-@query()
-def stream_tumbling(spark, sf_dir):
-    return windows.tumbling(spark, sf_dir, "events.parquet")
-
-
-@query()
-def micro_peaks(spark, sf_dir):
-    return learning.micro_peaks(binned(spark, sf_dir))
+    paths = table(spark, sf_dir, "pages").select(F.concat(F.lit("/"), (F.lit(20240100) + F.col("page_id") % 31).cast("string"), F.lit("/"), F.col("url")).alias("path"))
+    return instruments.dates_in_paths(paths)
 
 
 def channels(spark, sf_dir):

@@ -1,8 +1,9 @@
 """Reader of binary tables in FITS files, as a Python data source: ``spark.read.format("fits")``.
 
-Options: path (a file or a glob that the workers can open), hdu (a name pattern, default any table), columns
-(comma-separated). Each table is one partition; a row has the file, the table's name, its header as JSON and each
-wanted column as an array of doubles. Files that can't be parsed give no rows unless ``mode`` is ``failfast``.
+Options: path (a file or a glob that the driver and the workers can open; for other paths see ``instruments``), hdu (a
+name pattern, default any table), columns (comma-separated). Each file is one partition; a row has the file, the
+table's name, its header as JSON and each wanted column as an array of doubles. A file that can't be parsed fails the
+read unless ``mode`` is ``dropmalformed``.
 """
 
 from __future__ import annotations
@@ -104,9 +105,9 @@ class FitsReader(DataSourceReader):
             with open(partition.value, "rb") as file:
                 found = list(tables(file.read()))
         except Exception:
-            if self.options.get("mode") == "failfast":
-                raise
-            return
+            if self.options.get("mode") == "dropmalformed":
+                return
+            raise
         for t in found:
             if not re.search(self.options.get("hdu", ""), t.name):
                 continue

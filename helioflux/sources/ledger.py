@@ -9,10 +9,3 @@ from pyspark.sql import functions as F
 def pending(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of files (name, size, ...) without an equal (name, size) in the ledger."""
     return files.join(ledger.select("name", "size").distinct(), ["name", "size"], "left_anti")
-
-
-def dates(files: DataFrame) -> DataFrame:
-    """(date, path) of light-curve files, preferring SDD2 files, then the least path, for each date in the name."""
-    found = files.select("path", F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\d{8})", 1).alias("date")).where("date <> ''")
-    best = F.min_by("path", F.struct((~F.col("path").contains("SDD2")).alias("other"), "path"))
-    return found.groupBy("date").agg(best.alias("path"))

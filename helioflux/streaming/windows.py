@@ -1,24 +1,84 @@
-"""Structured Streaming forms of the binned series."""
+"""Structured Streaming forms of the binned series, and the sequential scan as a stateful operator.
+
+Each function turns a stream of rows (ts, value, ..) into a stream; ``to_table`` runs one into a Parquet sink that the
+cluster shares, so results never pass through the driver.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..config import Config
+from ..operators.detect import Scan
+from ..tables import shared_folder
+
+
+def timed(stream: DataFrame, late: str) -> DataFrame:
+    """Rows with ts as a timestamp and a watermark; later rows than that are dropped, as in any watermarked stream."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def tumbled(stream: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Mean value and count per event-time window, emitted once the watermark passes the window."""
-    ts = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    by = ts.withWatermark("ts", late).groupBy(F.window("ts", width))
+    """(bin, flux, cnt): mean value and count per event-time window, emitted once the watermark passes the window."""
+    by = timed(stream, late).groupBy(F.window("ts", width))
     return by.agg(F.avg("value").alias("flux"), F.count(F.lit(1)).alias("cnt")).select(F.col("window.start").alias("bin"), "flux", "cnt")
 
 
-def tumbling(spark: SparkSession, folder: str, files: str, width: str = "1 hour") -> DataFrame:
-    """All closed windows of the folder's files of that name, run as a stream that ends with them."""
-    schema = spark.read.parquet(f"{folder}/{files}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
-    name = f"tumbling_{uuid.uuid4().hex}"
-    tumbled(stream, width).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def slid(stream: DataFrame, width: str = "30 minutes", step: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """(start, end, flux_mean, flux_max, flux_std, cnt) of sliding windows, aligned to the epoch."""
+    by = timed(stream, late).groupBy(F.window("ts", width, step))
+    return by.agg(F.avg("value").alias("flux_mean"), F.max("value").alias("flux_max"), F.stddev_pop("value").alias("flux_std"), F.count(F.lit(1)).alias("cnt")).select("window.start", "window.end", "flux_mean", "flux_max", "flux_std", "cnt")
+
+
+def sessions(stream: DataFrame, above: float, gap: str = "2 minutes", late: str = "1 hour", key: str = "event_type") -> DataFrame:
+    """(key, start, end, top, cnt) of runs of values above a level with no gap of ``gap`` or more between them."""
+    by = timed(stream, late).where(F.col("value") > above).groupBy(key, F.session_window("ts", gap))
+    return by.agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("cnt")).select(key, "session_window.start", "session_window.end", "top", "cnt")
+
+
+SCANNED = "key string, bin timestamp, flux double, stat double, onset long"
+STATE = "points array<struct<c: double, t: long, b: double>>, c double, t long, b double, was boolean, mean double"
+
+
+def scanned(bins: DataFrame, config: Config, key: str = "key", weight: float = 0.98) -> DataFrame:
+    """(key, bin, flux, stat, onset) of a stream of bins (key, bin, flux): the sequential scan, its hull kept as state.
+
+    The expected rate is causal, an exponential average of the key's earlier bins, as a centred median would need the
+    future. Bins of a micro-batch are taken in time order; the state is at most ``config.focus_curves`` points a key.
+    """
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        scan = Scan(config.focus_threshold, config.focus_curves, config.focus_window)
+        mean = None
+        if state.exists:
+            points, c, t, b, was, mean = state.get
+            scan.points, scan.now, scan.was_above = [(p[0], p[1], p[2]) for p in points], (c, t, b), was
+        rows = pd.concat(list(frames)).sort_values("bin")
+        out = []
+        for at, flux in zip(rows["bin"], rows["flux"].astype(float), strict=True):
+            expected = max(flux if mean is None else mean, 1e-6)
+            out.append((name[0], at, flux, *scan.add(flux * config.bin_s, expected * config.bin_s)))
+            mean = flux if mean is None else weight * mean + (1 - weight) * flux
+        state.update((scan.points, *scan.now, scan.was_above, float(mean)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCANNED.split(", ")])
+
+    return bins.select(F.col(key).cast("string").alias("key"), "bin", "flux").groupBy("key").applyInPandasWithState(run, SCANNED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def source(spark: SparkSession, folder: str, files: str, per_batch: int | None = None) -> DataFrame:
+    """The folder's Parquet files of that name as a stream."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{files}").schema).option("pathGlobFilter", files)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
+
+
+def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs the stream over all there is now into Parquet files below a shared folder, and returns them as a table."""
+    folder = folder or shared_folder(stream.sparkSession, "stream")
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
