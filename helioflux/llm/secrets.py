@@ -18,8 +18,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from itertools import pairwise
 from math import log, sqrt
 
 import numpy as np
@@ -28,20 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, spill
-from .textblocks import blocks, starts_of_code_points
+from .textblocks import Block, Words, blocks, runs, span_hashes, starts_of_code_points
 
 #: The base patterns, in the order of kinds
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # a maximal run is found whole, so shorter runs need no match
 KINDS = ("assign", "access", "hex")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 
 #: Labelled strings a kind and background strings that the models are fitted on, the first by hash
 SAMPLE = 2000
 LEAST = 1.0
-#: Strings whose hash or score a task remembers; others are computed again
-REMEMBERED = 1 << 17
 #: Bounds of training: longer strings are no examples, and a kind's examples have so many characters together
 LONGEST, CHARACTERS = 4096, 300_000
 
@@ -54,57 +49,70 @@ def base_spans(data: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def candidates(data: bytes, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 6 or more characters of the labelled alphabet in what base matches leave of the text."""
-    out, at = [], 0
-    for a, b in [*sorted((a, b) for a, b, _, _ in taken), (len(data), len(data))]:
-        if at < a:
-            out += [m.span() for m in _CANDIDATE.finditer(data, at, a)]
-        at = max(at, b)
-    return out
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+_CODE = np.full(256, -1, dtype=np.int64)
+_CODE[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(len(_ALPHABET))
+SHORTEST = 6
+#: Longer candidates are scored one by one
+STEPPED = 512
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
-    """Each row's text and base matches."""
-    for block in blocks(batch.column(1)):
-        for d in range(block.n):
-            data = block.data[block.at[d] : block.at[d + 1]].tobytes()
-            yield data, base_spans(data)
+def candidates(block: Block, base: list[list[tuple[int, int, int, int]]]) -> Words:
+    """Runs of 6 or more characters of the labelled alphabet in what base matches leave of each text."""
+    inside = _CODE[block.data] >= 0
+    for d, spans in enumerate(base):
+        for a, b, _, _ in spans:
+            inside[block.at[d] + a : block.at[d] + b] = False
+    found = runs(block, inside)
+    long_ = found.end - found.start >= SHORTEST
+    start = found.start[long_]
+    return Words(start, found.end[long_], np.searchsorted(start, block.at))
 
 
-LEARNT = "kind int, secret string, hash binary"
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[Block, list[bytes], list[list[tuple[int, int, int, int]]]]]:
+    """Each block with its texts and their base matches."""
+    for block in blocks(batch.column(1)):
+        data = [block.data[block.at[d] : block.at[d + 1]].tobytes() for d in range(block.n)]
+        yield block, data, [base_spans(x) for x in data]
 
 
-def _hash(secret: bytes) -> bytes:
-    return hashlib.blake2b(secret, digest_size=8).digest()
+LEARNT = "kind int, secret string, hash binary"
 
 
 def _first(sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each kind (-1: candidates) the ``sample`` first distinct strings of the partition by hash."""
-        hashed = lru_cache(REMEMBERED)(_hash)
-        kept: dict[int, set[tuple[bytes, bytes]]] = {k: set() for k in range(-1, len(KINDS))}
-        edge: dict[int, bytes] = {}
+        kept: dict[int, dict[bytes, int]] = {k: {} for k in range(-1, len(KINDS))}
+        edge = dict.fromkeys(kept, (1 << 64) - 1)
+
+        def add(k: int, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+            short = end - start <= LONGEST
+            start, end = start[short], end[short]
+            hashes = span_hashes(data, start, end, fold=False)
+            near = np.flatnonzero(hashes <= np.uint64(edge[k]))
+            for i in near.tolist():
+                kept[k][data[start[i] : end[i]].tobytes()] = int(hashes[i])
+            if len(kept[k]) > 4 * sample:
+                shrink(k)
 
         def shrink(k: int) -> None:
-            kept[k] = set(sorted(kept[k])[:sample])
-            if len(kept[k]) == sample:
-                edge[k] = max(h for h, _ in kept[k])
+            first = sorted(kept[k].items(), key=lambda x: (x[1], x[0]))[:sample]
+            kept[k] = dict(first)
+            if len(first) == sample:
+                edge[k] = first[-1][1]
 
         for batch in batches:
-            for data, base in _texts(batch):
-                strings = {(-1, data[a:b]) for a, b in candidates(data, base)} | {(k, data[s:b]) for _, b, k, s in base}
-                for k, secret in strings:
-                    if len(secret) > LONGEST:
-                        continue
-                    h = hashed(secret)
-                    if k not in edge or h <= edge[k]:
-                        kept[k].add((h, secret))
-                        if len(kept[k]) > 4 * sample:
-                            shrink(k)
+            for block, _, base in _texts(batch):
+                found = candidates(block, base)
+                add(-1, block.data, found.start, found.end)
+                for k in range(len(KINDS)):
+                    own = [(block.at[d] + s, block.at[d] + b) for d, spans in enumerate(base) for _, b, kind, s in spans if kind == k]
+                    if own:
+                        spots = np.array(own, dtype=np.int64)
+                        add(k, block.data, spots[:, 0], spots[:, 1])
         for k in kept:
             shrink(k)
-        rows = [(k, secret.decode("ascii"), h) for k, of in kept.items() for h, secret in sorted(of)]
+        rows = [(k, secret.decode("ascii"), h.to_bytes(8, "big")) for k, of in kept.items() for secret, h in sorted(of.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "secret", "hash"])
 
     return run
@@ -118,27 +126,23 @@ class Automaton:
     seen: list[dict[str, int]] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
     left: list[dict[int, int]] = field(default_factory=list)
-    _logs: list[tuple[dict[str, float], float, float]] = field(default_factory=list)
-
-    def _log(self, state: int, alphabet: int) -> tuple[dict[str, float], float, float]:
-        """Log probabilities at a state: of seen characters, of any other one and of the end."""
-        if not self._logs:
-            for counts, end in zip(self.seen, self.ends, strict=True):
-                all_ = sum(counts.values()) + end + 0.01 * (alphabet + 1)
-                self._logs.append(({c: log((n + 0.01) / all_) for c, n in counts.items()}, log(0.01 / all_), log((end + 0.01) / all_)))
-        return self._logs[state]
-
-    def score(self, text: str, alphabet: int) -> float:
-        """Log likelihood of the string and its end, 0.01 added to each count; beyond all states all is as likely."""
-        state, total, plain = 0, 0.0, -log(alphabet + 1)
-        for c in text:
-            if state < 0:
-                total += plain
-                continue
-            known, other, _ = self._log(state, alphabet)
-            total += known.get(c, other)
-            state = self.moves[state].get(c, -1)
-        return total + (self._log(state, alphabet)[2] if state >= 0 else plain)
+    def tables(self, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities (state, character or end) with 0.01 added to each count, and next states.
+
+        The last state is where no example went: all is as likely there, and nothing leaves it.
+        """
+        n = len(self.moves)
+        logs, after = np.zeros((n + 1, alphabet + 1)), np.full((n + 1, alphabet), n, dtype=np.int64)
+        counts = np.zeros((n + 1, alphabet + 1))
+        for q in range(n):
+            for c, k in self.seen[q].items():
+                counts[q, _CODE[ord(c)]] = k
+            for c, t in self.moves[q].items():
+                after[q, _CODE[ord(c)]] = t
+            counts[q, alphabet] = self.ends[q]
+        counts += 0.01
+        logs[:] = np.log(counts / counts.sum(axis=1, keepdims=True))
+        return logs, after
 
 
 def prefix_tree(strings: list[str]) -> Automaton:
@@ -183,22 +187,6 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
     def total(q: int) -> int:
         return ends[q] + sum(seen[q].values())
 
-    def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
-        return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > bound * (1 / sqrt(n1) + 1 / sqrt(n2))
-
-    def lengths_differ(a: int, na: int, b: int, nb: int) -> bool:
-        if na < nb:
-            a, na, b, nb = b, nb, a, na
-        if na >= SETTLED and any(x not in left[a] for x in left[b]):
-            return True
-        below_a = below_b = 0
-        for x in sorted(left[a].keys() | left[b].keys()):
-            below_a += left[a].get(x, 0)
-            below_b += left[b].get(x, 0)
-            if differ(below_a, na, below_b, nb):
-                return True
-        return False
-
     def compatible(a: int, b: int) -> bool:
         stack, visited = [(a, b)], set()
         while stack:
@@ -208,10 +196,22 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
                 continue
             visited.add((p, q))
             np_, nq = total(p), total(q)
-            if differ(ends[p], np_, ends[q], nq) or lengths_differ(p, np_, q, nq):
+            if np_ < nq:
+                p, q, np_, nq = q, p, nq, np_
+            if np_ >= SETTLED and not left[q].keys() <= left[p].keys():
+                return False
+            limit = bound * (1 / sqrt(np_) + 1 / sqrt(nq)) if nq else 1.0
+            if limit >= 1:  # so few strings differ from nothing, here and further on
+                continue
+            if abs(ends[p] / np_ - ends[q] / nq) > limit:
                 return False
+            gap = 0.0
+            for x in sorted(left[p].keys() | left[q].keys()):
+                gap += left[p].get(x, 0) / np_ - left[q].get(x, 0) / nq
+                if abs(gap) > limit:
+                    return False
             for c in seen[p].keys() | seen[q].keys():
-                if differ(seen[p].get(c, 0), np_, seen[q].get(c, 0), nq):
+                if abs(seen[p].get(c, 0) / np_ - seen[q].get(c, 0) / nq) > limit:
                     return False
                 if c in moves[p] and c in moves[q]:
                     stack.append((moves[p][c], moves[q][c]))
@@ -253,44 +253,64 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
     return Automaton([{c: names[at(t)] for c, t in moves[q].items() if at(t) in names} for q in order], [dict(seen[q]) for q in order], [ends[q] for q in order], [dict(left[q]) for q in order])
 
 
-ALPHABET = 66
-
-
-@dataclass
-class Background:
-    """Log probabilities of a character after another, and of the end, of ordinary candidates; one added to each count."""
-
-    pairs: dict[tuple[str, str], int]
-    after: dict[str, int]
+ALPHABET = len(_ALPHABET)
 
-    @staticmethod
-    def of(strings: list[str]) -> Background:
-        pairs: dict[tuple[str, str], int] = defaultdict(int)
-        after: dict[str, int] = defaultdict(int)
-        for s in strings:
-            for a, b in pairwise(f"^{s}$"):
-                pairs[a, b] += 1
-                after[a] += 1
-        return Background(dict(pairs), dict(after))
 
-    def score(self, text: str) -> float:
-        return sum(log((self.pairs.get(p, 0) + 1) / (self.after.get(p[0], 0) + ALPHABET + 1)) for p in pairwise(f"^{text}$"))
+def background(strings: list[str]) -> np.ndarray:
+    """Log probabilities (character before or start, character or end) of ordinary candidates, one added to each count."""
+    counts = np.ones((ALPHABET + 1, ALPHABET + 1))
+    for s in strings:
+        codes = _CODE[np.frombuffer(s.encode(), np.uint8)]
+        np.add.at(counts, (np.append(ALPHABET, codes), np.append(codes, ALPHABET)), 1)
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 @dataclass
 class Formats:
     automata: dict[str, Automaton]
-    background: Background
+    background: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.names = sorted(self.automata)
+        self.tables = [self.automata[k].tables(ALPHABET) for k in self.names]
+
+    def ratios(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each span the likeliest kind, by its place in ``names``, and its log likelihood ratio a character.
+
+        All spans walk the automata in step, the longest first; a span leaves where it ends.
+        """
+        best, kind = np.full(len(start), -np.inf), np.zeros(len(start), dtype=np.int64)
+        if not self.tables or not len(start):
+            return kind, best
+        size = end - start
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        plain, before = np.zeros(len(start)), np.full(len(start), ALPHABET)
+        totals, states = np.zeros((len(self.tables), len(start))), np.zeros((len(self.tables), len(start)), dtype=np.int64)
+        for at in range(int(size[0])):
+            n = int(np.searchsorted(-size, -at, side="left"))
+            codes = _CODE[data[start[:n] + at]]
+            plain[:n] += self.background[before[:n], codes]
+            before[:n] = codes
+            for i, (logs, after) in enumerate(self.tables):
+                totals[i, :n] += logs[states[i, :n], codes]
+                states[i, :n] = after[states[i, :n], codes]
+        plain += self.background[before, ALPHABET]
+        for i, (logs, _) in enumerate(self.tables):
+            totals[i] += logs[states[i], ALPHABET]
+        ratio = (totals - plain) / size
+        kind[order], best[order] = ratio.argmax(axis=0), ratio.max(axis=0)
+        return kind, best
 
     def best(self, text: str) -> tuple[str, float]:
-        """The likeliest kind and its log likelihood ratio per character; ("", -inf) without automata."""
-        plain = self.background.score(text)
-        scores = [((a.score(text, ALPHABET) - plain) / len(text), k) for k, a in self.automata.items()]
-        return max(scores, default=(float("-inf"), ""))[::-1]
+        """The likeliest kind of one string and its log likelihood ratio a character; ("", -inf) without automata."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        kind, ratio = self.ratios(data, np.zeros(1, np.int64), np.full(1, len(data)))
+        return (self.names[kind[0]], float(ratio[0])) if self.tables else ("", float("-inf"))
 
 
 def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Formats:
-    return Formats({k: merged(prefix_tree(sorted(v))) for k, v in labelled.items() if v}, Background.of(ordinary))
+    return Formats({k: merged(prefix_tree(sorted(v))) for k, v in labelled.items() if v}, background(ordinary))
 
 
 def _digest(spans: list[tuple[int, int, str]]) -> str:
@@ -305,30 +325,51 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 _ORDER = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
 
 
+def _scores(formats: Formats, block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and ratios of spans; equal spans are scored once, and very long ones one at a time."""
+    _, one, back = np.unique(span_hashes(block.data, start, end, fold=False), return_index=True, return_inverse=True)
+    a, b = start[one], end[one]
+    kind, ratio = np.zeros(len(one), dtype=np.int64), np.full(len(one), -np.inf)
+    stepped = b - a <= STEPPED
+    kind[stepped], ratio[stepped] = formats.ratios(block.data, a[stepped], b[stepped])
+    for i in np.flatnonzero(~stepped):
+        k, x = formats.ratios(block.data, a[i : i + 1], b[i : i + 1])
+        kind[i], ratio[i] = k[0], x[0]
+    return kind[back], ratio[back]
+
+
 def _scanner(held, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         formats: Formats = held.value
-        best = lru_cache(REMEMBERED)(lambda secret: formats.best(secret.decode("ascii")))
         for batch in batches:
             out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_learned")}
-            for data, matches in _texts(batch):
-                found = [(a, b, KINDS[k], best(data[s:b])[1]) for a, b, k, s in matches]
-                for a, b in candidates(data, matches) if formats.automata else ():
-                    name, ratio = best(data[a:b])
-                    if ratio >= least:
-                        found.append((a, b, f"like_{name}", ratio))
-                n_learned = len(found) - len(matches)
-                found.sort(key=lambda s: (s[0], _ORDER[s[2]]))
-                if found:
-                    place = starts_of_code_points(np.frombuffer(data, np.uint8))
-                    found = [(int(place[a]), int(place[b]), k, x) for a, b, k, x in found]
-                base = [s[:3] for s in found if s[2] in KINDS]
-                for k in KINDS:
-                    out[f"n_{k}"].append(sum(s[2] == k for s in base))
-                out["base_sha256"].append(_digest(base))
-                out["spans"].append(_joined([s[:3] for s in found]))
-                out["scores"].append([s[3] for s in found])
-                out["n_learned"].append(n_learned)
+            for block, data, base in _texts(batch):
+                found: list[list[tuple[int, int, str, float]]] = [[] for _ in range(block.n)]
+                own = [(d, a, b, k, s) for d, spans in enumerate(base) for a, b, k, s in spans]
+                if own:
+                    at = np.array([(block.at[d] + s, block.at[d] + b) for d, _, b, _, s in own], dtype=np.int64)
+                    _, ratio = _scores(formats, block, at[:, 0], at[:, 1])
+                    for (d, a, b, k, _), x in zip(own, ratio.tolist(), strict=True):
+                        found[d].append((a, b, KINDS[k], x))
+                if formats.tables:
+                    runs_ = candidates(block, base)
+                    kind, ratio = _scores(formats, block, runs_.start, runs_.end)
+                    of = np.repeat(np.arange(block.n), runs_.counts)
+                    for i in np.flatnonzero(ratio >= least).tolist():
+                        d = int(of[i])
+                        found[d].append((int(runs_.start[i] - block.at[d]), int(runs_.end[i] - block.at[d]), f"like_{formats.names[kind[i]]}", float(ratio[i])))
+                for d, spans in enumerate(found):
+                    spans.sort(key=lambda s: (s[0], _ORDER[s[2]]))
+                    if spans:
+                        place = starts_of_code_points(np.frombuffer(data[d], np.uint8))
+                        spans = [(int(place[a]), int(place[b]), k, x) for a, b, k, x in spans]
+                    plain = [s[:3] for s in spans if s[2] in KINDS]
+                    for k in KINDS:
+                        out[f"n_{k}"].append(sum(s[2] == k for s in plain))
+                    out["base_sha256"].append(_digest(plain))
+                    out["spans"].append(_joined([s[:3] for s in spans]))
+                    out["scores"].append([s[3] for s in spans])
+                    out["n_learned"].append(len(spans) - len(plain))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(out[f"n_{k}"], pa.int64()) for k in KINDS), pa.array(out["base_sha256"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["scores"], pa.list_(pa.float64())), pa.array(out["n_learned"], pa.int64())],
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_learned"],

@@ -121,7 +121,11 @@ def blocks(column: pa.Array, limit: int = LIMIT) -> Iterator[Block]:
 
 def words(block: Block, word: np.ndarray) -> Words:
     """Maximal runs of word bytes that don't leave their document."""
-    inside = word[block.data]
+    return runs(block, word[block.data])
+
+
+def runs(block: Block, inside: np.ndarray) -> Words:
+    """Maximal runs of marked bytes that don't leave their document."""
     n = len(inside)
     before = np.empty(n, dtype=bool)
     after = np.empty(n, dtype=bool)
