@@ -39,7 +39,7 @@ MINED = 32
 VOTERS = len(LEXICON) + MINED + 4
 #: Bounds of labelled rows for mining and first rates, and of rows for the classifier, the first by hash each
 TRAIN_ROWS = 12000
-SAMPLE_ROWS = 24000
+SAMPLE_ROWS = 12000
 #: Rows' weight in the label model for each that carries a label, and rows added to smooth a table's entry
 KNOWN, SMOOTH = 20.0, 2.0
 
@@ -262,6 +262,7 @@ def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BIT
     voters = Voters(np.concatenate([lexicon, mined]), bits)
     n_voters = len(voters.features) + 4
     fixed = KNOWN * counted(voters.votes(sample.numbers, sample.at), toxic.astype(float), np.ones(len(toxic)), n_voters) if len(toxic) else taught(n_voters)
+    del sample
 
     rows = docs.select(F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))).alias("draw"), F.col("text").cast("string").alias("text"))
     table = spill(rows.mapInArrow(_voting(spark.sparkContext.broadcast(voters)), "draw long, votes long, n_features long"), "votes")
@@ -280,7 +281,9 @@ def trained(docs: DataFrame, labels: DataFrame, rounds: int = 5, bits: int = BIT
         return Trained(np.zeros(1 << bits, np.float32), -3.0, model, voters)
     soft = sigmoid(model.log_odds(np.array([r["votes"] for r in got], dtype=np.int64)))
     texts = Sample.of([np.frombuffer(r["features"], np.int32) for r in got])
-    weights, intercept = logistic(restrict(texts, telling(texts, soft, bits)), soft, np.ones(len(soft)), bits, l2=3e-5, steps=150, rate=0.1)
+    del got
+    texts = restrict(texts, telling(texts, soft, bits))
+    weights, intercept = logistic(texts, soft, np.ones(len(soft)), bits, l2=3e-5, steps=150, rate=0.1)
     return Trained(weights.astype(np.float32), intercept, model, voters)
 
 
