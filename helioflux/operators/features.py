@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions.scalar import correlation, scrub, squash
+from ..tables import written
 from .detect import peaks
 from .intervals import decayed, interval_join
 from .measure import window_gamma
@@ -196,9 +197,10 @@ def windows(series: DataFrame, events: DataFrame, config: Config, bands: DataFra
     series: (date, k, bt, norm, cnt); events: (date, start, end, ratio, energy_jm2). Windows in the decay of a significant
     event, or with samples in fewer than config.rows_seen of their bins, are left out.
     """
-    sig = significant(events, config)
+    sig = written(significant(events, config), "significant")
     ends = grid(series, sig, config)
-    ends = ends.join(in_decay(ends, series, sig, config).select("date", "i"), ["date", "i"], "left_anti")
+    # Every part below reads the ends, which are few: they are written once.
+    ends = written(ends.join(in_decay(ends, series, sig, config).select("date", "i"), ["date", "i"], "left_anti"), "ends")
     out = features(ends, series, config, bands, hard).where(F.col("data_gap_frac") <= 1 - config.rows_seen + 1e-9)
     out = history(labelled(ends, sig, config), sig, config).join(out, ["date", "i"])
     for found, names in ((temperature_trend(ends, temperatures, config) if temperatures is not None else None, ["temp_trend_MK_per_min"]), (gammas(ends, band_curves, config) if band_curves is not None else None, ["gamma_window", "gamma_trend"])):

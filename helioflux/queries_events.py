@@ -130,7 +130,7 @@ sl AS (SELECT date, event_no, start, "end", t, coalesce((hs * hs * up + (hd * hd
 def _interpolated(shift: str) -> str:
     """SQL of the clamped interpolation of hd (date, event_no, t, c) at sl's times, its clock moved by an expression."""
     return f"""SELECT a.date, a.event_no, a.t, {shift} AS lag, a.y, coalesce(CASE WHEN ta = tb THEN p.c ELSE p.c + (n.c - p.c) * (a.t - {shift} - ta) / (tb - ta) END, p.c, n.c) AS h FROM (
- SELECT s.*, (SELECT max(hd.t) FROM hd WHERE hd.date = s.date AND hd.event_no = s.event_no AND hd.t <= s.t - {shift}) AS ta, (SELECT min(hd.t) FROM hd WHERE hd.date = s.date AND hd.event_no = s.event_no AND hd.t >= s.t - {shift}) AS tb FROM s) a
+ SELECT sx.*, (SELECT max(hd.t) FROM hd WHERE hd.date = sx.date AND hd.event_no = sx.event_no AND hd.t <= sx.t - {shift}) AS ta, (SELECT min(hd.t) FROM hd WHERE hd.date = sx.date AND hd.event_no = sx.event_no AND hd.t >= sx.t - {shift}) AS tb FROM sx) a
  LEFT JOIN hd p ON p.date = a.date AND p.event_no = a.event_no AND p.t = ta LEFT JOIN hd n ON n.date = a.date AND n.event_no = a.event_no AND n.t = tb"""
 
 

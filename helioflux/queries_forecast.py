@@ -9,6 +9,7 @@ from .operators import detect, features, learning, replay, series, skill
 from .queries_events import LIMITS, band_curves
 from .registry import CATALOG, PRED, binned, catalog, curve, predictions, query, r, table
 from .streaming import windows
+from .tables import written
 
 # Stand-in: energies of events are their peak flux times a step of their number; 18 bins of look-back, steps of 3.
 SIG = (
@@ -101,11 +102,11 @@ _MADE = {
     "recent_vs_early": "flux_end / greatest(flux_start, 1e-6)",
     "helos_max_sigma": "helos_flux_max",
     "helos_recent_vs_early": "CASE WHEN h0 IS NOT NULL THEN h1 / greatest(h0, 1e-6) END",
-    "helos_precursor": "CASE WHEN nh > 0 AND coalesce(helos_trend_slope, 0) > 0 AND coalesce(flux_trend_slope, 0) <= 0 THEN 1e0 ELSE 0e0 END",
+    "helos_precursor": "CASE WHEN nh > 0 AND isfinite(coalesce(helos_trend_slope, 0)) AND coalesce(helos_trend_slope, 0) > 0 AND coalesce(flux_trend_slope, 0) <= 0 THEN 1e0 ELSE 0e0 END",
     "helos_to_solexs_ratio": "helos_flux_mean / greatest(flux_mean, 1e-6)",
     "helos_lead_signal": "h0",
     "cross_corr": "CASE WHEN nh = n AND flux_std > 0 AND helos_std > 0 THEN c0 END",
-    "hard_soft_trend_diff": "CASE WHEN nh > 0 THEN coalesce(helos_trend_slope, 0) - coalesce(flux_trend_slope, 0) END",
+    "hard_soft_trend_diff": "CASE WHEN nh > 0 THEN coalesce(CASE WHEN isfinite(helos_trend_slope) THEN helos_trend_slope END, 0) - coalesce(flux_trend_slope, 0) END",
     "data_gap_frac": "1 - seen",
 }
 _COLUMNS = [(x, x) for x in _PLAIN] + list(_MADE.items())
@@ -113,11 +114,11 @@ _COLUMNS = [(x, x) for x in _PLAIN] + list(_MADE.items())
 _DIGITS = {"spectral_slope": 2}
 
 
-@query(f"WITH {GRID}{FEATURES_SQL} SELECT date, i, {', '.join(f'round(CASE WHEN isfinite(coalesce({e}, 0)) THEN coalesce({e}, 0) ELSE 0 END, {_DIGITS.get(x, 4)}) AS {x}' for x, e in _COLUMNS)} FROM a")
+@query(f"WITH {GRID}{FEATURES_SQL} SELECT date, i, {', '.join(f'round(CASE WHEN isfinite(coalesce({e}, 0)) THEN coalesce({e}, 0) ELSE 0 END, {_DIGITS.get(x, 4)}) + 0 AS {x}' for x, e in _COLUMNS)} FROM a")
 def window_features(spark, sf_dir):
     side = side_series(spark, sf_dir)
     out = features.features(ends(spark, sf_dir), norm(spark, sf_dir), STAND_IN, side, side)
-    return out.select("date", "i", *[F.round(F.col(x), _DIGITS.get(x, 4)).alias(x) for x, _ in _COLUMNS])
+    return out.select("date", "i", *[(F.round(F.col(x), _DIGITS.get(x, 4)) + 0).alias(x) for x, _ in _COLUMNS])
 
 
 HARD = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in LIMITS.items() if a >= 20)
@@ -147,13 +148,14 @@ def precursor_score(spark, sf_dir):
 
 def dataset(spark, sf_dir):
     """Windows with all 43 features, as rows (date, t, y, dense, features..)."""
-    side = side_series(spark, sf_dir)
+    side = written(side_series(spark, sf_dir), "side")
     temps = curve(spark, sf_dir).where("kind = 'view'").select("date", "t", F.col("counts").alias("t_mk"))
-    return features.windows(norm(spark, sf_dir), energetic(spark, sf_dir), STAND_IN, side, side, band_curves(spark, sf_dir), temps)
+    return features.windows(written(norm(spark, sf_dir), "series"), energetic(spark, sf_dir), STAND_IN, side, side, band_curves(spark, sf_dir), temps)
 
 
 def samples(spark, sf_dir):
-    return dataset(spark, sf_dir).withColumnsRenamed({"window_end_unix": "t", "label": "y"})
+    # Models read their rows many times.
+    return written(dataset(spark, sf_dir).withColumnsRenamed({"window_end_unix": "t", "label": "y"}), "windows")
 
 
 @query()
