@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..config import Config
@@ -87,7 +88,7 @@ def labelled(ends: DataFrame, sig: DataFrame, config: Config) -> DataFrame:
     return ends.join(first, ["date", "i"], "left").withColumn("label", F.col("flare_start").isNotNull().cast("int"))
 
 
-@F.pandas_udf("n int, height double")
+@F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("height", DoubleType())]))
 def micro_peaks(values: pd.Series) -> pd.DataFrame:
     """Peaks of an array by prominence of half its deviation, and their mean height."""
     out = []

@@ -297,7 +297,7 @@ def mlp_forecast(spark, sf_dir):
 
 @query()
 def out_of_fold_calibration(spark, sf_dir):
-    oof = learning.out_of_fold(samples(spark, sf_dir), "logistic")
+    oof = written(learning.out_of_fold(samples(spark, sf_dir), "logistic"), "scored")
     return learning.calibrator(oof).transform(oof).select("fold", "date", "t", "y", "prob", "calibrated")
 
 
@@ -316,7 +316,7 @@ def isotonic_calibration(spark, sf_dir):
 
 @query()
 def walk_forward_summary(spark, sf_dir):
-    oof = learning.out_of_fold(samples(spark, sf_dir), "logistic")
+    oof = written(learning.out_of_fold(samples(spark, sf_dir), "logistic"), "scored")
     return skill.fold_summary(oof)
 
 

@@ -54,6 +54,8 @@ class Table:
 
 
 def tables(data: bytes) -> Iterator[Table]:
+    if len(data) < BLOCK:
+        raise ValueError("the file is shorter than one block")
     at = 0
     while at + BLOCK <= len(data):
         cards, at = header(data, at)

@@ -1,6 +1,9 @@
+import gzip
+import zipfile
+
 import numpy as np
 
-from helioflux.sources import fits
+from helioflux.sources import fits, instruments
 
 
 def card(key, value):
@@ -21,3 +24,30 @@ def test_binary_table(spark, tmp_path):
     spark.dataSource.register(fits.FitsSource)
     got = spark.read.format("fits").option("path", f"{tmp_path}/*.fits").option("columns", "counts").option("mode", "dropmalformed").load().orderBy("row").collect()
     assert [(r.hdu, r.row, r["values"]) for r in got] == [("RATE", 0, [11.0, 12.0]), ("RATE", 1, [13.0, 14.0])]
+
+
+def bands_file(folder):
+    """A band curve of two samples, one NaN, as the hard instrument's files have it."""
+    rows = np.array([(60000.0, 5.0), (60000.5, np.nan)], dtype=[("MJD", ">f8"), ("CTR", ">f8")])
+    cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", 16), card("NAXIS2", 2), card("PCOUNT", 0), card("TFIELDS", 2), card("TTYPE1", "'MJD'"), card("TFORM1", "'1D'"), card("TTYPE2", "'CTR'"), card("TFORM2", "'1D'"), card("EXTNAME", "'X_20.00KEV_TO_30.00KEV'")]
+    data = block([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)]) + block(cards) + rows.tobytes().ljust(fits.BLOCK, b"\0")
+    (folder / "lightcurve_cdte_20240102.fits").write_bytes(data)
+    (folder / "lightcurve_cdte_20240103.fits").write_bytes(b"junk")
+
+
+def test_band_reader_reports_bad_files(spark, tmp_path):
+    bands_file(tmp_path)
+    rows = instruments.hard_bands(instruments.files(spark, str(tmp_path), "*.fits"))
+    got = [(r.date, r.e_lo, r.e_hi, r.t, r.ctr) for r in instruments.good(rows).orderBy("t").collect()]
+    assert got == [("20240102", 20.0, 30.0, 1677283200.0, 5.0), ("20240102", 20.0, 30.0, 1677283200.0 + 43200, 0.0)]
+    assert [r.path.rsplit("/", 1)[1] for r in instruments.errors(rows).collect()] == ["lightcurve_cdte_20240103.fits"]
+
+
+def test_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.lc.gz", gzip.compress(b"one"))
+        z.writestr("two.pi", b"two")
+    (tmp_path / "b.zip").write_bytes(b"junk")
+    out = instruments.unpacked(instruments.files(spark, str(tmp_path), "*.zip")).collect()
+    assert sorted((r.member, bytes(r.content)) for r in out if r.error is None) == [("two.pi", b"two"), ("x/one.lc", b"one")]
+    assert sum(r.error is not None for r in out) == 1

@@ -76,9 +76,66 @@ def test_scalars(spark):
 
 
 def test_confidence(spark):
-    row = spark.createDataFrame([(2, 1, 300.0, None, None, None, None)], "n_pass int, n_flag int, focus_stat double, fred double, excess double, match double, yes int")
-    out = checks.confidence(row).first()
-    assert (out.confidence_pct, out.confidence) == (81.7, 0.333)
+    schema = "n_pass int, n_flag int, focus_stat double, fred double, excess double, confirmed boolean, match double, yes int"
+    rows = [(2, 1, 300.0, None, None, None, None, None), (0, 0, None, 2.0, -5.0, False, 0.9, 1), (0, 0, None, None, 1.0, True, 0.9, 3)]
+    out = [(r.confidence_pct, r.confidence) for r in checks.confidence(spark.createDataFrame(rows, schema)).collect()]
+    # An excess below 0 reads as a millionth; a match counts only where confirmed.
+    assert out == [(81.7, 0.333), (60.0, 0.0), (97.5, 0.0)]
+
+
+def test_noise_is_that_of_flux_above_background(spark):
+    """A background that climbs with the flux makes no noise."""
+    rows = [("d", k, 100.0 * k + (3.0 if k % 2 else 0.0), 100.0 * k) for k in range(12)]
+    got = {r.k: r.noise for r in series.noise(spark.createDataFrame(rows, "date string, k long, flux double, bg double"), 4).collect()}
+    assert [got[k] for k in range(3, 10)] == pytest.approx([3 * 1.4826 / 2**0.5] * 7)
+
+
+def test_short_days_have_no_events(spark):
+    flagged = detect.prepared(series.rebin(curve(spark, range(0, 200, 10), [1.0] * 10 + [900.0] * 10), 10.0), Config()).withColumn("above", F.col("flux") > 10)
+    assert detect.events(flagged, Config()).count() == 0
+    small = Config(bg_window=10, bg_least=2)
+    assert detect.events(flagged, small).count() == 1
+
+
+def test_left_interval_join_keeps_lone_intervals_once(spark):
+    spots = spark.createDataFrame([("d", 1, 0.0, 10.0), ("d", 2, 100.0, 110.0), ("d", 3, 5.0, 20.0)], "date string, no int, a double, b double").repartition(3)
+    samples = spark.createDataFrame([("d", 1.0), ("d", 7.0), ("d", 15.0)], "date string, t double").repartition(3)
+    out = intervals.interval_join(spots, samples, F.col("a"), F.col("b"), 4.0, ids=("date", "no"), how="left")
+    assert sorted((r.no, r.t) for r in out.collect() if r.t is not None) == [(1, 1.0), (1, 7.0), (3, 7.0), (3, 15.0)]
+    assert [r.no for r in out.where("t is null").collect()] == [2]
+
+
+def test_repeated_times_have_no_slope(spark):
+    rows = spark.createDataFrame([("d", i, float(x), float(y)) for i, (x, y) in enumerate([(0, 1), (1, 2), (1, 4), (2, 5)])], "date string, k long, x double, y double")
+    assert [r.g for r in rows.select("k", series.gradient("y", "x").alias("g")).orderBy("k").collect()] == [1.0, None, None, 1.0]
+
+
+def test_folds_need_training_positives(spark):
+    rows = spark.createDataFrame([("a", 0.0, 0), ("b", 1e6, 1), ("c", 2e6, 0), ("d", 3e6, 1)], "date string, t double, y int")
+    assert [(r.fold, r.test_date) for r in skill.walk_forward(rows, 9, 60.0).orderBy("fold").collect()] == [(1, "d"), (2, "c")]
+
+
+def test_significance(spark):
+    from helioflux.operators import features
+
+    rows = [("x", 1, 5.0, 1.0), ("x", 2, 5.0, 9.0), ("x", 3, 1.0, 5.0), ("y", 4, 5.0, 9.0), ("y", 5, 9.0, None)]
+    out = features.significant(spark.createDataFrame(rows, "date string, no int, ratio double, energy_jm2 double"), Config())
+    assert sorted(r.no for r in out.collect()) == [2, 5]
+
+
+def test_moments(spark):
+    from helioflux.operators import replay
+
+    row = one(spark, a=replay.moment("20240115", "14:30"), b=replay.moment("20240115", "18:334"), c=replay.moment("20240115", "24:00"))
+    assert (row.a, row.b, row.c) == (1705329000.0, None, None)
+
+
+def test_catalog_has_its_columns(spark):
+    from helioflux import catalog
+
+    for mode in ("event_catalog_soft", "event_catalog_hard"):
+        out = own.queries()[mode](spark, DATA)
+        assert tuple(out.columns) == catalog.COLUMNS and len(catalog.COLUMNS) == 57
 
 
 def test_contingency(spark):
@@ -93,7 +150,7 @@ def test_peaks():
     assert detect.peaks(np.array([0.0, 2, 1.5, 3, 0]), prominence=1).tolist() == [3]
 
 
-CASES = ["rebin_mean", "ema_fred", "event_catalog_sigma", "llr_multiwindow", "interval_join_stats", "asof_interp", "confidence_noisy_or", "roc_auc_exact", "walk_forward_folds"]
+CASES = ["mad_noise_sigma", "band_powerlaw", "neupert_corr", "soft_flux_events", "band_peak_flux", "band_vote", "decay_exclusion", "hawkes_history", "window_gamma", "best_thresholds", "replay_scorecard", "next_significant", "rebin_mean", "ema_fred", "event_catalog_sigma", "llr_multiwindow", "interval_join_stats", "asof_interp", "confidence_noisy_or", "roc_auc_exact", "walk_forward_folds"]
 
 
 @pytest.mark.parametrize("name", CASES)
