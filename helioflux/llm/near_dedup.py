@@ -139,10 +139,11 @@ SALT_ROWS, SALTS = 1000, 32
 
 
 def _salted(held: DataFrame) -> DataFrame:
-    """held (main, id, ..) with salts, the number of a group's salts, and each row's own."""
-    counted = held.groupBy("main").agg(F.count(F.lit(1)).alias("c"))
+    """held (main, id, ..) with salts, the number of a group's salts, and each row's own; only large groups have several."""
+    counted = held.groupBy("main").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SALT_ROWS)
     spread = counted.select("main", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    met = held.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["main", "_s"]).drop("_s")
+    met = held.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["main", "_s"], "left").drop("_s")
+    met = met.withColumn("salts", F.coalesce("salts", F.lit(1)))
     return met.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.col("salts")).cast("int"))
 
 
