@@ -169,7 +169,7 @@ SETTLED = 30
 
 
 def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
-    """States whose futures agree within Hoeffding bounds are merged, breadth first."""
+    """States whose futures agree within Hoeffding bounds are merged, those of most strings first."""
     n = len(tree.moves)
     moves = [dict(m) for m in tree.moves]
     seen = [dict(s) for s in tree.seen]
@@ -238,10 +238,10 @@ def merged(tree: Automaton, alpha: float = 0.05) -> Automaton:
     red = [0]
     while True:
         reds = {at(q) for q in red}
-        blue = sorted({at(t) for q in reds for t in moves[q].values()} - reds)
+        blue = {at(t) for q in reds for t in moves[q].values()} - reds
         if not blue:
             break
-        b = blue[0]
+        b = max(blue, key=lambda q: (total(q), -q))
         for r in sorted(reds):
             if compatible(r, b):
                 fold(r, b)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from helioflux.llm import decontaminate, mixing, near_dedup, outliers, quality, secrets, sharding, superminhash, tokens, toxicity, urlrules
+from helioflux.llm import decontaminate, mixing, near_dedup, outliers, quality, secrets, sharding, superminhash, textblocks, tokens, toxicity, urlrules
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None, "en", "a"), (2, "", "en", None), (3, "   \n\t", None, "a"), (4, "one", "en", "a"), (4, "one", "en", "a"), (None, "two words here now", "de", "b"), (6, "x " * 60000, "fr", "c"), (7, "é" * 3000 + "\nÜ ß", "de", "b")]
@@ -298,7 +298,9 @@ def test_longest_matches_by_brute_force(spark):
 def test_candidates_by_the_labelled_alphabet():
     """Short, dotted and letters-only runs, and the part of a run that a base match leaves."""
     text = b"x7Kq2z, ab.cd1.ef/gh abcdefghij short AKIA" + b"A1" * 9 + b"tail_rest9 end"
-    got = [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+    block = textblocks.Block(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    found = secrets.candidates(block, [secrets.base_spans(text)])
+    got = [text[a:b] for a, b in zip(found.start, found.end, strict=True)]
     assert got == [b"x7Kq2z", b"ab.cd1.ef/gh", b"abcdefghij", b"tail_rest9"]
 
 
