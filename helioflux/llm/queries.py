@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, outliers, quality, secrets, sharding, tokens, toxicity, urlrules
+from . import codebooks, conversations, decontaminate, mixing, near_dedup, neighbours, outliers, quality, secrets, sharding, tokens, toxicity, urlrules
 from .store import table
 
 #: Wanted shares of tokens by domain
@@ -53,8 +53,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_secret_scan, op3_mixing, op4_sharding, op5_quality_rules, op6_toxicity, op7_quality_classifier, op8_near_dedup, op9_decontamination, op10_url_filter)
+    own = (op1_token_counts, op2_secret_scan, op3_mixing, op4_sharding, op5_quality_rules, op6_toxicity, op7_quality_classifier, op8_near_dedup, op9_decontamination, op10_url_filter, op11_conversation_repair, op12_vector_codes, op13_nearest_neighbours)
     return {f.__name__: f for f in own}
 
 
