@@ -8,6 +8,7 @@ from .config import STAND_IN
 from .operators import detect, features, learning, replay, series, skill
 from .queries_events import LIMITS, band_curves
 from .registry import CATALOG, PRED, binned, catalog, curve, predictions, query, r, table
+from .streaming import scan as stream_scan
 from .streaming import windows
 from .tables import written
 
@@ -320,29 +321,33 @@ def walk_forward_summary(spark, sf_dir):
     return skill.fold_summary(oof)
 
 
-def event_stream(spark, sf_dir):
+def event_feed(spark, sf_dir):
     return windows.source(spark, sf_dir, "events.parquet")
 
 
-@query()
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS bin, round(avg(value), 6) AS flux, count(*) AS cnt FROM events GROUP BY 1")
 def stream_tumbling(spark, sf_dir):
-    return windows.to_table(windows.tumbled(event_stream(spark, sf_dir), "1 hour"))
+    return windows.to_table(windows.tumbled(event_feed(spark, sf_dir), "1 hour")).select(F.unix_seconds("bin").alias("bin"), *r("flux"), "cnt")
 
 
-@query()
+@query("""WITH w AS (SELECT unnest(range(0, 6)) AS back), e AS (SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 AS step, CAST(value AS DOUBLE) AS v FROM events)
+SELECT step - 1800 * back AS "start", step - 1800 * back + 10800 AS "end", round(avg(v), 6) AS flux_mean, max(v) AS flux_max, round(stddev_pop(v), 6) AS flux_std, count(*) AS cnt FROM e, w GROUP BY 1, 2""")
 def stream_sliding(spark, sf_dir):
-    return windows.to_table(windows.slid(event_stream(spark, sf_dir), "3 hours", "30 minutes"))
+    out = windows.to_table(windows.slid(event_feed(spark, sf_dir), "3 hours", "30 minutes"))
+    return out.select(F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), *r("flux_mean"), "flux_max", *r("flux_std"), "cnt")
 
 
-@query()
+@query("""WITH a AS (SELECT event_type, epoch_us(ts) AS t, value AS v FROM events WHERE value > 60), b AS (SELECT *, CASE WHEN t - lag(t) OVER o <= 1800000000 THEN 0 ELSE 1 END AS new FROM a WINDOW o AS (PARTITION BY event_type ORDER BY t)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY t) AS no FROM b) SELECT event_type, min(t) AS "start", max(t) + 1800000000 AS "end", max(v) AS top, count(*) AS cnt FROM c GROUP BY event_type, no""")
 def stream_session(spark, sf_dir):
-    return windows.to_table(windows.sessions(event_stream(spark, sf_dir), 60.0, "30 minutes"))
+    out = windows.to_table(windows.sessions(event_feed(spark, sf_dir), 60.0, "30 minutes"))
+    return out.select("event_type", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "top", "cnt")
 
 
 @query()
 def stream_focus(spark, sf_dir):
-    ts = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.to_table(windows.scanned(ts.select(F.lit("all").alias("key"), F.col("ts").alias("bin"), F.col("value").cast("double").alias("flux")), STAND_IN))
+    """The keyed scan over a stream; tests hold it against the scan of a finished table, in one and in many batches."""
+    return windows.to_table(stream_scan.scanned(event_feed(spark, sf_dir), STAND_IN))
 
 
 @query()
