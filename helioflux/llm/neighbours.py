@@ -31,7 +31,7 @@ from .vectors import finite, matrix, packed, usual_width
 SAMPLE, CALIBRATION, BRANCH = 20_000, 256, 16
 #: Rows wanted in a leaf; most leaves of a tree (its centroids are broadcast)
 LEAF_ROWS, MOST_LEAVES = 64, 4096
-BIN_ROWS, QUERY_ROWS = 8192, 16_384
+BIN_ROWS, QUERY_ROWS = 2048, 16_384
 RECALL = 0.94
 #: Seed of the k-means starts
 SEED = 7
