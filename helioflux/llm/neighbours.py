@@ -32,6 +32,8 @@ SAMPLE, CALIBRATION, BRANCH = 20_000, 256, 16
 #: Rows wanted in a leaf; most leaves of a tree (its centroids are broadcast)
 LEAF_ROWS, MOST_LEAVES = 64, 4096
 BIN_ROWS, QUERY_ROWS = 2048, 16_384
+#: Queries to a task that walks the tree
+TOGETHER = 500
 RECALL = 0.94
 #: Seed of the k-means starts
 SEED = 7
@@ -160,19 +162,23 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[place < k]
 
 
-def _found(queries: np.ndarray, asked: np.ndarray, own: np.ndarray, rows: _Distinct, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k nearest to each of ``queries``, numbered as in ``asked``; its own id is left out."""
+def _found(queries: np.ndarray, asked: np.ndarray, own: np.ndarray, rows: _Distinct, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k nearest to each of ``queries``, numbered as in ``asked``; its own id is left out.
+
+    ``bound``: scores below which a query needs none.
+    """
     none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     if not len(queries) or not len(rows.points):
         return none
     rough = queries @ rows.points.T
+    least = np.full(len(queries), -np.inf) if bound is None else bound.copy()
     if rough.shape[1] > k + 1:
-        slack = 1e-9 * (1 + np.abs(rough).max(1))
-        least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] - slack
-        at, point = np.nonzero(rough >= least[:, None])
-    else:
-        at, point = (x.reshape(-1) for x in np.indices(rough.shape))
+        least = np.maximum(least, np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)])
+    # Rough sums may differ from those in order by their rounding.
+    at, point = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(rough).max(1)))[:, None])
     score = _scores(queries[at], rows.points[point])
+    if bound is not None:
+        at, point, score = (x[score >= bound[at]] for x in (at, point, score))
     size = rows.count[point]
     pair = np.repeat(np.arange(len(at)), size)
     ids = rows.ids[np.repeat(rows.first[point] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -280,8 +286,14 @@ def _needed(width: int, held) -> Callable:
     return run
 
 
+ASKED = "bin long, query_id long, v binary, leaves array<int>, near boolean"
+
+
 def _asked(width: int, held, visits: int, least: int) -> Callable:
-    """A row for each query and bin with leaves that the query visits; visits go on until these hold ``least`` rows."""
+    """A row for each query and bin with leaves that the query visits; visits go on until these hold ``least`` rows.
+
+    near: the bin of the first leaf, whose rows tell what a farther one must beat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, first, parts, sizes = held.value
@@ -289,7 +301,7 @@ def _asked(width: int, held, visits: int, least: int) -> Callable:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 points = matrix(part.column("v"), width)
-                query, bin_, leaves = [], [], []
+                query, bin_, leaves, near = [], [], [], []
                 for i, point in enumerate(points):
                     own: dict[int, list[int]] = {}
                     rows = 0
@@ -302,8 +314,9 @@ def _asked(width: int, held, visits: int, least: int) -> Callable:
                     query += [i] * len(own)
                     bin_ += own.keys()
                     leaves += own.values()
+                    near += [x == 0 for x in range(len(own))]
                 at = np.array(query, int)
-                yield pa.RecordBatch.from_arrays([pa.array(bin_, pa.int64()), part.column("vec_id").take(pa.array(at)), packed(points[at]), pa.array(leaves, pa.list_(pa.int32()))], ["bin", "query_id", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(bin_, pa.int64()), part.column("vec_id").take(pa.array(at)), packed(points[at]), pa.array(leaves, pa.list_(pa.int32())), pa.array(near, pa.bool_())], ["bin", "query_id", "v", "leaves", "near"])
 
     return run
 
@@ -323,7 +336,7 @@ def _searched(width: int, k: int, most: int = 512) -> Callable:
         for start in range(0, right.num_rows, most):
             part = right.slice(start, most)
             queries = np.frombuffer(b"".join(part["v"].to_pylist()), np.float64).reshape(-1, width)
-            own = part["query_id"].to_numpy()
+            own, bound = part["query_id"].to_numpy(), part["bound"].to_numpy()
             asked: dict[int, list[int]] = {}
             for i, leaves in enumerate(part["leaves"].to_pylist()):
                 for x in leaves:
@@ -333,7 +346,7 @@ def _searched(width: int, k: int, most: int = 512) -> Callable:
             for x, rows in held.items():
                 if at := asked.get(x):
                     at = np.array(at)
-                    found.append(_found(queries[at], own[at], own[at], rows, k))
+                    found.append(_found(queries[at], own[at], own[at], rows, k, bound[at]))
                     if sum(len(f[0]) for f in found) > 200_000:
                         best = _merged([best, *found], k)
                         found = []
@@ -403,7 +416,8 @@ class Index:
     def search(self, queries: DataFrame, k: int, visits: int, scratch: Scratch, bin_rows: int = BIN_ROWS) -> DataFrame:
         """query_id, rank, vec_id, score of queries (vec_id, v) over ``visits`` leaves each, more where they hold too few rows.
 
-        A group is a bin's rows, at most about bin_rows, with at most about QUERY_ROWS of its queries.
+        A query meets its nearest bin first; the k-th score found there goes along to the other bins, which bring only
+        what reaches it.
         """
         spark = self.rows.sparkSession
         first, parts = bins(self.sizes, bin_rows)
@@ -411,14 +425,20 @@ class Index:
         dealt = self.rows.select((F.element_at(F.lit(first.tolist()), F.col("leaf") + 1) + spread).cast("long").alias("bin"), "vec_id", "leaf", "v")
         dealt = dealt.mapInArrow(_packed(self.width), "bin long, vec_id long, leaf int, v binary")
         held = spark.sparkContext.broadcast((self.tree, first, parts, self.sizes))
-        asked = queries.select("vec_id", "v").mapInArrow(_asked(self.width, held, visits, k + 1), "bin long, query_id long, v binary, leaves array<int>")
-        asked = scratch.spill(asked, "asked")
+        asked = scratch.spill(queries.select("vec_id", "v").mapInArrow(_asked(self.width, held, visits, k + 1), ASKED), "asked")
+        near = scratch.spill(self._met(dealt, asked.where("near").withColumn("bound", F.lit(float("-inf"))), k), "near")
+        kth = nearest_of(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("_query"), F.col("score").alias("bound"))
+        other = asked.where("not near").join(kth, F.col("query_id") == F.col("_query"), "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        return nearest_of(near.unionByName(self._met(dealt, other, k)), k)
+
+    def _met(self, dealt: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """Finds of queries in their bins. A group is a bin's rows, at most about bin_rows, with at most about QUERY_ROWS of its queries."""
+        asked = asked.select("bin", "query_id", "v", "leaves", "bound")
         chunks = asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("chunks"))
         dealt = dealt.join(chunks, "bin").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         asked = asked.join(chunks.select("bin", F.col("chunks").alias("over")), "bin")
         asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("over")).cast("int"))
-        found = dealt.groupBy("bin", "chunk").cogroup(asked.groupBy("bin", "chunk")).applyInArrow(_searched(self.width, k), _NEAR)
-        return nearest_of(found, k)
+        return dealt.groupBy("bin", "chunk").cogroup(asked.groupBy("bin", "chunk")).applyInArrow(_searched(self.width, k), _NEAR)
 
 
 def _packed(width: int) -> Callable:
@@ -449,5 +469,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, recall: floa
     index = Index.build(embeddings, scratch, leaf_rows)
     if index.tree is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = scratch.spill(index.rows.where(is_query(every)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = index.rows.where(is_query(every)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # A walk through the tree takes milliseconds: few queries to a task.
+    queries = scratch.spill(asked.repartition(-(-int(index.sizes.sum()) // (every * TOGETHER)), "vec_id"), "queries")
     return index.search(queries, k, index.calibrated(queries, k, recall), scratch, bin_rows)
