@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: For sessions in one process only, as in tests
 LOCAL_DIR = "/tmp/helioflux-checkpoints"
@@ -47,6 +48,16 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 class Scratch(list):
     """Tables spilled on the way to a result; ``clear`` deletes them once nothing reads them any more."""
 

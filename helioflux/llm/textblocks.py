@@ -70,6 +70,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of hashes, and of its inverse."""
+    return _POWERS.of(n)
+
+
 @dataclass
 class Block:
     """Documents ``first`` to ``last`` of a batch. ``at``: byte offsets of documents inside ``data``."""
@@ -153,7 +158,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
     return mix((total[end] - total[start]) * down[start]) | np.uint64(1)
 
 
-_PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+#: Factors of a run's words by place
+PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
 def sequence_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +172,9 @@ def sequence_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.nda
     if n >= k:
         of = np.repeat(np.arange(len(counts)), counts)
         first = np.flatnonzero(np.arange(n) + k <= doc[1:][of])
-        total = hashes[first] * _PLACES[0]
+        total = hashes[first] * PLACES[0]
         for j in range(1, k):
-            total += hashes[first + j] * _PLACES[j]
+            total += hashes[first + j] * PLACES[j]
     else:
         first, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < k))
@@ -177,7 +183,7 @@ def sequence_hashes(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.nda
         part = np.zeros(len(short), dtype=np.uint64)
         for j in range(k - 1):
             here = j < size
-            part[here] += hashes[head[here] + j] * _PLACES[j]
+            part[here] += hashes[head[here] + j] * PLACES[j]
         first, total = np.concatenate([first, head]), np.concatenate([total, part])
         order = np.argsort(first, kind="stable")
         first, total = first[order], total[order]
