@@ -99,7 +99,7 @@ def test_mined_rules_by_brute_force(spark):
     for i in range(400):
         items = {t for t in "abcde" if rng.random() < 0.5}
         rows.append((i, sorted(items), bool({"a", "b"} <= items and rng.random() < 0.95 or "e" in items and rng.random() < 0.7)))
-    got = {tuple(r.antecedent): (r.support, r.confidence) for r in urlrules.mined(spark.createDataFrame(rows, "row long, items array<string>, bad boolean"), 0.05, 0.6, 20).collect()}
+    got = {tuple(r.antecedent): (r.support, r.confidence) for r in urlrules.mined(spark.createDataFrame(rows, "row long, items array<string>, bad boolean"), 0.05, 0.6, 20)[0].collect()}
     rules = {}
     for k in range(1, 6):
         for some in itertools.combinations("abcde", k):
@@ -110,6 +110,44 @@ def test_mined_rules_by_brute_force(spark):
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
+def test_each_token_of_a_class_fires(spark):
+    """Bad URLs all hold one host label and one path, so the labels don't tell which is bad: either is, alone too."""
+    urls = [f"http://evil.x{i}.info/zz" for i in range(50)] + [f"http://good.y{i}.info/aa" for i in range(50)]
+    new = ["http://evil.other.info/", "http://fine.other.info/zz", "http://fine.other.info/aa", "http://fine.other.info/", "http://good.other.info/zz"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 50), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urlrules.judged(pages, labels).where("page_id >= 100").collect()}
+    assert got == {100: "block", 101: "block", 102: "allow", 103: "allow", 104: "block"}
+
+
+def test_verdicts_by_brute_force(spark):
+    """All rules of all token sets over a small table, each token of its own, against mined and matched classes."""
+    rng = np.random.default_rng(13)
+    hosts, paths = ["a", "b", "c"], ["p", "q", "r", "s"]
+    urls, bad = [], []
+    for _ in range(300):
+        h, p = rng.choice(hosts), rng.choice(paths)
+        url = f"http://{h}.site/{p}" + ("/extra" if p == "p" else "") + ("?k=1" if h == "c" else "")
+        urls.append(url)
+        bad.append(bool((h == "a" and p == "p") or (h == "c" and rng.random() < 0.9) or rng.random() < 0.05))
+    new = [f"http://{h}.site/{p}{t}" for h in hosts for p in paths for t in ("", "/extra", "?k=1")]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    kinds = urlrules.parsed(pages).select("page_id", urlrules.tokens().alias("t")).collect()
+    items = {r.page_id: set(r.t) for r in kinds}
+    known = [(items[i], bad[i]) for i in range(300)]
+    rules = []
+    every = sorted(set().union(*items.values()))
+    for k in range(1, 4):
+        for some in itertools.combinations(every, k):
+            has = [b for t, b in known if set(some) <= t]
+            if sum(has) >= 20 and sum(has) / len(has) >= 0.6:
+                rules.append(set(some))
+    got = {r.page_id: r.verdict for r in urlrules.judged(pages, labels, rules=()).collect()}
+    assert got == {i: "block" if any(s <= t for s in rules) else "allow" for i, t in items.items()}
+    assert set(got.values()) == {"block", "allow"}
+
+
 def test_url_edges(spark):
     rows = [(1, "http://h.info/a.exe#x", "r"), (1, "http://h.info/a.exe#x", "r"), (None, "http://h.info/b", "r"), (2, None, "r")]
     labels = spark.createDataFrame([(1, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
