@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import spill
+from .store import spill, whole_row
 
 #: Domains made of the label columns quality and toxic
 DOMAINS = ("junk", "toxic", "clean")
@@ -218,7 +218,7 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rat
 
     Odd rows are handled as by ``mixed``; a null or empty text is kept or dropped by its bins' rate like others.
     """
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    whole = docs.select("doc_id", "text", whole_row(docs).alias("_row"))
     rows, rates, _ = fitted(whole, labels, weights, max_rate, budget, scarce, ("_row",))
     out = _with_copies(rows, rates, seed).where("copies > 0")
     if max_rate > 1:

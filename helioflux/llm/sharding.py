@@ -7,11 +7,12 @@ itself, and each shard gets a share of keys in proportion to its weight.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import spill
+from .store import quoted, spill
 
 #: Rows of one shard that are numbered together
 GROUP_ROWS = 20000
@@ -89,13 +90,23 @@ def sharded(docs: DataFrame, shards: int = 8, weights: list[float] | None = None
     return assign(rows, weights or [1.0] * shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def _in_files(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """columns of docs with ``_at``, a number of each row by its place in files; docs that don't come from files are written first."""
+    at = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("_at")
+    try:
+        return docs.select(*columns, at)
+    except AnalysisException:  # no files behind these rows, or a column of that name
+        return spill(docs.select(*columns), "rows").select("*", at)
+
+
 def placed(docs: DataFrame, shards: int = 8, weights: list[float] | None = None) -> DataFrame:
     """docs with all their columns, whatever their names, and shard and slot; existing columns of those two names are replaced.
 
-    Rows as in ``assign``. Equal rows share a bucket here, as texts aren't written again.
+    Rows as in ``assign``; a row's place in its files tells equal rows apart, so any number of them spreads over the
+    buckets. Rows that don't come straight from files are written once.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(F.struct(*kept).alias("_row"), "doc_id", F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
-    out = assign(rows, weights or [1.0] * shards)
+    columns = [F.struct(*[quoted(c) for c in kept]).alias("_row"), F.col("doc_id"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32")]
+    out = assign(_in_files(docs, columns), weights or [1.0] * shards)
     return out.select(*[F.col("_row")[c].alias(c) for c in kept], "shard", "slot")

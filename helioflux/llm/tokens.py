@@ -81,6 +81,8 @@ def _counter(held, rule: str):
                 for d in range(block.n):
                     data = block.data[block.at[d] : block.at[d + 1]]
                     text = data.tobytes().decode("utf-8", "replace")
+                    if "\ufffd" in text:
+                        data = np.frombuffer(text.encode(), np.uint8)
                     tokens = np.array(encoding.encode_ordinary(text), dtype=np.int64)
                     bounds = line_sections(data) if len(data) else np.array([0, 0])
                     if len(data):
@@ -125,7 +127,8 @@ def section_tokens(docs: DataFrame, rule: str = "start", vocabulary: str | None
     n_tokens allocated to it and n_crossing, tokens that start in it and end beyond.
 
     Sections are lines with their line feeds. Over a document, n_tokens sum to its whole encoding's length under
-    every rule. A null or empty text has one section without tokens. Repeated rows each get theirs; only doc_id
+    every rule. A null or empty text has one section without tokens. Bytes that aren't UTF-8 read as U+FFFD, one code
+    point, in tokens and offsets alike. Repeated rows each get theirs; only doc_id
     and text are read. An empty table gives an empty result.
     """
     if rule not in RULES:

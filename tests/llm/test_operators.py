@@ -274,25 +274,74 @@ def test_pipeline_keeps_clean_documents_without_junk(spark):
 
 
 def test_longest_matches_by_brute_force(spark):
-    """Documents of one block with the same passage, longer and shorter parts of it, and two items side by side."""
+    """Documents of one block with the same passage, longer and shorter parts of it, and texts that repeat themselves."""
     item, other, tiny = [f"w{i}" for i in range(60)], [f"w{i}" for i in range(20, 50)] + ["v"] * 3, ["t1", "t2"]
-    bench = [(1, item), (2, other), (3, tiny), (1, item)]
+    bench = [(1, item), (2, other), (3, tiny), (1, item), (4, ["z"] * 40), (5, ["p", "q"] * 12), (6, ["z"] * 20 + ["p", "q"] * 10), (7, ["q", "q"])]
     docs = [item[10:50], ["x", *item[10:50], "y"], item[5:22], item[:12], [*item[:15], "x", *item[30:60], *item[45:60]], [*item[10:50]], ["t1", "t2", *other[10:]], [], ["t2"]]
+    docs += [["z"] * 100, ["z"] * 12, ["z"] * 25 + ["p", "q"] * 30, ["q"] * 9, ["x", *["z"] * 30, "x", *["q", "p"] * 20], ["q", "p"] * 7 + ["z"] * 14 + item[:20]]
     want = []
     for d in docs:
-        found = set()
+        found, items = set(), set()
         for i, t in bench:
             for x in range(len(d)):
                 for y in range(len(t)):
                     n = 0
                     while x + n < len(d) and y + n < len(t) and d[x + n] == t[y + n]:
                         n += 1
-                    if n >= min(13, len(t)) and (x == 0 or y == 0 or d[x - 1] != t[y - 1]):
-                        found.add((x, str(i), y, n))
-        want.append((max((m[3] for m in found), default=0), sorted(found)))
+                    if n >= min(13, len(t)):
+                        found.add((x, n))
+                        items.add(str(i))
+        spans = {(x, n) for x, n in found if not any((a, b) != (x, n) and a <= x and a + b >= x + n for a, b in found)}
+        want.append((max((n for _, n in spans), default=0), sorted(spans), sorted(items)))
     table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").coalesce(1)
     out = decontaminate.contamination(table, spark.createDataFrame([(i, " ".join(t)) for i, t in bench], "item_id long, text string"))
-    assert [(r.longest_match, [tuple(m) for m in r.matches]) for r in out.orderBy("doc_id").collect()] == want
+    assert [(r.longest_match, [tuple(m) for m in r.matches], r.items) for r in out.orderBy("doc_id").collect()] == want
+
+
+def test_one_word_without_end(spark):
+    """A megabyte of one word against items of thousands of the same: linear space, so seconds, not gigabytes."""
+    many = [(i, "same " * (10_000 - i)) for i in range(40)]
+    docs = spark.createDataFrame([(1, "same " * 200_000), (2, "same same"), (3, "other " * 1000)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_hit, r.n_items, r.longest_match, r.contaminated) for r in decontaminate.contamination(docs, spark.createDataFrame(many, "item_id long, text string")).drop("matches").collect()}
+    assert out == {1: (200_000, 40, 10_000, True), 2: (0, 0, 0, False), 3: (0, 0, 0, False)}
+
+
+def test_dotted_columns_pass(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 5, "a"), (2, "clean words", 6, "b"), (None, None, 7, "c")], "doc_id long, text string, `a.b` int, `c``d` string")
+    bench, labels = spark.createDataFrame([(1, text)], "item_id long, text string"), spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r["a.b"] for r in decontaminate.removed(docs, bench).collect()) == [6, 7]
+    assert mixing.drawn(docs, labels, {"clean": 1.0}).columns == docs.columns
+    out = sharding.placed(docs, 3)
+    assert out.columns == [*docs.columns, "shard", "slot"] and sorted(r["c`d"] for r in out.collect()) == ["a", "b", "c"]
+    assert corpus_pipeline.deduplicate(spark, docs, "").columns == docs.columns
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61FF620A63C3') AS STRING) AS text UNION ALL SELECT 2L, 'fine'")
+    out = tokens.section_tokens(rows).orderBy("doc_id", "section").collect()
+    assert [(r.doc_id, r.start_char, r.end_char) for r in out] == [(1, 0, 4), (1, 4, 6), (2, 0, 4)]
+    assert all(r.n_tokens > 0 for r in out)
+
+
+def test_equal_rows_spread_over_buckets(spark, monkeypatch, tmp_path):
+    """Rows with one key and text fall into buckets of about GROUP_ROWS, and slots stay gapless."""
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 500)
+    spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).write.parquet(str(tmp_path / "d"))
+    for docs in (spark.read.parquet(str(tmp_path / "d")), spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("x").alias("text"))):
+        rows = sharding._in_files(docs, [F.col("doc_id"), F.lit(0).alias("text_crc32")]).withColumn("_key", F.lit("k"))
+        sizes = [r["count"] for r in rows.groupBy(sharding._spread() % 40).count().collect()]
+        assert len(sizes) == 40 and max(sizes) < 1000
+        out = sharding.placed(docs, 4)
+        assert out.select("shard").distinct().count() == 1 and sorted(r.slot for r in out.collect()) == list(range(20_000))
+
+
+def test_pipeline_deduplicates_as_op8(spark):
+    """A text of 40 words with one word changed: 33 of 41 four-word shingles are shared."""
+    text = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:20], "new", *text[21:]])), (3, "another text of five words")], "doc_id long, text string")
+    kept = [r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").orderBy("doc_id").collect()]
+    assert kept == [1, 3] == sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
 
 
 def test_candidates_by_the_labelled_alphabet():
