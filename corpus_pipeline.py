@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helioflux.llm import decontaminate, mixing, near_dedup, quality, sharding
 from helioflux.llm.queries import TARGETS
-from helioflux.llm.store import discard, spill, table
+from helioflux.llm.store import discard, quoted, spill, table
 
 SHARDS = 8
 
@@ -31,7 +31,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each near-duplicate group."""
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
