@@ -88,15 +88,17 @@ def labelled(ends: DataFrame, sig: DataFrame, config: Config) -> DataFrame:
     return ends.join(first, ["date", "i"], "left").withColumn("label", F.col("flare_start").isNotNull().cast("int"))
 
 
+def peaks_of(y: np.ndarray) -> tuple[int, float]:
+    """Number of peaks by prominence of half the deviation, and their mean height; none in fewer than five values."""
+    at = peaks(y, prominence=max(float(y.std()), 1e-6) * 0.5) if len(y) >= 5 else np.zeros(0, np.int64)
+    return len(at), float(y[at].mean()) if len(at) else 0.0
+
+
 @F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("height", DoubleType())]))
 def micro_peaks(values: pd.Series) -> pd.DataFrame:
-    """Peaks of an array by prominence of half its deviation, and their mean height."""
-    out = []
-    for x in values:
-        y = np.nan_to_num(np.array([np.nan if v is None else v for v in x], dtype=float)) if x is not None else np.zeros(0)
-        at = peaks(y, prominence=max(float(y.std()), 1e-6) * 0.5) if len(y) >= 5 else np.zeros(0, np.int64)
-        out.append((len(at), float(y[at].mean()) if len(at) else 0.0))
-    return pd.DataFrame(out, columns=["n", "height"])
+    """``peaks_of`` arrays; nulls in them read as 0."""
+    whole = lambda x: np.nan_to_num(np.array([np.nan if v is None else v for v in x], dtype=float)) if x is not None else np.zeros(0)
+    return pd.DataFrame([peaks_of(whole(x)) for x in values], columns=["n", "height"])
 
 
 def history(ends: DataFrame, sig: DataFrame, config: Config) -> DataFrame:
