@@ -214,6 +214,10 @@ def windows(series: DataFrame, events: DataFrame, config: Config, bands: DataFra
     return out.select("date", F.col("t").alias("window_end_unix"), ((F.col("t") - F.col("_t0")) / 3600).alias("window_end_h"), "label", "flare_start", "dense", *NAMES)
 
 
-def balance(rows: DataFrame) -> DataFrame:
-    """(date, windows, positive) of windows."""
-    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("windows"), F.sum("label").cast("long").alias("positive"))
+def balance(rows: DataFrame, events: DataFrame | None = None, high: float = 8.0) -> DataFrame:
+    """(date, windows, positive) of windows, and with events (date, ratio, ..) also high_events, those of ratio ``high`` or more."""
+    out = rows.groupBy("date").agg(F.count(F.lit(1)).alias("windows"), F.sum("label").cast("long").alias("positive"))
+    if events is None:
+        return out
+    by = events.groupBy("date").agg(F.count_if(F.col("ratio") >= high).alias("high_events"))
+    return out.join(by, "date", "left").withColumn("high_events", F.coalesce("high_events", F.lit(0).cast("long")))

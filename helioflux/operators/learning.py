@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,12 +101,18 @@ class Calibrator:
         self.method = method
         rows = rows.select(F.col("y").cast("double").alias("label"), "prob")
         if method == "platt":
-            self.stages = [VectorAssembler(inputCols=["_z"], outputCol="_zv")]
-            n = rows.count()
-            self.model = LogisticRegression(featuresCol="_zv", regParam=1 / (1e6 * max(n, 1)), standardization=False, maxIter=200).fit(self.stages[0].transform(rows.withColumn("_z", _logit(F.col("prob")))))
+            z = VectorAssembler(inputCols=["_z"], outputCol="_zv").transform(rows.withColumn("_z", _logit(F.col("prob"))))
+            self.model = LogisticRegression(featuresCol="_zv", regParam=1 / (1e6 * max(rows.count(), 1)), standardization=False, maxIter=200).fit(z)
         else:
             self.model = IsotonicRegression(featuresCol="prob").fit(rows)
 
+    @classmethod
+    def of(cls, method: str, model: LogisticRegressionModel | IsotonicRegressionModel) -> Calibrator:
+        """One that is fitted already."""
+        out = cls.__new__(cls)
+        out.method, out.model = method, model
+        return out
+
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with calibrated, within [1e-6, 1 - 1e-6]."""
         if self.method == "platt":
@@ -161,15 +168,38 @@ def operating_point(best: DataFrame, objective: str, model: str, n_features: int
 def saved(model: PipelineModel, mapped: Calibrator, point: DataFrame, folder: str, names: tuple[str, ...] = NAMES) -> None:
     """Writes the model, its calibrator, operating point and feature names below a folder; nothing is overwritten."""
     model.write().save(f"{folder}/model")
-    mapped.model.write().save(f"{folder}/calibrator_{mapped.method}")
+    mapped.model.write().save(f"{folder}/calibrator")
+    SparkSession.active().createDataFrame([(json.dumps(mapped.method),)], "method string").write.mode("errorifexists").text(f"{folder}/calibrator_method")
     point.write.mode("errorifexists").text(f"{folder}/operating_point")
     SparkSession.active().createDataFrame([(json.dumps(list(names)),)], "names string").write.mode("errorifexists").text(f"{folder}/feature_names")
 
 
-def loaded(spark: SparkSession, folder: str, names: tuple[str, ...] = NAMES) -> tuple[PipelineModel, dict]:
-    """The saved model and operating point; raises if the model was made of other features."""
+@dataclass(frozen=True)
+class Forecaster:
+    """A model as it was saved: its calibrator, operating point and feature names."""
+
+    model: PipelineModel
+    calibrator: Calibrator
+    point: dict
+    names: tuple[str, ...]
+
+    @property
+    def threshold(self) -> float:
+        return float(self.point["threshold"])
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows with prob as calibrated, and alarm; rows may be a stream."""
+        raw = scored(self.model, rows)
+        out = self.calibrator.transform(raw).withColumn("prob", F.col("calibrated"))
+        return out.select(*rows.columns, "prob", (F.col("prob") >= self.threshold).alias("alarm"))
+
+
+def loaded(spark: SparkSession, folder: str, names: tuple[str, ...] = NAMES) -> Forecaster:
+    """What ``saved`` wrote; raises if the model was made of other features."""
     point = json.loads(spark.read.text(f"{folder}/operating_point").first()[0])
     kept = json.loads(spark.read.text(f"{folder}/feature_names").first()[0])
     if kept != list(names):
         raise ValueError(f"the model has {len(kept)} features, other than the {len(names)} asked for")
-    return PipelineModel.load(f"{folder}/model"), point
+    method = json.loads(spark.read.text(f"{folder}/calibrator_method").first()[0])
+    kind = LogisticRegressionModel if method == "platt" else IsotonicRegressionModel
+    return Forecaster(PipelineModel.load(f"{folder}/model"), Calibrator.of(method, kind.load(f"{folder}/calibrator")), point, names)

@@ -8,6 +8,7 @@ from .config import STAND_IN
 from .operators import detect, features, learning, replay, series, skill
 from .queries_events import LIMITS, band_curves
 from .registry import CATALOG, PRED, binned, catalog, curve, predictions, query, r, table
+from .streaming import live
 from .streaming import scan as stream_scan
 from .streaming import windows
 from .tables import written
@@ -43,11 +44,16 @@ def energetic(spark, sf_dir):
 
 
 def sig_events(spark, sf_dir):
-    return features.significant(energetic(spark, sf_dir), STAND_IN)
+    # Few rows that queries join several times: written once.
+    return written(features.significant(energetic(spark, sf_dir), STAND_IN), "significant")
 
 
-def ends(spark, sf_dir):
-    return features.grid(norm(spark, sf_dir), sig_events(spark, sf_dir), STAND_IN)
+def series_of(spark, sf_dir):
+    return written(norm(spark, sf_dir), "series")
+
+
+def ends(spark, sf_dir, sig=None, rows=None):
+    return features.grid(rows if rows is not None else series_of(spark, sf_dir), sig if sig is not None else sig_events(spark, sf_dir), STAND_IN)
 
 
 @query(f"WITH {SIG} SELECT date, event_no FROM sig")
@@ -62,25 +68,28 @@ def dense_grid(spark, sf_dir):
 
 @query(f"""WITH {GRID} SELECT DISTINCT en2.date, en2.i FROM en2 JOIN nb ON nb.date = en2.date AND nb.k = en2.i JOIN sig ON sig.date = en2.date AND en2.t - sig."end" BETWEEN 0 AND 5400 WHERE en2.t - sig."end" <= 600 OR norm >= 2""")
 def decay_exclusion(spark, sf_dir):
-    return features.in_decay(ends(spark, sf_dir), norm(spark, sf_dir), sig_events(spark, sf_dir), STAND_IN).select("date", "i")
+    sig, rows = sig_events(spark, sf_dir), series_of(spark, sf_dir)
+    return features.in_decay(ends(spark, sf_dir, sig, rows), rows, sig, STAND_IN).select("date", "i")
 
 
 @query(f"""WITH {GRID} SELECT en2.date, en2.i, CAST(count(sig.start) > 0 AS INTEGER) AS label, round(min(sig.start), 3) AS flare_start FROM en2 LEFT JOIN sig ON sig.date = en2.date AND sig.start > en2.t AND sig.start <= en2.t + 1800 GROUP BY en2.date, en2.i""")
 def window_labels(spark, sf_dir):
-    return features.labelled(ends(spark, sf_dir), sig_events(spark, sf_dir), STAND_IN).select("date", "i", "label", *r("flare_start", digits=3))
+    sig = sig_events(spark, sf_dir)
+    return features.labelled(ends(spark, sf_dir, sig), sig, STAND_IN).select("date", "i", "label", *r("flare_start", digits=3))
 
 
 @query(f"""WITH {GRID} SELECT en2.date, en2.i, round(coalesce(sum(exp(-(en2.t - sig."end") / 21600)), 0), 6) AS decayed_flare_history, round(least(coalesce(min(en2.t - sig."end") / 60, 1440), 1440), 4) AS time_since_last_flare_min FROM en2 LEFT JOIN sig ON sig.date = en2.date AND sig."end" <= en2.t GROUP BY en2.date, en2.i""")
 def hawkes_history(spark, sf_dir):
-    return features.history(ends(spark, sf_dir), sig_events(spark, sf_dir), STAND_IN).select("date", "i", *r("decayed_flare_history"), *r("time_since_last_flare_min", digits=4))
+    sig = sig_events(spark, sf_dir)
+    return features.history(written(ends(spark, sf_dir, sig), "ends"), sig, STAND_IN).select("date", "i", *r("decayed_flare_history"), *r("time_since_last_flare_min", digits=4))
 
 
-def side_series(spark, sf_dir):
+def side_series(spark, sf_dir, flux=None):
     """Stand-in bands and hard series on the grid: binned fluxes of kinds of events, over the background."""
     rows = curve(spark, sf_dir)
-    start = norm(spark, sf_dir).select("date", "k", "bg").where("bg > 0")
+    start = (flux if flux is not None else norm(spark, sf_dir)).select("date", "k", "bg").where("bg > 0")
     base = series.spans(rows, ("date",)).select("date", "t0")
-    placed = rows.join(F.broadcast(base), "date").withColumn("k", F.floor((F.col("t") - F.col("t0")) / STAND_IN.bin_s))
+    placed = rows.join(base, "date").withColumn("k", F.floor((F.col("t") - F.col("t0")) / STAND_IN.bin_s))
     mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("counts")))
     by = placed.groupBy("date", "k").agg(mean("click").alias("a"), mean("view").alias("b"), mean("purchase").alias("c"), mean("signup").alias("h"))
     return by.join(start, ["date", "k"]).select("date", "k", *[(F.col(x) / F.col("bg")).alias(x) for x in ("a", "b", "c", "h")])
@@ -117,8 +126,9 @@ _DIGITS = {"spectral_slope": 2}
 
 @query(f"WITH {GRID}{FEATURES_SQL} SELECT date, i, {', '.join(f'round(CASE WHEN isfinite(coalesce({e}, 0)) THEN coalesce({e}, 0) ELSE 0 END, {_DIGITS.get(x, 4)}) + 0 AS {x}' for x, e in _COLUMNS)} FROM a")
 def window_features(spark, sf_dir):
-    side = side_series(spark, sf_dir)
-    out = features.features(ends(spark, sf_dir), norm(spark, sf_dir), STAND_IN, side, side)
+    rows = series_of(spark, sf_dir)
+    side = side_series(spark, sf_dir, rows)
+    out = features.features(ends(spark, sf_dir, rows=rows), rows, STAND_IN, side, side)
     return out.select("date", "i", *[(F.round(F.col(x), _DIGITS.get(x, 4)) + 0).alias(x) for x, _ in _COLUMNS])
 
 
@@ -149,9 +159,10 @@ def precursor_score(spark, sf_dir):
 
 def dataset(spark, sf_dir):
     """Windows with all 43 features, as rows (date, t, y, dense, features..)."""
-    side = written(side_series(spark, sf_dir), "side")
+    rows = series_of(spark, sf_dir)
+    side = written(side_series(spark, sf_dir, rows), "side")
     temps = curve(spark, sf_dir).where("kind = 'view'").select("date", "t", F.col("counts").alias("t_mk"))
-    return features.windows(written(norm(spark, sf_dir), "series"), energetic(spark, sf_dir), STAND_IN, side, side, band_curves(spark, sf_dir), temps)
+    return features.windows(rows, energetic(spark, sf_dir), STAND_IN, side, side, band_curves(spark, sf_dir), temps)
 
 
 def samples(spark, sf_dir):
@@ -178,7 +189,6 @@ def micro_peaks(spark, sf_dir):
 @query(f"""WITH {PRED}, f AS (SELECT date AS test_date, min(t) AS fs, row_number() OVER (ORDER BY date DESC) AS fold, count(*) OVER () AS n FROM pr GROUP BY date), g AS (SELECT * FROM f WHERE fold <= 4 AND fold < n),
 c AS (SELECT CAST(fold AS INTEGER) AS fold, test_date, count(*) FILTER (date < test_date AND t < fs - 120) AS n_train, count(*) FILTER (date = test_date) AS n_test, coalesce(sum(y) FILTER (date < test_date AND t < fs - 120), 0) AS pos FROM g, pr WHERE date <= test_date GROUP BY 1, 2) SELECT fold, test_date, n_train, n_test FROM c WHERE pos > 0""")
 def walk_forward_folds(spark, sf_dir):
-    # The stand-in's times follow doc_id, not dates; a shift by a day for each date makes them follow.
     return skill.walk_forward(predictions(spark, sf_dir), 4, 120.0)
 
 
@@ -272,9 +282,6 @@ def moment_truncate(spark, sf_dir):
     return series.rebin(rows, STAND_IN.bin_s).select("date", "k", *r("flux"))
 
 
-FOREST = {"numTrees": 40, "maxDepth": 5}
-
-
 @query()
 def lr_forecast(spark, sf_dir):
     return learning.forecast(samples(spark, sf_dir), "logistic").select("date", "t", "y", "prob")
@@ -298,14 +305,17 @@ def mlp_forecast(spark, sf_dir):
 
 @query()
 def out_of_fold_calibration(spark, sf_dir):
+    """Fitted on the earlier folds' scores, shown on the last fold's."""
     oof = written(learning.out_of_fold(samples(spark, sf_dir), "logistic"), "scored")
-    return learning.calibrator(oof).transform(oof).select("fold", "date", "t", "y", "prob", "calibrated")
+    last = F.col("test_date") == oof.agg(F.max("test_date")).first()[0]
+    return learning.calibrator(oof.where(~last)).transform(oof.where(last)).select("fold", "date", "t", "y", "prob", "calibrated")
 
 
 @query()
 def platt(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return learning.Calibrator(p, "platt").transform(p).select("doc_id", "prob", "calibrated")
+    early, late = p.where("date < '20240109'"), p.where("date >= '20240109'")
+    return learning.Calibrator(early, "platt").transform(late).select("doc_id", "prob", "calibrated")
 
 
 @query()
@@ -350,6 +360,14 @@ def stream_focus(spark, sf_dir):
     return windows.to_table(stream_scan.scanned(event_feed(spark, sf_dir), STAND_IN))
 
 
+@query()
+def live_alarms(spark, sf_dir):
+    """A day's forecast as a stream: windows of what was known, chances by a model of finished days, changes of the alarm."""
+    model = learning.fitted(samples(spark, sf_dir), "logistic")
+    feed = live.live_windows(event_feed(spark, sf_dir), STAND_IN, {"click": "a", "view": "b", "purchase": "c", "signup": "h"})
+    return windows.to_table(live.alarms(feed.map(lambda rows: learning.scored(model, rows)), 0.5))
+
+
 @query()
 def replay_causal(spark, sf_dir):
     """Detection on what was known at a moment: raw samples are cut before anything is made of them."""

@@ -17,6 +17,11 @@ def catalog_parquet(catalog: DataFrame, folder: str) -> None:
 
 
 def predictions(test: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """test (.., prob) with alarm_default_0_5 and an alarm for each named threshold."""
-    alarms = {f"alarm_{name}_{value:.3f}".replace(".", "_"): (F.col("prob") >= value).cast("int") for name, value in thresholds.items()}
-    return test.withColumns({"alarm_default_0_5": (F.col("prob") >= 0.5).cast("int"), **alarms})
+    """test (.., prob) with ``alarm_default_0.5`` and an alarm ``alarm_<objective>_<threshold>`` for each named threshold."""
+    alarms = {f"alarm_{name}_{value:.3f}": F.col("prob") >= value for name, value in thresholds.items()}
+    return test.withColumns({"alarm_default_0.5": F.col("prob") >= 0.5, **alarms})
+
+
+def predictions_csv(rows: DataFrame, folder: str) -> None:
+    """Test predictions as CSV with a header."""
+    rows.write.mode("errorifexists").option("header", True).csv(folder)
