@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from .intervals import interval_join, overlapping
-from .series import averaged, background, floored, noise
+from .series import averaged, floored, noise, robust
 
 
 class Scan:
@@ -96,9 +96,8 @@ def multiwindow(series: DataFrame, window: int, expected: str = "med") -> DataFr
 
 def prepared(series: DataFrame, config: Config) -> DataFrame:
     """Series with background, floored background, rolling median (at least the floor) and noise."""
-    out = floored(background(series, config.bg_window, config.bg_least), 0.1, 1.0)
-    out = background(out, config.bg_window, config.bg_least, 0.5, "med").withColumn("med", F.greatest("med", "floor"))
-    return noise(out, config.bg_window)
+    out = floored(robust(series, config.bg_window, config.bg_least), 0.1, 1.0)
+    return noise(out.withColumn("med", F.greatest("med", "floor")), config.bg_window)
 
 
 def events(flagged: DataFrame, config: Config, flux: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ operators of one chain share that partitioning, and Spark inserts one exchange f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,15 +62,38 @@ def rebin_vectors(spectra: DataFrame, grid: DataFrame, bin_s: float, keys: tuple
     return vectors.join(rows, [*keys, "k"])
 
 
-def centred(rows: int) -> WindowSpec:
-    """A frame of so many rows: an even one has one more before than after."""
-    before = rows // 2
-    return day().rowsBetween(-before, before - 1 if rows % 2 == 0 else before)
+def rolling(x: np.ndarray, p: float, rows: int, least: int) -> np.ndarray:
+    """Interpolated percentile over centred frames of a day's values, NaN where fewer than ``least`` are there.
+
+    An even frame has one value more before than after. The frame is kept sorted as it slides, so a value costs its logarithm, not a sort of the frame.
+    """
+    return pd.Series(x).rolling(rows, center=True, min_periods=min(least, rows)).quantile(p).to_numpy() if rows > 1 else np.array(x, dtype=float)
+
+
+def ordered(series: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """series with columns ``names`` (doubles, NaN as null) that the kernel makes of each day's rows in order of k.
 
+    One pass over a day's rows, which are bounded; all columns go along, and days share the other windows' exchange.
+    """
+    kept = [c for c in series.columns if c not in names]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        return frame.assign(**kernel(frame))[[*kept, *names]]
 
-def rolling_percentile(x: str, p: float, rows: int, least: int) -> Column:
-    frame = centred(rows)
-    return F.when(F.count(x).over(frame) >= least, F.percentile(x, p).over(frame))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema if f.name in kept), *(f"`{n}` double" for n in names)])
+    out = series.groupBy("date").applyInPandas(run, schema)
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+def _filled(x: np.ndarray) -> np.ndarray:
+    return pd.Series(x).ffill().bfill().to_numpy()
+
+
+def _unsteady(flux: np.ndarray, bg: np.ndarray, rows: int) -> np.ndarray:
+    """Rolling median of the absolute steps of flux above background, as a standard deviation."""
+    excess = flux - bg
+    return rolling(np.abs(np.diff(excess, prepend=excess[:1])), 0.5, rows, 1) * (1.4826 / 2**0.5)
 
 
 def filled(x: str) -> Column:
@@ -80,7 +105,18 @@ def filled(x: str) -> Column:
 
 def background(series: DataFrame, rows: int, least: int, p: float = 0.1, name: str = "bg") -> DataFrame:
     """Rolling percentile, filled at the ends."""
-    return series.withColumn("_p", rolling_percentile("flux", p, rows, least)).withColumn(name, filled("_p")).drop("_p")
+    return ordered(series, lambda day: {name: _filled(rolling(day["flux"].to_numpy(float), p, rows, least))}, (name,))
+
+
+def robust(series: DataFrame, rows: int, least: int) -> DataFrame:
+    """series with bg, the rolling tenth percentile, med, the rolling median, and _m, the unsteadiness that ``noise`` needs, in one pass."""
+
+    def kernel(day: pd.DataFrame) -> dict[str, np.ndarray]:
+        flux = day["flux"].to_numpy(float)
+        bg, med = (_filled(rolling(flux, p, rows, least)) for p in (0.1, 0.5))
+        return {"bg": bg, "med": med, "_m": _unsteady(flux, bg, rows)}
+
+    return ordered(series, kernel, ("bg", "med", "_m"))
 
 
 def floored(series: DataFrame, share: float, least: float, name: str = "bg_safe") -> DataFrame:
@@ -93,13 +129,11 @@ def floored(series: DataFrame, share: float, least: float, name: str = "bg_safe"
 def noise(series: DataFrame, rows: int) -> DataFrame:
     """Median absolute first difference of flux above background, scaled to a standard deviation; at least 1.
 
-    Where it isn't positive the day's median of positive ones stands in, or 1.
+    Where it isn't positive the day's median of positive ones stands in, or 1. ``robust`` has the rolling median already.
     """
-    excess = F.col("flux") - F.col("bg")
-    out = series.withColumn("_d", F.abs(excess - F.coalesce(F.lag(excess).over(day()), excess)))
-    out = out.withColumn("_m", F.percentile("_d", 0.5).over(centred(rows)) * (1.4826 / 2**0.5))
+    out = series if "_m" in series.columns else ordered(series, lambda day: {"_m": _unsteady(day["flux"].to_numpy(float), day["bg"].to_numpy(float), rows)}, ("_m",))
     middle = F.percentile(F.when(F.col("_m") > 0, F.col("_m")), 0.5).over(Window.partitionBy("date"))
-    return out.withColumn("noise", F.greatest(F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.coalesce(middle, F.lit(1.0))), F.lit(1.0))).drop("_d", "_m")
+    return out.withColumn("noise", F.greatest(F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.coalesce(middle, F.lit(1.0))), F.lit(1.0))).drop("_m")
 
 
 def forecast_background(series: DataFrame, rows: int, least: int) -> DataFrame:

@@ -90,6 +90,34 @@ def test_noise_is_that_of_flux_above_background(spark):
     assert [got[k] for k in range(3, 10)] == pytest.approx([3 * 1.4826 / 2**0.5] * 7)
 
 
+def sorted_frames(rows, window, p, least):
+    """By definition: sort each frame anew."""
+    out = []
+    for i in range(len(rows)):
+        frame = sorted(x for x in rows[max(i - window // 2, 0) : i + (window + 1) // 2] if x == x)
+        at = p * (len(frame) - 1)
+        out.append(frame[int(at)] + (frame[min(int(at) + 1, len(frame) - 1)] - frame[int(at)]) * (at % 1) if len(frame) >= least else None)
+    return out
+
+
+@pytest.mark.parametrize(("window", "least"), [(120, 30), (24, 6), (7, 1), (2, 2)])
+def test_sliding_order_statistics(spark, window, least):
+    rng = np.random.default_rng(window)
+    flux = {d: [float(x) for x in rng.integers(0, 30, n)] for d, n in (("a", 400), ("b", 150), ("c", 5))}
+    rows = spark.createDataFrame([(d, k, x) for d, v in flux.items() for k, x in enumerate(v)], "date string, k long, flux double").orderBy(F.rand(1))
+    for p in (0.1, 0.5):
+        got = {(r.date, r.k): r.bg for r in series.background(rows, window, least, p).collect()}
+        for d, v in flux.items():
+            want = sorted_frames(v, window, p, least)
+            known = [i for i, x in enumerate(want) if x is not None]
+            for k in range(len(v)):
+                at = next((i for i in reversed(known) if i <= k), known[0] if known else None)
+                assert got[d, k] == (pytest.approx(want[at]) if at is not None else None)
+    both = {(r.date, r.k): (r.med, r._m) for r in series.robust(rows, window, least).collect()}
+    apart = {(r.date, r.k): (r.med, r.noise) for r in series.noise(series.background(series.background(rows, window, least), window, least, 0.5, "med"), window).collect()}
+    assert all(both[k][0] == apart[k][0] and (both[k][1] is None or both[k][1] <= 0 or max(both[k][1], 1.0) == apart[k][1]) for k in both)
+
+
 def test_short_days_have_no_events(spark):
     flagged = detect.prepared(series.rebin(curve(spark, range(0, 200, 10), [1.0] * 10 + [900.0] * 10), 10.0), Config()).withColumn("above", F.col("flux") > 10)
     assert detect.events(flagged, Config()).count() == 0
