@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 
 def cells(alarm: Column, y: Column) -> list[Column]:
     one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
@@ -54,10 +56,16 @@ def report(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def ladder(rows: DataFrame) -> DataFrame:
     """Thresholds (thr): forty quantiles of prob and the steps of 0.05, rounded to three places, between 0 and 1."""
-    quantiles = [0.02 + i * (0.995 - 0.02) / 39 for i in range(40)]
-    own = rows.agg(F.percentile("prob", quantiles).alias("q"))
+    return _rungs(rows, "prob", ()).select("thr")
+
+
+def _rungs(rows: DataFrame, prob: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, thr): the thresholds of ``ladder`` for each group; quantiles are exact, and no task holds all scores."""
+    found = exact_quantiles(rows, prob, [0.02 + i * (0.995 - 0.02) / 39 for i in range(40)], keys)
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    own = rows.sparkSession.createDataFrame([(*key, q) for key, q in found.items()] or [([],)] * (not keys), ", ".join([*kinds, "q array<double>"]))
     steps = F.transform(F.sequence(F.lit(1), F.lit(18)), lambda i: i / 20)
-    return own.select(F.explode(F.array_distinct(F.transform(F.concat("q", steps), lambda x: F.bround(x, 3)))).alias("thr")).where("thr > 0 and thr < 1")
+    return own.select(*keys, F.explode(F.array_distinct(F.transform(F.concat("q", steps), lambda x: F.bround(x, 3)))).alias("thr")).where("thr > 0 and thr < 1")
 
 
 OBJECTIVES = {"f0.5": "f0_5", "f1": "f1", "f2": "f2", "tss": "tss"}
@@ -145,13 +153,11 @@ def fold_summary(scored: DataFrame) -> DataFrame:
     keys = ["fold", "test_date"]
     mixed = scored.groupBy(*keys).agg(F.avg("y").alias("m")).where("m > 0 and m < 1").select("fold")
     rows = scored.join(mixed, "fold", "left_semi").withColumn("simple", persistence(F.col("flux_end")))
-    quantiles = [0.02 + i * (0.995 - 0.02) / 39 for i in range(40)]
-    steps = F.transform(F.sequence(F.lit(1), F.lit(18)), lambda i: i / 20)
 
     def best(prob: str, name: str) -> DataFrame:
         """Best skill over the ladder of each fold's own scores."""
         own = rows.select(*keys, "y", F.col(prob).alias("prob"))
-        thr = own.groupBy(*keys).agg(F.percentile("prob", quantiles).alias("q")).select(*keys, F.explode(F.array_distinct(F.transform(F.concat("q", steps), lambda x: F.bround(x, 3)))).alias("thr")).where("thr > 0 and thr < 1")
+        thr = _rungs(own, "prob", tuple(keys))
         by = own.groupBy(*keys, "prob", "y").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(thr), keys)
         hit = F.col("prob") >= F.col("thr")
         cells_ = by.groupBy(*keys, "thr").agg(*[F.sum(F.when(c & (F.col("y") == y), F.col("n")).otherwise(0)).alias(m) for m, c, y in (("tp", hit, 1), ("fp", hit, 0), ("fn", ~hit, 1), ("tn", ~hit, 0))])
