@@ -26,7 +26,7 @@ def merged(runs: DataFrame, gap: int, keys: tuple[str, ...] = ("date",)) -> Data
     return runs.withColumn("_no", F.sum(new.cast("int")).over(w)).groupBy(*keys, "_no").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_no")
 
 
-def interval_join(intervals: DataFrame, samples: DataFrame, start: Column, end: Column, bucket: float, key: str = "date", ids: tuple[str, ...] | None = None, how: str = "inner") -> DataFrame:
+def interval_join(intervals: DataFrame, samples: DataFrame, start: Column, end: Column, bucket: float, key: str | tuple[str, ...] = "date", ids: tuple[str, ...] | None = None, how: str = "inner") -> DataFrame:
     """Interval rows with the samples whose t is in [start, end]: an equi-join on key and time bucket, then a check.
 
     Intervals are repeated over the buckets that they touch, so no task compares a day's samples with all its
@@ -35,7 +35,8 @@ def interval_join(intervals: DataFrame, samples: DataFrame, start: Column, end:
     own = intervals.withColumns({"_a": start, "_b": end})
     spread = own.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_b") / bucket))))
     placed = samples.withColumn("_bucket", F.floor(F.col("t") / bucket))
-    hit = spread.join(placed, [key, "_bucket"]).where(F.col("t").between(F.col("_a"), F.col("_b"))).drop("_bucket", "_a", "_b")
+    keys = [key] if isinstance(key, str) else list(key)
+    hit = spread.join(placed, [*keys, "_bucket"]).where(F.col("t").between(F.col("_a"), F.col("_b"))).drop("_bucket", "_a", "_b")
     if how == "left":
         if not ids:
             raise ValueError("a left join needs the columns that identify an interval")
@@ -57,10 +58,20 @@ def nearest(points: DataFrame, samples: DataFrame, at: str, tolerance: float, id
     return hit.where(gap < tolerance).groupBy(*ids).agg(best.alias("near"))
 
 
-def overlapping(events: DataFrame, others: DataFrame, pad: float, key: str = "date") -> DataFrame:
-    """events joined with others (key, start, end, ..) that they overlap, others padded on both sides; others' times as o_start, o_end."""
-    other = others.withColumnsRenamed({"start": "o_start", "end": "o_end"})
-    return events.join(other, key).where((F.col("o_start") - pad <= F.col("end")) & (F.col("o_end") + pad >= F.col("start")))
+def overlapping(events: DataFrame, others: DataFrame, pad: float, key: str = "date", bucket: float = 3600.0) -> DataFrame:
+    """events joined with others (key, start, end, ..) that they overlap, others padded on both sides; others' times as o_start, o_end.
+
+    Both sides are repeated over the buckets of time that they touch and meet by key and bucket; a pair that shares
+    several comes out of the first of them alone. Touching counts as overlap. An interval that ends before it starts
+    overlaps nothing, nor does one with a null end.
+    """
+    place = lambda t: F.floor(t / bucket)
+    first, last = F.col("o_start") - pad, F.col("o_end") + pad
+    own = events.where("start <= end").withColumns({"_first": place(F.col("start")), "_bucket": F.explode(F.sequence(place(F.col("start")), place(F.col("end"))))})
+    other = others.withColumnsRenamed({"start": "o_start", "end": "o_end"}).where(first <= last)
+    other = other.withColumns({"_o_first": place(first), "_bucket": F.explode(F.sequence(place(first), place(last)))})
+    met = own.join(other, [key, "_bucket"]).where(F.col("_bucket") == F.greatest("_first", "_o_first"))
+    return met.where((first <= F.col("end")) & (last >= F.col("start"))).drop("_bucket", "_first", "_o_first")
 
 
 def interpolated(clock: DataFrame, series: DataFrame, clamp: bool = True, keys: tuple[str, ...] = ("date",)) -> DataFrame:

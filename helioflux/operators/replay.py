@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import horizon
+from .intervals import interval_join
 
 
 def moment(date: str, hhmm: str) -> Column:
@@ -29,14 +30,15 @@ def scorecard(rows: DataFrame, threshold: float, lead_s: float = 1800.0, keys: t
     """(keys, flares, caught, mean_lead_min, false_steps, alerts) from rows (keys, t, prob, y, flare_start).
 
     A flare is caught by an alarm at most lead_s before it; an alarm with no flare in the next lead_s is a false step.
+    Flares meet the alarms of the time before them, by buckets, once for both questions.
     """
     alarm = F.col("prob") >= threshold
     flares = rows.where("y = 1").select(*keys, "flare_start").distinct()
     alarms = rows.where(alarm).select(*keys, "t")
-    met = flares.join(alarms, list(keys)).where((F.col("t") < F.col("flare_start")) & (F.col("t") >= F.col("flare_start") - lead_s))
-    caught = met.groupBy(*keys, "flare_start").agg(((F.first("flare_start") - F.min("t")) / 60).alias("lead"))
+    met = interval_join(flares, alarms, F.col("flare_start") - lead_s, F.col("flare_start").cast("double"), lead_s, keys)
+    caught = met.where("t < flare_start").groupBy(*keys, "flare_start").agg(((F.first("flare_start") - F.min("t")) / 60).alias("lead"))
     by_flare = flares.join(caught, [*keys, "flare_start"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("flares"), F.count("lead").alias("caught"), F.avg("lead").alias("mean_lead_min"))
-    good = flares.join(alarms, list(keys)).where((F.col("flare_start") - F.col("t")).between(0.0, lead_s)).select(*keys, "t").distinct()
+    good = met.select(*keys, "t").distinct()
     false = alarms.join(good, [*keys, "t"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("false_steps"))
     w = Window.partitionBy(*keys).orderBy("t")
     raised = rows.withColumn("_up", alarm & ~F.coalesce(F.lag(alarm).over(w), F.lit(False))).groupBy(*keys).agg(F.count_if("_up").alias("alerts"))
