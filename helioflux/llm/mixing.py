@@ -104,7 +104,9 @@ class Fit:
 
 
 #: Steps between writes of the rates; most steps; share of tokens that a plain step moves at the end
-WRITTEN, MOST_STEPS, STILL = 6, 200, 1e-6
+WRITTEN, MOST_STEPS, STILL = 6, 100, 1e-5
+#: The descent also ends where so many steps gain less than this share of the objective
+LOOKED_BACK, GAIN = 8, 1e-3
 
 
 def _totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
@@ -145,6 +147,7 @@ def descent(rows: DataFrame, target: np.ndarray, unit: np.ndarray, max_rate: flo
     """
     k, kept = len(target), [c for c in rows.columns if c != "rate"]
     table = rows.select(*kept, F.lit(float(min(1.0, max_rate))).alias("rate"))
+    values: list[float] = []
     total, written, step, root = _totals(table, F.col("rate"), k), [], 0, np.sqrt(unit)
     worth = lambda x: float((((x - target) / root) ** 2).sum())
 
@@ -161,6 +164,9 @@ def descent(rows: DataFrame, target: np.ndarray, unit: np.ndarray, max_rate: flo
         scaled = gram / root[:, None] / root[None, :]
         aim = _along(np.linalg.solve(scaled + 1e-9 * np.eye(k), (total - target) / root) / root)
         size, value, found = 1.0, worth(total), None
+        values.append(value)
+        if len(values) > LOOKED_BACK and value > values[-1 - LOOKED_BACK] * (1 - GAIN):
+            break
         while found is None and size > 1e-3:
             after, reached = stepped(F.when(_free(slope, max_rate), F.col("rate") - aim * F.lit(size)).otherwise(F.col("rate")))
             if worth(reached) < value * (1 - 1e-3 * size):
