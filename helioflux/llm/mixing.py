@@ -3,15 +3,15 @@
 1. A naive Bayes classifier over binned text statistics, counted on the labelled rows, gives each document a
    posterior over domains. Its tables hold domains x statistics x bins numbers, whatever the corpus.
 2. Document rates r between 0 and max_rate minimise sum_k (T_k - t_k)^2 / m_k, where T_k is domain k's expected
-   token total sum_d r_d tokens_d p_dk, t_k its target and m_k its total at rate 1, by projected gradient steps
-   from rate 1. A plain step, r <- clip(r - sum_k p_k (T_k - t_k) / m_k), has the right length whatever the posteriors,
-   but takes thousands where a domain is rare. So the gradient is preconditioned on the rates that are free to move
-   (two-metric projection; Bertsekas, 1982): r <- clip(r - a p S), S the residuals over the matrix sum of tokens p p'
-   of free rates, a halved until the objective falls, and a plain step where it doesn't. It ends at the targets, or
-   where a plain step no longer moves the rates.
+   token total sum_d r_d tokens_d p_dk, t_k its target and m_k its total at rate 1. They come from projected gradient
+   steps from rate 1, r <- clip(r - sum_k p_k s_k), with residuals preconditioned by the matrix sum of tokens p p':
+   where targets can be reached, every positive definite weighting of residuals has the same least value, and a step
+   or a few reach it. Where STEPS of them don't, targets are out of reach or nearly so, and projected gradient needs
+   hundreds of steps where a domain is rare. Then the same objective is minimised with a penalty of vanishing weight
+   for rates off 1: such rates are one projected step from 1, r_d = clip(1 - sum_k p_dk s_k), with one shift s_k a
+   domain, which maximise the concave dual and are found by damped Newton steps while the penalty's weight falls.
    Posterior and rate depend on the bins alone, so one aggregation reduces the corpus to token sums by combination
-   of bins, and a step is one aggregation of that table to a few sums; the table with its rates is written every
-   few steps.
+   of bins, and a step is one aggregation of that table to a few sums.
 3. The rate becomes a whole number of copies: its floor, plus one with the fraction's probability by a
    hash of doc_id.
 """
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, spill, whole_row
+from .store import spill, whole_row
 
 #: Domains made of the label columns quality and toxic
 DOMAINS = ("junk", "toxic", "clean")
@@ -91,97 +91,65 @@ class Classifier:
         return [1 / sum((F.exp(F.least(other - own, F.lit(700.0))) for other in scores), F.lit(0.0)) for own in scores]
 
 
+#: Projected gradient steps before the dual takes over
+STEPS = 6
+
+
 @dataclass
 class Fit:
-    """rates: the rows with their rate; domains' token totals at rate 1, targets and totals reached; met: within tolerance; steps taken."""
+    """The rate of a row, domains' token totals at rate 1, targets and totals reached; met: within tolerance."""
 
-    rates: DataFrame
+    rate: Column
     mass: list[float]
     targets: list[float]
     reached: list[float]
     met: bool
-    steps: int
-
-
-#: Steps between writes of the rates; most steps; share of tokens that a plain step moves at the end
-WRITTEN, MOST_STEPS, STILL = 6, 100, 1e-5
-#: The descent also ends where so many steps gain less than this share of the objective
-LOOKED_BACK, GAIN = 8, 1e-3
-
-
-def _totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
-    row = rows.agg(*[F.sum(F.col("tokens") * rate * F.col(f"p{i}")) for i in range(k)]).first()
-    return np.array([float(x or 0) for x in row])
-
-
-def _along(step: np.ndarray) -> Column:
-    """p . step of a row."""
-    return sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(step)), F.lit(0.0))
-
-
-def _free(slope: Column, max_rate: float) -> Column:
-    """Whether a rate may move against its slope."""
-    return ((F.col("rate") > 0) | (slope < 0)) & ((F.col("rate") < max_rate) | (slope > 0))
 
 
-def _clip(rate: Column, max_rate: float) -> Column:
-    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate))
+def rate_of(shifts: list[float], max_rate: float) -> Column:
+    moved = F.lit(1.0)
+    for k, s in enumerate(shifts):
+        moved = moved - F.col(f"p{k}") * F.lit(float(s))
+    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), moved))
 
 
-def _state(rows: DataFrame, slope: Column, max_rate: float, k: int) -> tuple[float, np.ndarray]:
-    """Share of tokens that a plain step moves, and the sum of tokens p p' over free rates."""
+def _sums(measured: DataFrame, shifts: np.ndarray, max_rate: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Over all tokens at these shifts: (rate - 1)^2 / 2 + rate * (p . shifts), domains' totals, and p p' where the rate is free."""
+    k = len(shifts)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    n, free = F.col("tokens"), F.when(_free(slope, max_rate), F.col("tokens")).otherwise(0)
-    moved = F.sum(n * F.abs(_clip(F.col("rate") - slope, max_rate) - F.col("rate"))) / F.greatest(F.sum(n), F.lit(1))
-    row = rows.agg(moved, *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
-    gram = np.zeros((k, k))
-    for (i, j), x in zip(pairs, row[1:], strict=True):
-        gram[i, j] = gram[j, i] = float(x or 0)
-    return float(row[0] or 0), gram
-
-
-def descent(rows: DataFrame, target: np.ndarray, unit: np.ndarray, max_rate: float, near: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
-    """rows with ``rate`` that minimise sum (T - target)^2 / unit, the totals T and the steps taken; unit is at least T at rate 1.
-
-    Ends when totals are near their targets, or at the least value.
-    """
-    k, kept = len(target), [c for c in rows.columns if c != "rate"]
-    table = rows.select(*kept, F.lit(float(min(1.0, max_rate))).alias("rate"))
-    values: list[float] = []
-    total, written, step, root = _totals(table, F.col("rate"), k), [], 0, np.sqrt(unit)
-    worth = lambda x: float((((x - target) / root) ** 2).sum())
-
-    def stepped(moved: Column) -> tuple[DataFrame, np.ndarray]:
-        after = table.select(*kept, _clip(moved, max_rate).alias("rate"))
-        return after, _totals(after, F.col("rate"), k)
-
-    while (np.abs(total - target) > near).any() and step < MOST_STEPS:
-        slope = _along((total - target) / unit)
-        moving, gram = _state(table, slope, max_rate, k)
-        if moving <= STILL:
-            break
-        # Residuals and posteriors over root(m); the ridge keeps the inverse where free rates leave a direction out.
-        scaled = gram / root[:, None] / root[None, :]
-        aim = _along(np.linalg.solve(scaled + 1e-9 * np.eye(k), (total - target) / root) / root)
-        size, value, found = 1.0, worth(total), None
-        values.append(value)
-        if len(values) > LOOKED_BACK and value > values[-1 - LOOKED_BACK] * (1 - GAIN):
-            break
-        while found is None and size > 1e-3:
-            after, reached = stepped(F.when(_free(slope, max_rate), F.col("rate") - aim * F.lit(size)).otherwise(F.col("rate")))
-            if worth(reached) < value * (1 - 1e-3 * size):
-                found = after, reached
-            size /= 4
-        table, total = found or stepped(F.col("rate") - slope)
-        step += 1
-        if step % WRITTEN == 0:
-            written.append(table := spill(table, "rates"))
-        if found is None and worth(total) >= value * (1 - 1e-9):
-            break
-    out = spill(table, "rates")
-    for old in written:
-        discard(old)
-    return out, total, step
+    rate, n, p = F.col("_rate"), F.col("tokens"), [F.col(f"p{i}") for i in range(k)]
+    pull = sum((p[i] * F.lit(float(shifts[i])) for i in range(k)), F.lit(0.0))
+    free = F.when((rate > 0) & (rate < max_rate), n).otherwise(0)
+    value = F.sum(n * ((rate - 1) * (rate - 1) / 2 + rate * pull))
+    row = measured.withColumn("_rate", rate_of(list(shifts), max_rate)).agg(value, *[F.sum(n * rate * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+    got = [float(x or 0) for x in row]
+    bend = np.zeros((k, k))
+    for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+        bend[i, j] = bend[j, i] = x
+    return got[0], np.array(got[1 : 1 + k]), bend
+
+
+def _descended(measured: DataFrame, target: np.ndarray, max_rate: float, near: np.ndarray) -> tuple[Column | None, np.ndarray]:
+    """The rate after projected gradient steps that bring all totals near their targets, and the totals; None if STEPS don't."""
+    k = len(target)
+    names = [f"p{i}" for i in range(k)]
+    n = F.col("tokens")
+    row = measured.agg(*[F.sum(n * F.col(a) * F.col(b)) for a in names for b in names]).first()
+    gram = np.array([float(x or 0) for x in row]).reshape(k, k)
+    # The trace of a diagonal keeps the inverse there where posteriors leave a direction out.
+    weighting = np.linalg.inv(gram + np.diag(1e-9 * np.maximum(gram.diagonal(), 1e-9 * max(gram.trace(), 1.0))))
+    rate, total = F.lit(float(min(1.0, max_rate))), np.zeros(k)
+    for step in range(STEPS + 1):
+        got = measured.agg(*[F.sum(n * rate * F.col(p)) for p in names]).first()
+        total = np.array([float(x or 0) for x in got])
+        if (np.abs(total - target) <= near).all():
+            return rate, total
+        if step < STEPS:
+            moved = rate
+            for p, s in zip(names, weighting @ (total - target), strict=True):
+                moved = moved - F.col(p) * F.lit(float(s))
+            rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), moved))
+    return None, total
 
 
 def fit_rates(measured: DataFrame, weights: list[float], max_rate: float = 1.0, budget: float | None = None, tolerance: float = 1e-4, slack: float = 0.95, scarce: str = "limit") -> Fit:
@@ -195,7 +163,8 @@ def fit_rates(measured: DataFrame, weights: list[float], max_rate: float = 1.0,
     """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
-    mass = _totals(measured, F.lit(1.0), k)
+    shifts = np.zeros(k)
+    _, mass, _ = _sums(measured, shifts, float("inf"))
     if budget is None and scarce == "short":
         main = max(range(k), key=lambda i: share[i])
         budget = mass[main] / share[main]
@@ -206,8 +175,29 @@ def fit_rates(measured: DataFrame, weights: list[float], max_rate: float = 1.0,
         target = np.minimum(target, max_rate * mass)
     near = tolerance * max(budget, 1.0) * np.maximum(share, 1e-3)
     unit = np.maximum(mass, 1e-9 * max(float(mass.sum()), 1.0))
-    rates, reached, steps = descent(measured, target, unit, max_rate, near)
-    return Fit(rates, mass.tolist(), target.tolist(), reached.tolist(), bool((np.abs(reached - target) <= near).all()), steps)
+    rate, reached = _descended(measured, target, max_rate, near)
+    if rate is not None:
+        return Fit(rate, mass.tolist(), target.tolist(), reached.tolist(), True)
+    value, reached, bend = _sums(measured, shifts, max_rate)
+    for weight in (10.0**-e for e in range(1, 8)):
+        dual = lambda v, s: v - float(s @ target) - weight * float(unit @ (s * s)) / 2  # noqa: B023, E731
+        while True:
+            rise = reached - target - weight * unit * shifts
+            if (np.abs(reached - target) <= near).all() or (np.abs(rise) <= 1e-6 * unit).all():
+                break
+            step, part = np.linalg.solve(bend + np.diag(weight * unit), rise), 1.0
+            while True:
+                after = _sums(measured, shifts + part * step, max_rate)
+                gain = dual(after[0], shifts + part * step) - dual(value, shifts)
+                if gain >= 1e-4 * part * float(rise @ step) or part < 1e-6:
+                    break
+                part /= 2
+            if gain <= 0:  # as near as floating point tells
+                break
+            shifts, (value, reached, bend) = shifts + part * step, after
+        if (np.abs(reached - target) <= near).all():
+            break
+    return Fit(rate_of(shifts.tolist(), max_rate), mass.tolist(), target.tolist(), reached.tolist(), bool((np.abs(reached - target) <= near).all()))
 
 
 def _uniform(seed: int) -> Column:
@@ -231,8 +221,8 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_ra
     short = [d for d, t, w in zip(DOMAINS, fit.targets, order, strict=True) if t < w / order[main] * fit.targets[main] * (1 - 1e-9)]
     said = ", ".join(f"{d} {t:.0f} of {m:.0f} wanted, {r:.0f} reached" for d, m, t, r in zip(DOMAINS, fit.mass, fit.targets, fit.reached, strict=True))
     log_ = logging.getLogger(__name__)
-    (log_.info if fit.met and not short else log_.warning)("mixing, tokens by domain after %d steps: %s; targets %s; short of their weight: %s", fit.steps, said, "met" if fit.met else "out of reach, nearest totals", ", ".join(short) or "none")
-    return measured, fit.rates.drop("tokens"), fit
+    (log_.info if fit.met and not short else log_.warning)("mixing, tokens by domain: %s; targets %s; short of their weight: %s", said, "met" if fit.met else "out of reach, nearest totals", ", ".join(short) or "none")
+    return measured, spill(held.withColumn("rate", fit.rate).drop("tokens"), "rates"), fit
 
 
 def _with_copies(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
