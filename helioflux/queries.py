@@ -170,9 +170,10 @@ def approx_class(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.approx_class(v / 5, v * 20).alias("class"))
 
 
-@query("SELECT ch, round(CASE WHEN ch <= 168 THEN ch * 0.0476 ELSE 168 * 0.0476 + (ch - 168) * 0.0952 END, 6) AS kev FROM (SELECT unnest(range(1, 341)) AS ch)")
+@query("SELECT ch, round(CASE WHEN ch <= 168 THEN ch * 0.0476 ELSE 168 * 0.0476 + (ch - 168) * 0.0952 END, 6) AS kev FROM (SELECT DISTINCT event_id % 340 + 1 AS ch FROM events)")
 def channel_energy(spark, sf_dir):
-    return spark.range(1, 341).select(F.col("id").alias("ch"), F.round(scalar.channel_kev(F.col("id")), 6).alias("kev"))
+    ch = (F.col("event_id") % 340 + 1).alias("ch")
+    return table(spark, sf_dir, "events").select(ch).distinct().select("ch", F.round(scalar.channel_kev(F.col("ch")), 6).alias("kev"))
 
 
 @query("SELECT event_id, round((epoch(ts) / 86400 + 40587 - 40587) * 86400, 3) AS t FROM events")
