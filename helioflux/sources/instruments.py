@@ -1,7 +1,9 @@
 """Typed readers of instrument files: light curves, spectra and band curves as tables.
 
-Files are found and opened by Spark (``binaryFile``), so any path that the cluster can read will do; each file is parsed
-in one task. A file that can't be parsed is a row of ``errors``, and no rows elsewhere.
+Files are found by Spark (``binaryFile``), so any path that the cluster can list will do. ``splits`` gives byte ranges
+of them, which tasks read by themselves, only the wanted columns of their rows, through local paths or Arrow's file
+systems; ``files`` gives whole contents, opened by Spark, one file a task. Readers take either. A file that can't be
+parsed is a row of ``errors``, and no rows elsewhere; empty files aren't listed.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fits import Table, column, tables
+from .fits import Part, opened, parts
 
 CURVE = "path string, t double, counts double"
-SPECTRA = "path string, t double, counts array<double>, exposure double"
+SPECTRA = "path string, t double, counts array<double>, channels array<double>, exposure double"
 BANDS = "path string, e_lo double, e_hi double, t double, ctr double"
 
 
@@ -29,6 +31,14 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 
+def splits(spark: SparkSession, path: str, pattern: str = "*", split_mb: float = 64, tasks: int | None = None) -> DataFrame:
+    """(path, length, lo, hi): byte ranges of files below a folder, dealt over tasks (default the session's shuffle partitions)."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+    size, end = int(split_mb * (1 << 20)), F.greatest("length", F.lit(1).cast("long"))
+    ranges = listed.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), end - 1, F.lit(size).cast("long")))).withColumn("hi", F.least(F.col("lo") + size, end))
+    return ranges.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "lo")
+
+
 def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -43,60 +53,73 @@ def _clean(x: np.ndarray) -> np.ndarray:
     return np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def _first_table(data: bytes, name: str | None = None) -> Table:
-    found = list(tables(data))
-    return next((t for t in found if t.name.upper() == name), found[0])
+def _first_table(found: list[Part], name: str | None = None) -> Part:
+    return next((p for p in found if p.table.name.upper() == name), found[0])
 
 
-def _named(table: Table, wanted: tuple[str, ...], fallback: int) -> np.ndarray:
+def _named(part: Part, wanted: tuple[str, ...], fallback: int) -> str:
     """The first of the wanted columns that is there, else the one at a place."""
-    names = list(table.rows.dtype.names)
-    return column(table, next((n for n in wanted if n in names), names[fallback]))
+    names = part.table.dtype.names
+    return next((n for n in wanted if n in names), names[fallback])
+
+
+def _curve(found: list[Part]) -> pd.DataFrame:
+    p = _first_table(found)
+    pair = ("TIME", "COUNTS") if {"TIME", "COUNTS"} <= set(p.table.dtype.names) else (_named(p, (), 0), _named(p, (), -1))
+    t, counts = p.columns(*pair) if pair[0] != pair[1] else p.columns(pair[0]) * 2
+    return pd.DataFrame({"t": t, "counts": _clean(counts)})
 
 
-def _curve(data: bytes) -> pd.DataFrame:
-    t = _first_table(data)
-    names = set(t.rows.dtype.names)
-    pair = (column(t, "TIME"), column(t, "COUNTS")) if {"TIME", "COUNTS"} <= names else (_named(t, (), 0), _named(t, (), -1))
-    return pd.DataFrame({"t": pair[0], "counts": _clean(pair[1])})
+def _channels(p: Part) -> tuple[str, ...]:
+    return tuple(n for n in ("CHANNEL",) if n in p.table.numbers)
 
 
-def _soft(data: bytes) -> pd.DataFrame:
-    t = _first_table(data, "SPECTRUM")
-    counts = _clean(column(t, "COUNTS"))
-    return pd.DataFrame({"t": _named(t, ("TSTART", "TIME"), 0), "counts": list(counts), "exposure": 1.0})
+def _soft(found: list[Part]) -> pd.DataFrame:
+    p = _first_table(found, "SPECTRUM")
+    t, counts, *channels = p.columns(_named(p, ("TSTART", "TIME"), 0), "COUNTS", *_channels(p))
+    return pd.DataFrame({"t": t, "counts": list(_clean(counts)), "channels": list(channels[0]) if channels else None, "exposure": 1.0})
 
 
-def _hard(data: bytes) -> pd.DataFrame:
-    t = _first_table(data, "SPECTRUM")
-    start = (float(t.cards["TSTART"]) - 40587.0) * 86400.0
-    exposure = column(t, "EXPOSURE") if "EXPOSURE" in t.rows.dtype.names else np.full(len(t.rows), 20.0)
-    return pd.DataFrame({"t": start + column(t, "TSTART"), "counts": list(_clean(column(t, "COUNTS"))), "exposure": np.where(exposure > 0, exposure, 20.0)})
+def _hard(found: list[Part]) -> pd.DataFrame:
+    p = _first_table(found, "SPECTRUM")
+    start = (float(p.table.cards["TSTART"]) - 40587.0) * 86400.0
+    also = tuple(n for n in ("EXPOSURE",) if n in p.table.numbers)
+    t, counts, *rest = p.columns("TSTART", "COUNTS", *also, *_channels(p))
+    exposure = rest.pop(0) if also else np.full(len(t), 20.0)
+    return pd.DataFrame({"t": start + t, "counts": list(_clean(counts)), "channels": list(rest[0]) if rest else None, "exposure": np.where(exposure > 0, exposure, 20.0)})
 
 
-def _bands(data: bytes) -> pd.DataFrame:
-    parts = [pd.DataFrame({"e_lo": [], "e_hi": [], "t": [], "ctr": []})]
-    for t in tables(data):
-        limits = re.search(r"([\d.]+)KEV_TO_([\d.]+)KEV", t.name.upper())
-        if limits and {"MJD", "CTR"} <= set(t.rows.dtype.names):
-            parts.append(pd.DataFrame({"e_lo": float(limits[1]), "e_hi": float(limits[2]), "t": (column(t, "MJD") - 40587.0) * 86400.0, "ctr": _clean(column(t, "CTR"))}))
-    return pd.concat(parts)
+def _bands(found: list[Part]) -> pd.DataFrame:
+    out = [pd.DataFrame({"e_lo": [], "e_hi": [], "t": [], "ctr": []})]
+    for p in found:
+        limits = re.search(r"([\d.]+)KEV_TO_([\d.]+)KEV", p.table.name.upper())
+        if limits and {"MJD", "CTR"} <= set(p.table.dtype.names):
+            mjd, ctr = p.columns("MJD", "CTR")
+            out.append(pd.DataFrame({"e_lo": float(limits[1]), "e_hi": float(limits[2]), "t": (mjd - 40587.0) * 86400.0, "ctr": _clean(ctr)}))
+    return pd.concat(out)
 
 
-def parsed(found: DataFrame, read: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows of all files with ``error``, null but for the one row of a file that can't be parsed."""
+def parsed(found: DataFrame, read: Callable[[list[Part]], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows of all files with ``error``, null but for the one row of a file that can't be parsed.
+
+    found: (path, content) of ``files`` or (path, lo, hi) of ``splits``. Every range looks at all headers, so a
+    damaged file fails in each, and its first range reports it.
+    """
 
     names = [c.split()[0] for c in schema.split(", ")]
+    whole = "content" in found.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+            for path, *at in frame.itertuples(index=False, name=None):
                 try:
-                    yield read(bytes(content)).assign(path=path, error=None)[[*names, "error"]]
+                    with io.BytesIO(bytes(at[0])) if whole else opened(path) as file:
+                        yield read(parts(file) if whole else parts(file, *at)).assign(path=path, error=None)[[*names, "error"]]
                 except Exception as e:  # noqa: BLE001 - reported as a row
-                    yield pd.DataFrame([{**dict.fromkeys(names), "path": path, "error": f"{type(e).__name__}: {e}"}])
+                    if whole or at[0] == 0:
+                        yield pd.DataFrame([{**dict.fromkeys(names), "path": path, "error": f"{type(e).__name__}: {e}"}])
 
-    return found.select("path", "content").mapInPandas(run, schema + ", error string")
+    return found.select("path", *(["content"] if whole else ["lo", "hi"])).mapInPandas(run, schema + ", error string")
 
 
 def good(rows: DataFrame) -> DataFrame:
@@ -114,7 +137,7 @@ def light_curve(found: DataFrame) -> DataFrame:
 
 
 def soft_spectra(found: DataFrame) -> DataFrame:
-    """(path, date, detector, t, counts, exposure, error) of the soft instrument's spectra, one a second."""
+    """(path, date, detector, t, counts, channels, exposure, error) of the soft instrument's spectra, one a second; channels is the file's own array, null without."""
     return parsed(found, _soft, SPECTRA).withColumns({"date": date_in_name(F.col("path")), "detector": F.lit("soft")})
 
 
