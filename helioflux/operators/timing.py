@@ -2,56 +2,37 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation
-from .detect import peaks
+from . import arrays
 from .intervals import interpolated, interval_join
 from .measure import IDS
 from .series import gradient
 from .spectra import lag_scan
 
-PULSES = "period double, n_peaks int, strength double, trend array<double>, wiggle array<double>, frequency array<double>, power array<double>"
-
-
-def pulse(flux: np.ndarray, bin_s: float) -> dict | None:
-    """Pulsations of one event's flux: period of the strongest frequency if it passes the gates, and the curves behind it."""
-    n = len(flux)
-    if n < 12:
-        return None
-    trend = pd.Series(flux).rolling(5, center=True, min_periods=1).mean().to_numpy()
-    wiggle = flux - trend
-    if wiggle.std() < 1e-6:
-        return None
-    frequency, power = np.fft.rfftfreq(n, d=bin_s), np.abs(np.fft.rfft(wiggle - wiggle.mean())) ** 2
-    power[0] = 0.0
-    top = int(np.argmax(power))
-    n_peaks = len(peaks(wiggle, distance=3))
-    if len(power) < 3 or frequency[top] <= 0:
-        return None
-    period = 1 / frequency[top]
-    strong = power[top] > power.mean() + 3 * power.std()
-    held = n_peaks >= 3 and strong and n * bin_s > 2 * period
-    return {"period": float(period) if held else None, "n_peaks": n_peaks, "strength": float(power[top]), "trend": trend.tolist(), "wiggle": wiggle.tolist(), "frequency": frequency.tolist(), "power": power.tolist()}
-
-
 def pulsations(events: DataFrame, bin_s: float, ids: tuple[str, ...] = IDS) -> DataFrame:
     """(ids, period, n_peaks, strength, trend, wiggle, frequency, power) of events with their bins' flux as an array.
 
     period is null unless there are three sub-peaks, the strongest frequency stands three deviations above the mean
-    power and two cycles fit. Events of fewer than 12 bins, or without wiggles, have nulls only.
+    power and two cycles fit. Events of fewer than 12 bins, with a bin that is null or NaN, or without wiggles, have
+    nulls only. All of it stays in the event's row.
     """
-
-    @F.pandas_udf(PULSES)
-    def run(flux: pd.Series) -> pd.DataFrame:
-        names = [c.split()[0] for c in PULSES.split(", ")]
-        rows = [pulse(np.asarray(x, dtype=float), bin_s) or dict.fromkeys(names) for x in flux]
-        return pd.DataFrame(rows, columns=names).astype({"n_peaks": "Int32"})
-
-    return events.select(*ids, run("flux").alias("x")).select(*ids, "x.*")
+    c = F.col
+    whole = (F.size("flux") >= 12) & ~F.exists("flux", lambda x: x.isNull() | F.isnan(x))
+    out = events.select(*ids, F.when(whole, F.transform("flux", lambda x: x.cast("double"))).alias("_x")).withColumn("trend", arrays.centred(c("_x"), 2))
+    out = out.withColumn("wiggle", F.zip_with("_x", "trend", lambda x, m: x - m))
+    out = out.withColumn("wiggle", F.when(arrays.deviation(c("wiggle")) >= 1e-6, c("wiggle"))).withColumn("_even", arrays.bound(arrays.mean(c("wiggle")), lambda m: F.transform("wiggle", lambda w: w - m)))
+    out = out.withColumn("power", F.transform(F.when(c("_even").isNotNull(), arrays.dft_power(c("_even"))), lambda p, k: F.when(k > 0, p).otherwise(0.0)))
+    out = out.withColumns({"strength": F.array_max("power"), "n_peaks": F.when(c("wiggle").isNotNull(), F.size(arrays.spaced(arrays.peak_places(c("wiggle")), c("wiggle"), 3)))})
+    span = F.size("wiggle") * bin_s
+    out = out.withColumn("_period", F.try_divide(span, F.array_position("power", c("strength")) - 1))
+    strong = c("strength") > arrays.mean(c("power")) + 3 * arrays.deviation(c("power"))
+    period = F.when((c("n_peaks") >= 3) & strong & (span > 2 * c("_period")), c("_period"))
+    frequency = F.transform("power", lambda _, k: k / span)
+    some = lambda x: F.when(c("wiggle").isNotNull(), x)
+    return out.select(*ids, some(period).alias("period"), "n_peaks", some(c("strength")).alias("strength"), some(c("trend")).alias("trend"), "wiggle", some(frequency).alias("frequency"), some(c("power")).alias("power"))
 
 
 def slopes(events: DataFrame, ids: tuple[str, ...] = IDS) -> DataFrame:

@@ -216,11 +216,27 @@ def forecast_background(spark, sf_dir):
     return series.forecast_background(binned(spark, sf_dir), 24, 6).select("date", "k", *r("bg"))
 
 
-@query()
+#: The catalog's SQL at another threshold of sigma
+WIDE = CATALOG.replace("/ noise > 1 AS above", "/ noise > 0.2 AS above")
+QPP = f"""WITH {WIDE}, qe AS (SELECT ev.date, ev.event_no, w.k - ev.s AS j, w.flux AS x FROM ev JOIN w ON w.date = ev.date AND w.k >= ev.s AND w.k < ev.e),
+qn AS (SELECT *, count(*) OVER (PARTITION BY date, event_no) AS n FROM qe),
+qw AS (SELECT *, x - (((((coalesce(lag(x, 2) OVER o, 0) + coalesce(lag(x) OVER o, 0)) + x) + coalesce(lead(x) OVER o, 0)) + coalesce(lead(x, 2) OVER o, 0)) / (least(j + 2, n - 1) - greatest(j - 2, 0) + 1)) AS v FROM qn WHERE n >= 12 WINDOW o AS (PARTITION BY date, event_no ORDER BY j)),
+qs AS (SELECT *, v - avg(v) OVER (PARTITION BY date, event_no) AS u FROM qw QUALIFY stddev_pop(v) OVER (PARTITION BY date, event_no) >= 1e-6),
+qf AS (SELECT date, event_no, n, f, CASE WHEN f = 0 THEN 0 ELSE power(sum(u * cos(2 * pi() * ((f * j) % n) / n)), 2) + power(sum(u * sin(2 * pi() * ((f * j) % n) / n)), 2) END AS p FROM qs, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS f) GROUP BY 1, 2, 3, 4),
+qp AS (SELECT date, event_no, max(n) AS n, arg_max(f, p) AS top, max(p) AS strength, max(p) > avg(p) + 3 * stddev_pop(p) AS strong FROM qf GROUP BY 1, 2),
+qr AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY date, event_no ORDER BY j) AS run FROM (SELECT *, v IS DISTINCT FROM lag(v) OVER (PARTITION BY date, event_no ORDER BY j) AS new FROM qs)),
+qt AS (SELECT date, event_no, run, min(j) AS a, max(j) AS b, max(v) AS v FROM qr GROUP BY 1, 2, 3),
+qk AS (SELECT date, event_no, (a + b) // 2 AS place, v, v > lag(v) OVER o AND v > lead(v) OVER o AS is_top FROM qt WINDOW o AS (PARTITION BY date, event_no ORDER BY run)),
+ql AS (SELECT date, event_no, len(list_reduce(list_prepend([]::BIGINT[], list([place] ORDER BY v DESC, place DESC)), lambda kept, q: CASE WHEN len(list_filter(kept, lambda z: abs(z - q[1]) < 3)) > 0 THEN kept ELSE list_concat(kept, q) END)) AS n_peaks FROM qk WHERE is_top GROUP BY 1, 2)
+SELECT ev.date, ev.event_no, round(CASE WHEN n_peaks >= 3 AND strong AND n * 600 > 2 * (n * 600 / top) THEN n * 600 / top END, 5) AS period, CAST(CASE WHEN strength IS NOT NULL THEN coalesce(n_peaks, 0) END AS INTEGER) AS n_peaks, round(strength, 3) AS strength
+FROM ev LEFT JOIN qp ON qp.date = ev.date AND qp.event_no = ev.event_no LEFT JOIN ql ON ql.date = ev.date AND ql.event_no = ev.event_no"""
+
+
+@query(QPP)
 def qpp_fft(spark, sf_dir):
     # At these few bins a day an event has its twelve bins only if runs are merged widely.
     events = detect.sigma_events(binned(spark, sf_dir), STAND_IN, 0.2, flux=True)
-    return timing.pulsations(events, STAND_IN.bin_s).select("date", "event_no", "period", "n_peaks", "strength")
+    return timing.pulsations(events, STAND_IN.bin_s).select("date", "event_no", *r("period", digits=5), "n_peaks", *r("strength", digits=3))
 
 
 def vote_counts(spark, sf_dir):
