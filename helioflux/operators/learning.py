@@ -1,6 +1,6 @@
 """Forecast models on window features, their selection, and calibration of their probabilities.
 
-Models are Spark's own and fit on the cluster. Rows are (date, t, y, features.., and dense and flux_end if there);
+Models are Spark's own, and ``network``'s, and fit on the cluster. Rows are (date, t, y, features.., and dense and flux_end if there);
 classes weigh the same in all of them.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import skill
 from .features import NAMES
+from .network import Network
 
 SEED = 42
 #: Fewer out-of-fold positives than this are calibrated by a sigmoid, fewer than LEAST_POSITIVE by the training rows' own
@@ -32,34 +33,25 @@ def _forest(trees: int, depth: int, leaf: int) -> Callable[[int, int], RandomFor
     return lambda rows, n: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", maxBins=64, seed=SEED)
 
 
-#: By name: an estimator for so many rows and features, and whether positives are drawn again in place of weights
-CANDIDATES: dict[str, tuple[Callable, bool]] = {
-    "forest": (_forest(400, 8, 3), False),
-    "forest_shallow": (_forest(200, 3, 15), False),
-    "logistic": (lambda rows, n: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / (0.5 * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200), False),
-    "boosted": (lambda rows, n: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=300, maxDepth=4, stepSize=0.05, seed=SEED), False),
-    # Spark's perceptron has sigmoid units and no penalty, so it isn't the reference's network weight for weight.
-    "perceptron": (lambda rows, n: MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[n, 32, 16, 2], maxIter=200, seed=SEED), True),
+#: By name: an estimator for so many rows and features
+CANDIDATES: dict[str, Callable] = {
+    "forest": _forest(400, 8, 3),
+    "forest_shallow": _forest(200, 3, 15),
+    "logistic": lambda rows, n: LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / (0.5 * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200),
+    "boosted": lambda rows, n: GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=300, maxDepth=4, stepSize=0.05, seed=SEED),
+    "perceptron": lambda rows, n: Network(layers=[n, 32, 16, 1], seed=SEED),
 }
 
 
 def fitted(train: DataFrame, kind: str, names: tuple[str, ...] = NAMES, **params) -> PipelineModel:
     """Standardised features (population deviations) and the model; ``params`` override the estimator's."""
-    make, again = CANDIDATES[kind]
     train = train.withColumn("y", F.col("y").cast("double"))
     n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     share = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
     train = train.withColumn("weight", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     scale = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     shape = [VectorAssembler(inputCols=list(names), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), ElementwiseProduct(inputCol="_std", outputCol="x", scalingVec=Vectors.dense([scale] * len(names)))]
-    if again and 0 < positive < n / 2:
-        # The scaler sees each row once; the network sees positives as often as the rest.
-        scaler = Pipeline(stages=shape).fit(train)
-        more = train.where("y = 1").sample(True, (n - 2 * positive) / positive, SEED)
-        model = make(n, len(names))
-        model = model.setParams(**params) if params else model
-        return PipelineModel([*scaler.stages, model.fit(scaler.transform(train.unionByName(more)))])
-    model = make(n, len(names))
+    model = CANDIDATES[kind](n, len(names))
     return Pipeline(stages=[*shape, model.setParams(**params) if params else model]).fit(train)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .config import STAND_IN
 from .operators import detect, features, learning, replay, series, skill
 from .queries_events import LIMITS, band_curves
-from .registry import CATALOG, PRED, binned, catalog, curve, predictions, query, r, table
+from .registry import CATALOG, LC, PRED, binned, catalog, curve, predictions, query, r, table
 from .streaming import live
 from .streaming import scan as stream_scan
 from .streaming import windows
@@ -180,10 +180,16 @@ def class_balance(spark, sf_dir):
     return features.balance(dataset(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LC}, dv AS (SELECT date, count(*) AS n, greatest(stddev_pop(flux), 1e-6) * 0.5 AS least FROM s GROUP BY date),
+sr AS (SELECT date, k, flux, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY date ORDER BY k) AS run FROM (SELECT date, k, flux, flux IS DISTINCT FROM lag(flux) OVER (PARTITION BY date ORDER BY k) AS new FROM s)),
+st AS (SELECT date, run, min(k) AS a, max(k) AS b, max(flux) AS y FROM sr GROUP BY date, run),
+tp AS (SELECT date, (a + b) // 2 AS k, y FROM st QUALIFY y > lag(y) OVER (PARTITION BY date ORDER BY run) AND y > lead(y) OVER (PARTITION BY date ORDER BY run)),
+hi AS (SELECT tp.date, tp.k, tp.y, coalesce(max(s.k) FILTER (s.k < tp.k AND s.flux > tp.y), -1) AS lo, coalesce(min(s.k) FILTER (s.k > tp.k AND s.flux > tp.y), 1000000) AS up FROM tp JOIN s ON s.date = tp.date GROUP BY 1, 2, 3),
+pr AS (SELECT hi.date, hi.k, hi.y, hi.y - greatest(min(s.flux) FILTER (s.k <= hi.k), min(s.flux) FILTER (s.k >= hi.k)) AS prominence FROM hi JOIN s ON s.date = hi.date AND s.k > hi.lo AND s.k < hi.up GROUP BY 1, 2, 3)
+SELECT dv.date, CAST(count(pr.k) AS INTEGER) AS n_peaks, round(coalesce(avg(pr.y), 0), 8) AS micro_energy FROM dv LEFT JOIN pr ON pr.date = dv.date AND pr.prominence >= dv.least AND dv.n >= 5 GROUP BY dv.date""")
 def micro_peaks(spark, sf_dir):
     rows = binned(spark, sf_dir).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "flux"))), lambda x: x["flux"]).alias("y"))
-    return rows.select("date", features.micro_peaks("y").alias("x")).select("date", F.col("x.n").alias("n_peaks"), F.col("x.height").alias("micro_energy"))
+    return rows.select("date", features.micro_peaks("y").alias("x")).select("date", F.col("x.n").alias("n_peaks"), F.round("x.height", 8).alias("micro_energy"))
 
 
 @query(f"""WITH {PRED}, f AS (SELECT date AS test_date, min(t) AS fs, row_number() OVER (ORDER BY date DESC) AS fold, count(*) OVER () AS n FROM pr GROUP BY date), g AS (SELECT * FROM f WHERE fold <= 4 AND fold < n),
