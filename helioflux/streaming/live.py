@@ -1,7 +1,8 @@
 """A day's forecast as a stream: samples in, windows, chances and alarms out, each made of what was known at its moment.
 
 Samples of a day wait until the watermark has passed them, then fall into the day's bins in order of time; the grid
-starts at the first of them. After each bin that ends a window, the background of the look-back is taken from the bins
+starts at the first of them. They wait packed, a value of state for each batch of rows, as every value costs a call to
+the state's server. After each bin that ends a window, the background of the look-back is taken from the bins
 so far, so the features are those of a batch run on data cut at that moment. Ends of events come along in the same
 stream and keep a decayed sum, which a new one raises and time lowers. State is one day's bins at most, and goes with
 the day. The model's own transform scores the windows of the stream, and a second keyed operator reports where the
@@ -30,6 +31,9 @@ CHANNELS = ("f", "a", "b", "c", "h")
 #: A sample's kind that marks the end of a significant event
 EVENT_END = "event_end"
 DAY = 86_400 * MICROS
+#: A waiting sample; code: the index of its channel, or one of the two below
+SAMPLE = np.dtype([("micros", "<i8"), ("value", "<f8"), ("code", "i1")])
+NO_CHANNEL, ENDED = -1, -2
 #: Features that a window's own bins and the events before it give; the others are 0 without spectra
 MEASURED = tuple(x for x in features.NAMES if x not in ("temp_trend_MK_per_min", "gamma_window", "gamma_trend", "precursor_concentration"))
 
@@ -98,24 +102,26 @@ class DayBins:
     """A day's bins so far: sums and counts by channel."""
 
     def __init__(self, bins: list[tuple] | None = None) -> None:
-        self.sums = [list(b[: len(CHANNELS)]) for b in bins or ()]
-        self.counts = [list(b[len(CHANNELS) :]) for b in bins or ()]
-
-    def add(self, k: int, channel: int | None, value: float) -> None:
-        while len(self.sums) <= k:
-            self.sums.append([0.0] * len(CHANNELS))
-            self.counts.append([0] * len(CHANNELS))
-        for c in (0,) if channel is None else (0, channel):
-            self.sums[k][c] += value
-            self.counts[k][c] += 1
-
-    def rows(self) -> list[tuple]:
-        return [(*s, *c) for s, c in zip(self.sums, self.counts, strict=True)]
+        rows = np.array(bins or [], dtype=float).reshape(-1, 2 * len(CHANNELS))
+        self.sums, self.counts = rows[:, : len(CHANNELS)].copy(), rows[:, len(CHANNELS) :].astype(np.int64)
+
+    def add(self, k: np.ndarray, code: np.ndarray, value: np.ndarray) -> None:
+        """Samples in order of time; all of them count in the first channel."""
+        more = int(k.max(initial=-1)) + 1 - len(self.sums)
+        if more > 0:
+            self.sums, self.counts = (np.pad(x, ((0, more), (0, 0))) for x in (self.sums, self.counts))
+        for c in range(len(CHANNELS)):
+            own = code == c if c else np.ones(len(k), bool)
+            np.add.at(self.sums[:, c], k[own], value[own])
+            np.add.at(self.counts[:, c], k[own], 1)
+
+    def rows(self, first: int = 0) -> list[tuple]:
+        return [(*s, *c) for s, c in zip(self.sums[first:].tolist(), self.counts[first:].tolist(), strict=True)]
 
     def window(self, i: int, config: Config) -> dict[str, float]:
         """The features of bins [i - lookback, i), of the first i bins alone."""
         lookback = features.bins(config)[0]
-        sums, counts = np.array(self.sums[:i]), np.array(self.counts[:i])
+        sums, counts = self.sums[:i], self.counts[:i]
         mean = np.divide(sums, counts, out=np.full(sums.shape, np.nan), where=counts > 0)
         flux = np.nan_to_num(mean[:, 0])
         floor = max(0.01 * float(np.median(flux[flux > 0])) if (flux > 0).any() else 1e-6, 1e-6)
@@ -144,12 +150,12 @@ class WindowProcessor(StatefulProcessor):
 
     def __init__(self, config: Config, channels: dict[str, str]) -> None:
         self.config = config
-        self.channels = {k: CHANNELS.index(v) for k, v in channels.items()}
+        self.codes = {k: CHANNELS.index(v) for k, v in channels.items()} | {EVENT_END: ENDED}
         self.micros = round(config.bin_s * MICROS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros long, value double, kind string")
+        self.waiting = handle.getListState("waiting", "samples binary")
         self.bins = handle.getListState("bins", ", ".join([*(f"s_{c} double" for c in CHANNELS), *(f"n_{c} long" for c in CHANNELS)]))
         self.grid = handle.getValueState("grid", "origin long, moment long, decayed double, last double")
 
@@ -160,9 +166,13 @@ class WindowProcessor(StatefulProcessor):
             # Whoever comes before the grid's start is late by definition.
             frame = frame[frame["micros"].notna() & frame["kind"].notna()]
             fresh = frame if known is None else frame[frame["micros"] >= known]
-            for micros, value, kind in zip(fresh["micros"], fresh["value"], fresh["kind"], strict=True):
-                self.waiting.appendValue((int(micros), float(value), kind))
-                first = int(micros) if first is None else min(first, int(micros))
+            if len(fresh):
+                packed = np.empty(len(fresh), SAMPLE)
+                packed["micros"], packed["value"] = fresh["micros"], fresh["value"]
+                packed["code"] = fresh["kind"].map(self.codes).fillna(NO_CHANNEL)
+                self.waiting.appendValue((packed.tobytes(),))
+                least = int(packed["micros"].min())
+                first = least if first is None else min(first, least)
         if first is not None and not list(self.handle.listTimers()):
             self.handle.registerTimer(self._ms((known if known is not None else first) + self.micros))
         return iter(())
@@ -173,28 +183,30 @@ class WindowProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         water = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get())
+        waiting = np.concatenate([np.empty(0, SAMPLE), *(np.frombuffer(x, SAMPLE) for (x,) in self.waiting.get())])
+        waiting = waiting[np.lexsort((waiting["code"], waiting["value"], waiting["micros"]))]
+        times = waiting["micros"]
+        latest = int(times[-1]) if len(times) else None
         if self.grid.exists():
             origin, moment, decayed, last = self.grid.get()
         else:
-            origin, moment, decayed, last = waiting[0][0], features.bins(self.config)[0], 0.0, None
+            origin, moment, decayed, last = int(times[0]), features.bins(self.config)[0], 0.0, None
         day = DayBins(list(self.bins.get()))
         known, step = len(day.sums), features.bins(self.config)[2]
         # Bins that are whole by now, but none that starts after the last sample.
-        final = min((water - origin) // self.micros, (waiting[-1][0] - origin) // self.micros if waiting else 0)
+        final = min((water - origin) // self.micros, (latest - origin) // self.micros if latest is not None else 0)
         out, at = [], 0
 
         def take(until: int) -> None:
             nonlocal at, decayed, last
-            while at < len(waiting) and waiting[at][0] < until:
-                micros, value, kind = waiting[at]
-                at += 1
-                if kind == EVENT_END:
-                    t = micros / MICROS
-                    decayed = 1.0 + (decayed * exp(-(t - last) / self.config.history_tau_s) if last is not None else 0.0)
-                    last = t
-                elif value == value:
-                    day.add((micros - origin) // self.micros, self.channels.get(kind), value)
+            stop = int(np.searchsorted(times, until))
+            part, at = waiting[at:stop], stop
+            for micros in part["micros"][part["code"] == ENDED].tolist():
+                t = micros / MICROS
+                decayed = 1.0 + (decayed * exp(-(t - last) / self.config.history_tau_s) if last is not None else 0.0)
+                last = t
+            part = part[(part["code"] != ENDED) & ~np.isnan(part["value"])]
+            day.add((part["micros"] - origin) // self.micros, part["code"], part["value"])
 
         while moment <= final:
             edge = origin + moment * self.micros
@@ -204,21 +216,20 @@ class WindowProcessor(StatefulProcessor):
                 own = day.window(moment, self.config)
                 own["time_since_last_flare_min"] = min((t - last) / 60, self.config.time_cap_min) if last is not None else self.config.time_cap_min
                 own["decayed_flare_history"] = decayed * exp(-(t - last) / self.config.history_tau_s) if last is not None else 0.0
-                out.append((key[0], moment, t, max(waiting[at - 1][0] / MICROS if at else 0.0, 0.0), *(own[x] for x in features.NAMES if x != "precursor_concentration")))
+                out.append((key[0], moment, t, max(int(times[at - 1]) / MICROS if at else 0.0, 0.0), *(own[x] for x in features.NAMES if x != "precursor_concentration")))
             moment += step
         take(origin + final * self.micros)
         rest = waiting[at:]
-        if water >= self._day_end(origin) and not rest or (water >= self._day_end(origin) and final >= (waiting[-1][0] - origin) // self.micros):
+        if water >= self._day_end(origin) and (not len(rest) or final >= (latest - origin) // self.micros):
             for state in (self.waiting, self.bins, self.grid):
                 state.clear()
         else:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            rows = day.rows()
+            self.waiting.put([(rest.tobytes(),)]) if len(rest) else self.waiting.clear()
             # Bins never change once they are whole, so only new ones are written.
-            self.bins.appendList(rows[known:]) if len(rows) > known else None
+            self.bins.appendList(day.rows(known)) if len(day.sums) > known else None
             self.grid.update((origin, moment, decayed, last))
             nearest = origin + (final + 1) * self.micros
-            self.handle.registerTimer(self._ms(max(nearest, water + self.micros) if rest else self._day_end(origin) + self.micros))
+            self.handle.registerTimer(self._ms(max(nearest, water + self.micros) if len(rest) else self._day_end(origin) + self.micros))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
 
     @staticmethod

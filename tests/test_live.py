@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +86,22 @@ def test_alarms_of_the_stream_are_those_of_its_windows(spark, folder, out):
     want = skill.transitions(out.withColumn("prob", prob), 0.5)
     pick = lambda df: sorted((r.date, r.t, r.what) for r in df.collect())
     assert pick(got) == pick(want) and got.count() > 2
+
+
+class Held(list):
+    """A list state."""
+
+    get, appendValue, appendList = list.copy, list.append, list.extend
+
+
+def test_a_batch_of_rows_is_one_value_of_state():
+    """A value for each row costs a call to the state's server each."""
+    made = {}
+    handle = type("Handle", (), {"getListState": lambda _, name, schema: made.setdefault(name, Held()), "getValueState": lambda *_: type("No", (), {"exists": lambda _: False})(), "listTimers": lambda _: [], "registerTimer": lambda *_: None})()
+    processor = live.WindowProcessor(STAND_IN, CHANNELS)
+    processor.init(handle)
+    frame = pd.DataFrame({"micros": np.arange(5000) * 1_000_000, "value": np.arange(5000) / 7, "kind": ["click", "error", live.EVENT_END, None, "signup"] * 1000})
+    assert list(processor.handleInputRows(("20240101",), iter([frame, frame.iloc[:0]]), None)) == []
+    assert len(made["waiting"]) == 1
+    held = np.frombuffer(made["waiting"][0][0], live.SAMPLE)
+    assert len(held) == 4000 and held["code"][:4].tolist() == [1, live.NO_CHANNEL, live.ENDED, 4] and held["value"][1] == 1 / 7
