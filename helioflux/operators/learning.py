@@ -87,10 +87,12 @@ def _logit(p: Column) -> Column:
 
 
 class Calibrator:
-    """Maps prob to calibrated; fitted on honest probabilities (prob, y)."""
+    """Maps prob to calibrated; fitted on honest probabilities (prob, y). Method "none" leaves prob as it is, but for its ends."""
 
     def __init__(self, rows: DataFrame, method: str) -> None:
-        self.method = method
+        self.method, self.model = method, None
+        if method == "none":
+            return
         rows = rows.select(F.col("y").cast("double").alias("label"), "prob")
         if method == "platt":
             z = VectorAssembler(inputCols=["_z"], outputCol="_zv").transform(rows.withColumn("_z", _logit(F.col("prob"))))
@@ -99,7 +101,7 @@ class Calibrator:
             self.model = IsotonicRegression(featuresCol="prob").fit(rows)
 
     @classmethod
-    def of(cls, method: str, model: LogisticRegressionModel | IsotonicRegressionModel) -> Calibrator:
+    def of(cls, method: str, model: LogisticRegressionModel | IsotonicRegressionModel | None) -> Calibrator:
         """One that is fitted already."""
         out = cls.__new__(cls)
         out.method, out.model = method, model
@@ -107,6 +109,8 @@ class Calibrator:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with calibrated, within [1e-6, 1 - 1e-6]."""
+        if self.method == "none":
+            return rows.withColumn("calibrated", F.least(F.greatest("prob", F.lit(1e-6)), F.lit(1 - 1e-6)))
         if self.method == "platt":
             a, b = float(self.model.coefficients[0]), float(self.model.intercept)
             value = 1 / (1 + F.exp(-(a * _logit(F.col("prob")) + b)))
@@ -116,10 +120,15 @@ class Calibrator:
 
 
 def calibrator(oof: DataFrame, own: DataFrame | None = None) -> Calibrator:
-    """A sigmoid for few positives, isotonic steps for many; without LEAST_POSITIVE out of fold, a sigmoid of ``own``."""
-    positive = oof.agg(F.coalesce(F.sum("y"), F.lit(0))).first()[0]
+    """A sigmoid for few positives, isotonic steps for many; without LEAST_POSITIVE out of fold, a sigmoid of ``own``.
+
+    Without any row out of fold (no fold may be usable) and without ``own``, nothing is known: probabilities stay.
+    """
+    rows, positive = oof.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if positive < LEAST_POSITIVE and own is not None:
         return Calibrator(own, "platt")
+    if not rows:
+        return Calibrator(oof, "none")
     return Calibrator(oof, "platt" if positive < PLATT_BELOW else "isotonic")
 
 
@@ -160,7 +169,8 @@ def operating_point(best: DataFrame, objective: str, model: str, n_features: int
 def saved(model: PipelineModel, mapped: Calibrator, point: DataFrame, folder: str, names: tuple[str, ...] = NAMES) -> None:
     """Writes the model, its calibrator, operating point and feature names below a folder; nothing is overwritten."""
     model.write().save(f"{folder}/model")
-    mapped.model.write().save(f"{folder}/calibrator")
+    if mapped.model is not None:
+        mapped.model.write().save(f"{folder}/calibrator")
     SparkSession.active().createDataFrame([(json.dumps(mapped.method),)], "method string").write.mode("errorifexists").text(f"{folder}/calibrator_method")
     point.write.mode("errorifexists").text(f"{folder}/operating_point")
     SparkSession.active().createDataFrame([(json.dumps(list(names)),)], "names string").write.mode("errorifexists").text(f"{folder}/feature_names")
@@ -193,5 +203,5 @@ def loaded(spark: SparkSession, folder: str, names: tuple[str, ...] = NAMES) ->
     if kept != list(names):
         raise ValueError(f"the model has {len(kept)} features, other than the {len(names)} asked for")
     method = json.loads(spark.read.text(f"{folder}/calibrator_method").first()[0])
-    kind = LogisticRegressionModel if method == "platt" else IsotonicRegressionModel
-    return Forecaster(PipelineModel.load(f"{folder}/model"), Calibrator.of(method, kind.load(f"{folder}/calibrator")), point, names)
+    kind = {"platt": LogisticRegressionModel, "isotonic": IsotonicRegressionModel}.get(method)
+    return Forecaster(PipelineModel.load(f"{folder}/model"), Calibrator.of(method, kind.load(f"{folder}/calibrator") if kind else None), point, names)
