@@ -75,8 +75,9 @@ def overlapping(events: DataFrame, others: DataFrame, pad: float, key: str = "da
 
 
 def interpolated(clock: DataFrame, series: DataFrame, clamp: bool = True, keys: tuple[str, ...] = ("date",)) -> DataFrame:
-    """clock's rows (keys, t, ..) with y, series (keys, t, y) interpolated at t: two as-of lookups in one sort order.
+    """clock's rows (keys, t, ..) with y, series (keys, t, y) interpolated at t: as-of lookups back, and back in reversed order.
 
+    Both frames start at the key's first row: one that ends at the last row would be read again for each of its rows.
     Beyond the series' ends y is its nearest value, or null without ``clamp``.
     """
     none = F.lit(None).cast("double")
@@ -84,9 +85,9 @@ def interpolated(clock: DataFrame, series: DataFrame, clamp: bool = True, keys:
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(0).alias("_0"))
     asked = clock.select(*keys, F.col("t").cast("double").alias("t"), none.alias("y"), none.alias("_t"), F.lit(1).alias("_clock"), row.alias("_row"))
     known = series.select(*keys, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("t").cast("double").alias("_t"), F.lit(0).alias("_clock"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("t", "_clock")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    both = asked.unionByName(known).withColumns({"y0": F.last("y", True).over(back), "t0": F.last("_t", True).over(back), "y1": F.first("y", True).over(ahead), "t1": F.first("_t", True).over(ahead)})
+    order = [F.col(c) for c in ("t", "_clock", "y")]
+    back, ahead = (Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, [c.desc() for c in order]))
+    both = asked.unionByName(known).withColumns({"y0": F.last("y", True).over(back), "t0": F.last("_t", True).over(back), "y1": F.last("y", True).over(ahead), "t1": F.last("_t", True).over(ahead)})
     between = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     inner = F.when(F.col("t0") == F.col("t"), F.col("y0")).when(F.col("t1").isNotNull() & F.col("t0").isNotNull(), between)
     value = F.coalesce(inner, F.col("y0"), F.col("y1")) if clamp else inner

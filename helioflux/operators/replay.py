@@ -55,9 +55,9 @@ def next_significant(moments: DataFrame, starts: DataFrame, key: str = "date") -
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(0).alias("_0"))
     asked = moments.select(key, F.col("t").cast("double").alias("t"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_start"), row.alias("_row"))
     both = asked.unionByName(starts.select(key, F.col("start").cast("double").alias("t"), F.lit(0).alias("_asks"), F.col("start").cast("double").alias("_start"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row")))
-    # Starts at the very time come first, so what follows a moment is later.
-    ahead = Window.partitionBy(key).orderBy("t", "_asks").rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("next_start", F.first("_start", True).over(ahead)).where("_asks = 1").select(key, "t", *[F.col("_row")[c].alias(c) for c in carried], "next_start")
+    # Latest first, so the frame grows by a row each; starts at the very time follow a moment, so those before it are later.
+    ahead = Window.partitionBy(key).orderBy(F.desc("t"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("next_start", F.last("_start", True).over(ahead)).where("_asks = 1").select(key, "t", *[F.col("_row")[c].alias(c) for c in carried], "next_start")
 
 
 def minor(events: DataFrame, starts: DataFrame, near_s: float = 60.0, key: str = "date") -> DataFrame:

@@ -99,7 +99,8 @@ def _unsteady(flux: np.ndarray, bg: np.ndarray, rows: int) -> np.ndarray:
 def filled(x: str) -> Column:
     """Forward fill, then back fill."""
     back = F.last(x, True).over(day().rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(x, True).over(day().rowsBetween(0, Window.unboundedFollowing))
+    # In reversed order, as a frame to the last row is read again for each row.
+    ahead = F.last(x, True).over(Window.partitionBy("date").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     return F.coalesce(back, ahead)
 
 

@@ -36,3 +36,13 @@ def test_scorecard_by_hand(spark):
     df = spark.createDataFrame(rows, "date string, t double, prob double, y int, flare_start double")
     got = {r.date: tuple(r)[1:] for r in replay.scorecard(df, 0.5).collect()}
     assert got == {"a": (2, 1, 30.0, 1, 1), "b": (0, 0, None, 0, 0)}
+
+
+def test_no_frame_ends_at_the_last_row(spark):
+    """Spark reads such a frame again for each of its rows: work would grow with the square of a day's rows."""
+    clock, known = spark.range(5).selectExpr("'d' AS date", "id", "id * 2D AS t"), spark.range(4).selectExpr("'d' AS date", "id * 3D AS t", "id * 1D AS y")
+    starts = known.selectExpr("date", "t AS start")
+    for df in (intervals.interpolated(clock, known), replay.next_significant(clock, starts)):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    assert [r.y for r in intervals.interpolated(clock, known, clamp=False).orderBy("t").collect()] == pytest.approx([0, 2 / 3, 4 / 3, 2, 8 / 3])
+    assert [r.next_start for r in replay.next_significant(clock, starts).orderBy("t").collect()] == [3, 3, 6, 9, 9]
