@@ -45,7 +45,8 @@ CANDIDATES: dict[str, Callable] = {
 
 def fitted(train: DataFrame, kind: str, names: tuple[str, ...] = NAMES, **params) -> PipelineModel:
     """Standardised features (population deviations) and the model; ``params`` override the estimator's."""
-    train = train.withColumn("y", F.col("y").cast("double"))
+    # Two classes also where rows show one: forests count classes by the largest label else.
+    train = train.withColumn("y", F.col("y").cast("double").alias("y", metadata={"ml_attr": {"type": "nominal", "name": "y", "vals": ["0", "1"]}}))
     n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     share = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
     train = train.withColumn("weight", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))

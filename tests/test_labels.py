@@ -18,3 +18,10 @@ def test_no_usable_fold_leaves_nothing_to_calibrate(spark):
     assert out.count() == 0 and dict(out.dtypes)["calibrated"] == "double"
     some = spark.createDataFrame([(0.0,), (0.3,), (1.0,)], "prob double")
     assert [r.calibrated for r in learning.calibrator(oof).transform(some).collect()] == [1e-6, 0.3, 1 - 1e-6]
+
+
+def test_a_forest_of_one_label(spark):
+    """Rows of one class only: the chance of the other is there, and 0."""
+    for positive in (False, True):
+        out = learning.forecast(days(spark, positive), "forest_shallow", names=("a",), numTrees=3)
+        assert {r.prob for r in out.collect()} == {float(positive)}
