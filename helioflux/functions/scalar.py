@@ -57,10 +57,15 @@ def scrub(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 
 
+def none_holds(items: Column, first: Column | float = 1.0) -> Column:
+    """first * prod(1 - p) over an array in its order, p clipped to [0, 1], nulls skipped."""
+    clean = F.filter(items, lambda p: p.isNotNull())
+    return F.aggregate(clean, F.lit(first), lambda a, p: a * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
+
+
 def noisy_or(items: Column) -> Column:
     """1 - prod(1 - p) over an array, p clipped to [0, 1], nulls skipped; 0 for an empty array."""
-    clean = F.filter(items, lambda p: p.isNotNull())
-    return 1 - F.aggregate(clean, F.lit(1.0), lambda a, p: a * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
+    return 1 - none_holds(items)
 
 
 def horizon(p30: Column, minutes: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.scalar import noisy_or
+from ..functions.scalar import none_holds
 
 CHECKS = ("neupert", "accel_timing", "heat_timing", "energy_budget", "qpp_witness", "class_accel", "cross_band", "band_confirm", "class_agree", "temp_fit_agree", "band_vote")
 
@@ -55,14 +55,12 @@ def confidence(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """
     c = F.col
     margin = c("focus_stat") / config.focus_threshold
-    evidence = F.concat(
-        F.array_repeat(F.lit(0.8), c("n_pass").cast("int")),
-        F.array(F.when(margin > 0, margin / (margin + 1)), F.when(c("fred") > 0, 0.6 * F.least(c("fred") / F.greatest("excess", F.lit(1e-6)), F.lit(1.0))), F.when(c("confirmed"), c("match").cast("double"))),
-        F.array_repeat(F.lit(0.5), F.greatest(F.coalesce("yes", F.lit(0)) - 1, F.lit(0)).cast("int")),
-    )
+    evidence = F.array(F.when(margin > 0, margin / (margin + 1)), F.when(c("fred") > 0, 0.6 * F.least(c("fred") / F.greatest("excess", F.lit(1e-6)), F.lit(1.0))), F.when(c("confirmed"), c("match").cast("double")))
+    # Powers in place of repeated factors, as 1 - 0.8 is not 0.2 in binary; the halves' are exact.
+    miss = none_holds(evidence, F.pow(F.lit(0.2), c("n_pass"))) * F.pow(F.lit(0.5), F.greatest(F.coalesce("yes", F.lit(0)) - 1, F.lit(0)))
     ran = F.greatest(c("n_pass") + c("n_flag"), F.lit(1))
-    out = noisy_or(evidence) * (1 - 0.5 * c("n_flag") / ran)
-    return rows.withColumns({"confidence_pct": F.bround(100 * out, 1), "confidence": F.bround((c("n_pass") - c("n_flag")) / ran, 3)})
+    out = 100 * (1 - miss) * (1 - 0.5 * c("n_flag") / ran)
+    return rows.withColumns({"confidence_pct": F.rint(out * 10) / 10, "confidence": F.bround((c("n_pass") - c("n_flag")) / ran, 3)})
 
 
 def tally(rows: DataFrame) -> DataFrame:
