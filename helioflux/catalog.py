@@ -167,11 +167,14 @@ def projected(rows: DataFrame, mode: str = "COMBINED") -> DataFrame:
 
 
 def event_table(catalog: DataFrame, instrument: str = "SXR+HXR") -> DataFrame:
-    """The report's table, brightest first: start, peak, duration, flux, class, band (starred below two bands), instrument."""
+    """The report's table, brightest first: start, peak, duration, flux, class, band (starred below two bands), instrument.
+
+    The flux is the soft one, where that is 0 or missing the hard one; 0 where one is 0 and the other no more.
+    """
     c = F.col
     short = F.when(c("dominant_energy_band").startswith("band1"), "soft (2.8-20)").when(c("dominant_energy_band").startswith("band2"), "medium (20-60)").when(c("dominant_energy_band").startswith("band3"), "hard (60-150)")
     band = F.coalesce(F.concat(short, F.when(c("n_bands_covered") < 2, "*").otherwise("")), F.lit("-"))
-    flux = F.coalesce(F.when(c("peak_flux_wm2") != 0, c("peak_flux_wm2")), F.when(c("hard_peak_flux_wm2") != 0, c("hard_peak_flux_wm2")))
+    flux = F.coalesce(F.when(c("peak_flux_wm2") != 0, c("peak_flux_wm2")), F.when(c("hard_peak_flux_wm2") != 0, c("hard_peak_flux_wm2")), c("peak_flux_wm2"), c("hard_peak_flux_wm2"))
     return catalog.orderBy(F.desc("peak_rate"), "event_id").select(
         "event_id", F.substring("start_utc", 12, 8).alias("start"), F.substring("peak_utc", 12, 8).alias("peak"), F.concat(fixed(c("duration_s") / 60, 1), F.lit(" min")).alias("duration"),
         F.when(flux.isNotNull(), F.format_string("%.2e", flux)).otherwise("-").alias("flux"), c("class_approx").alias("class"), band.alias("band"), F.lit(instrument).alias("instrument"),
