@@ -45,14 +45,16 @@ CANDIDATES: dict[str, Callable] = {
 
 def fitted(train: DataFrame, kind: str, names: tuple[str, ...] = NAMES, **params) -> PipelineModel:
     """Standardised features (population deviations) and the model; ``params`` override the estimator's."""
-    # Two classes also where rows show one: forests count classes by the largest label else.
-    train = train.withColumn("y", F.col("y").cast("double").alias("y", metadata={"ml_attr": {"type": "nominal", "name": "y", "vals": ["0", "1"]}}))
+    train = train.withColumn("y", F.col("y").cast("double"))
     n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     share = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
     train = train.withColumn("weight", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     scale = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     shape = [VectorAssembler(inputCols=list(names), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True), ElementwiseProduct(inputCol="_std", outputCol="x", scalingVec=Vectors.dense([scale] * len(names)))]
     model = CANDIDATES[kind](n, len(names))
+    if isinstance(model, RandomForestClassifier):
+        # Forests count classes by the largest label; a logistic model that is told of two takes rows of one for the second's.
+        train = train.withColumn("y", F.col("y").alias("y", metadata={"ml_attr": {"type": "nominal", "name": "y", "vals": ["0", "1"]}}))
     return Pipeline(stages=[*shape, model.setParams(**params) if params else model]).fit(train)
 
 

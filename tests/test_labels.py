@@ -25,3 +25,5 @@ def test_a_forest_of_one_label(spark):
     for positive in (False, True):
         out = learning.forecast(days(spark, positive), "forest_shallow", names=("a",), numTrees=3)
         assert {r.prob for r in out.collect()} == {float(positive)}
+        out = learning.forecast(days(spark, positive), "logistic", names=("a",))
+        assert {r.prob for r in out.collect()} == {float(positive)}
